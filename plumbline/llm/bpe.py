@@ -13,7 +13,6 @@ texts are split by the pattern into short pieces; a long piece takes one entry p
 from __future__ import annotations
 
 import base64
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
