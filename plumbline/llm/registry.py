@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("bpe", "langid", "media", "extract")
+MODULES = ("quality", "bpe", "langid", "media", "extract")
 
 
 def _merged(name: str) -> dict:
