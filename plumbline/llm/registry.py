@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "lines", "mixing", "bpe", "langid", "media", "extract")
+MODULES = ("quality", "pii", "lines", "mixing", "bpe", "langid", "media", "extract")
 
 
 def _merged(name: str) -> dict:
