@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "licenses", "pii", "lines", "mixing", "bpe", "langid", "media", "extract")
+MODULES = ("neardup", "quality", "licenses", "pii", "lines", "mixing", "bpe", "langid", "media", "extract")
 
 
 def _merged(name: str) -> dict:
