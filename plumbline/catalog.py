@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of plumbline.plans that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("text", "retrieval", "attribution", "stats")
+MODULES: tuple[str, ...] = ("text", "retrieval", "attribution", "stats", "data", "annotation")
 
 
 def _merged(name: str) -> dict:
