@@ -7,7 +7,7 @@ Classes that agree in a band of registers are candidates; the likelihood of a pa
 (greater, less, equal) at given set sizes tells whether its similarity can reach the threshold; what passes is
 verified on the full sets. Groups that share a band are never written out as pairs:
 
-1. In some bands each member meets only one member of its bucket, drawn anew in each band. Verified
+1. In some bands each member meets only two members of its bucket, a central one and a drawn one. Verified
    links join large groups into components at a cost in proportion to their members.
 2. In all bands only members of different components are compared, in bounded blocks inside tasks, and each
    pair that may pass is reported in its first common band only.
@@ -36,7 +36,7 @@ WIDTH = 5
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: SetSketch parameters: registers, base, rate.
-M, BASE, RATE = 128, 1.001, 20.0
+M, BASE, RATE = 256, 1.001, 20.0
 ROWS, BANDS, FIRST_BANDS = 4, 20, 6
 #: Standard deviations of the estimate below the threshold that still pass.
 MARGIN = 4.0
@@ -208,10 +208,21 @@ def _buckets(classes: DataFrame, bands: int) -> DataFrame:
 
 
 def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs of a member and its bucket's drawn member that may be linked, in the first bands."""
+    """Pairs of a member and its bucket's chosen members that may be linked, in the first bands.
+
+    Copies differ from what they were made of in less than they do from each other, so the member whose buckets are the
+    fullest stands for its bucket; one drawn by hash stands beside it.
+    """
     rows = _buckets(classes, FIRST_BANDS)
-    drawn = rows.groupBy("bucket").agg(F.min_by("node", F.xxhash64("node", "band")).alias("hub"), F.count(F.lit(1)).alias("n"))
-    pairs = rows.join(drawn.where("n > 1").drop("n"), "bucket").where("node <> hub")
+    shared = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket")
+    rows = materialize(shared.select("bucket", "node", "size"))
+    central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
+    drawn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20))
+    hubs = rows.join(central, "node").groupBy("bucket").agg(
+        F.max_by("node", F.col("weight") * (1 << 20) + drawn).alias("full"), F.min_by("node", drawn).alias("drawn")
+    )
+    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("full", "drawn"))).alias("hub"))
+    pairs = rows.join(hubs, "bucket").where("node <> hub")
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
