@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 from plumbline.llm import bpe, langid, lines, mixing, neardup
 from plumbline.llm.common import WORD
 
+#: What documents has and every stage but the last returns; other columns of the input are left out.
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Posterior of its language under which a document goes.
 MIN_SCORE = 0.5
 
@@ -23,33 +25,34 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a recognizable language go; a null lang is filled in. Without any labels none is judged."""
     model = langid.train(docs, where=F.crc32("id") % 4 != 2)
     if not model[0]:
-        return docs
-    judged = langid.classify(docs, model, "text", *docs.columns)
+        return docs.select(*COLUMNS)
+    judged = langid.classify(docs, model, "text", *COLUMNS)
     kept = judged.where((F.col("lang_pred") != "und") & (F.col("score") >= MIN_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
+    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go but for their first place; a document of which nothing else was left goes with them."""
-    cleaned = lines.dedup_lines(docs)
+    cleaned = lines.dedup_lines(docs.select(*COLUMNS))
     gone = (F.col("n_removed") > 0) & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
     length = F.when(F.col("n_removed") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars"))
-    return cleaned.where(~gone).withColumn("n_chars", length).select(*docs.columns)
+    return cleaned.where(~gone).withColumn("n_chars", length).select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, the one of the smallest id."""
     kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes all its words; one that is cut counts if most of it is taken."""
     share = mixing.mix(docs).groupBy("doc_id", "own").agg(F.sum("taken").alias("taken"), F.sum("size").alias("size"))
     share = share.withColumn("copies", F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int")).where("copies > 0")
+    docs = docs.select(*COLUMNS)
     share = share.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "copies")
     joined = docs.join(share, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_own")))
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*docs.columns)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

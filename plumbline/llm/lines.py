@@ -64,22 +64,22 @@ def dedup_lines(
     min_sites: int = MIN_SITES,
     min_words: int = MIN_WORDS,
 ) -> DataFrame:
-    """docs with text cleaned, and n_lines and n_removed of each row."""
+    """docs with text cleaned, and n_lines and n_removed of each row; columns of these names are replaced."""
     gone = boilerplate_places(line_places(docs, id_column, text_column, site_column, min_words), min_sites)
-    removed = gone.groupBy("doc_id", "own").agg(F.collect_list("pos").alias("_removed"))
-    removed = removed.withColumnsRenamed({"doc_id": "_id", "own": "_own"})
-    at = (docs[id_column] == F.col("_id")) & (F.xxhash64(docs[text_column]) == F.col("_own"))
+    removed = gone.groupBy("doc_id", "own").agg(F.collect_list("pos").alias("__plumbline_removed"))
+    removed = removed.withColumnsRenamed({"doc_id": "__plumbline_id", "own": "__plumbline_own"})
+    at = (docs[id_column] == F.col("__plumbline_id")) & (F.xxhash64(docs[text_column]) == F.col("__plumbline_own"))
     joined = docs.join(removed.hint("shuffle_hash"), at, "left")
     lines = F.split(F.col(text_column), "\n", -1)
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
-    cleaned = F.array_join(F.transform(kept, lambda i: F.get("_lines", i)), "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size("__plumbline_lines") - 1), F.col("__plumbline_removed"))
+    cleaned = F.array_join(F.transform(kept, lambda i: F.get("__plumbline_lines", i)), "\n")
     return (
-        joined.withColumn("_lines", lines)
-        .withColumn("n_lines", F.coalesce(F.size("_lines"), F.lit(0)).cast("long"))
+        joined.withColumn("__plumbline_lines", lines)
+        .withColumn("n_lines", F.coalesce(F.size("__plumbline_lines"), F.lit(0)).cast("long"))
         .withColumn("n_lines", F.when(F.col(text_column).isNull(), F.lit(0)).otherwise(F.col("n_lines")).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_removed").isNull(), F.lit(0)).otherwise(F.size("_removed")).cast("long"))
-        .withColumn(text_column, F.when(F.col("_removed").isNull(), F.col(text_column)).otherwise(cleaned))
-        .drop("_id", "_own", "_removed", "_lines")
+        .withColumn("n_removed", F.when(F.col("__plumbline_removed").isNull(), F.lit(0)).otherwise(F.size("__plumbline_removed")).cast("long"))
+        .withColumn(text_column, F.when(F.col("__plumbline_removed").isNull(), F.col(text_column)).otherwise(cleaned))
+        .drop("__plumbline_id", "__plumbline_own", "__plumbline_removed", "__plumbline_lines")
     )
 
 

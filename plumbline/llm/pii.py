@@ -139,19 +139,19 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
 
 
 def pseudonymize(docs: DataFrame, text_column: str = "text", key: str = KEY) -> DataFrame:
-    """docs with text replaced, n_found (long) and kinds (distinct, sorted, comma-joined)."""
+    """docs with text replaced, n_found (long) and kinds (distinct, sorted, comma-joined); columns of these names are replaced."""
     text = F.col(text_column)
-    rows = docs.withColumn("_m", F.when(text.rlike('[0-9@"]'), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("_m", F.transform("_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
-    rows = rows.withColumn("_r", F.transform("_m", lambda x: F.struct(x["k"].alias("k"), pseudonym(x["m"], x["k"], key).alias("r"))))
+    rows = docs.withColumn("__plumbline_m", F.when(text.rlike('[0-9@"]'), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
+    rows = rows.withColumn("__plumbline_m", F.transform("__plumbline_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
+    rows = rows.withColumn("__plumbline_r", F.transform("__plumbline_m", lambda x: F.struct(x["k"].alias("k"), pseudonym(x["m"], x["k"], key).alias("r"))))
     gaps = F.split(text, PATTERN, -1)
-    woven = F.zip_with(gaps, F.transform("_r", lambda x: x["r"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
-    kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("_r", lambda x: x["k"]))))
+    woven = F.zip_with(gaps, F.transform("__plumbline_r", lambda x: x["r"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
+    kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("__plumbline_r", lambda x: x["k"]))))
     return (
-        rows.withColumn("n_found", F.coalesce(F.size(F.filter("_r", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long"))
+        rows.withColumn("n_found", F.coalesce(F.size(F.filter("__plumbline_r", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long"))
         .withColumn("kinds", F.coalesce(F.array_join(kinds, ","), F.lit("")))
         .withColumn(text_column, F.when(F.col("n_found") > 0, F.array_join(woven, "")).otherwise(text))
-        .drop("_m", "_r")
+        .drop("__plumbline_m", "__plumbline_r")
     )
 
 

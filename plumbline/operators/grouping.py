@@ -6,20 +6,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import cut
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each component of the undirected edges (a, b), lone nodes as (a, a).
 
     Labels flow to neighbours and jump to their label's label, so rounds grow with the logarithm of a component's
-    width. Each round's labels are persisted, so a lost executor only recomputes what it held.
+    width. Each round ends in a checkpoint, so plans stay short and a lost executor costs one round.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().persist()
+    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
+    both = cut(both)
     labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
+        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new")))
         hop = step.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        after = step.join(hop, step["new"] == hop["via"]).select("node", "label", F.least("new", "far").alias("new")).persist()
+        after = cut(step.join(hop, step["new"] == hop["via"]).select("node", "label", F.least("new", "far").alias("new")))
         if after.where("label <> new").isEmpty():
             return after.select("node", F.col("new").alias("label"))
         labels = after.select("node", F.col("new").alias("label"))

@@ -22,7 +22,8 @@ def wilson(successes, n, z: float = Z95) -> tuple[Column, Column]:
     p = k / m
     middle = (p + z * z / (2 * m)) / (1 + z * z / m)
     half = z * F.sqrt(p * (1 - p) / m + z * z / (4 * m * m)) / (1 + z * z / m)
-    return F.greatest(F.lit(0.0), middle - half), F.least(F.lit(1.0), middle + half)
+    some = m.isNotNull()
+    return F.when(some, F.greatest(F.lit(0.0), middle - half)), F.when(some, F.least(F.lit(1.0), middle + half))
 
 
 def holm(tests: DataFrame, family: str, name: str, p: str) -> DataFrame:
