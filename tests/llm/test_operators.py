@@ -57,10 +57,12 @@ def test_quality_edges(spark):
 
 
 def test_quality_divergence(spark):
-    prose = "the cat of a house was in it and by the sea it is a day for that man to be on {} with as the"
-    rows = [(i, " ".join(prose.format(f"w{i}x{k}") + f" q{i}v{k} z{k}y{i}" for k in range(12)), "en", "a") for i in range(30)]
+    rng = np.random.default_rng(7)
+    # every third word is the row's own, so no window repeats
+    common = rng.choice(quality.COMMON["en"], (30, 240))
+    rows = [(i, " ".join(x if k % 3 else f"{x} word{'abcdefghij'[k % 10]}n{i}x{k}" for k, x in enumerate(common[i])), "en", "a") for i in range(30)]
     junk = (99, " ".join(f"q{k}x$$$### b{k}d%%%***" for k in range(200)), "en", "a")
-    other = (100, rows[0][1].replace("w0", "w77"), None, "a")
+    other = (100, rows[0][1].replace("word", "wort"), None, "a")
     feats = quality.features(docs(spark, [*rows, junk, other])).cache()
     got = {r["doc_id"]: r for r in quality.judge(feats, quality.references(feats)).collect()}
     assert not got[99]["kept"] and not got[99]["base_failed"]
@@ -263,7 +265,7 @@ def test_extraction(spark):
 
 def test_mix(spark):
     rng = np.random.default_rng(3)
-    rows = [(i, " ".join(["w"] * int(n)), "en", f"s{i % 5}" if i % 11 else None) for i, n in enumerate(rng.integers(0, 60, 400))] + EDGE[:3] + EDGE[4:]
+    rows = [(1000 + i, " ".join(["w"] * int(n)), "en", f"s{i % 5}" if i % 11 else None) for i, n in enumerate(rng.integers(0, 60, 400))] + EDGE[:3] + EDGE[4:]
     got = mixing.mix(docs(spark, rows)).collect()
     again = mixing.mix(docs(spark, rows).repartition(7)).collect()
     key = lambda r: (r["doc_id"], r["size"], r["source_size"], r["target"], r["taken"])
