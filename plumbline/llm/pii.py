@@ -3,7 +3,8 @@
 One pattern finds candidates; what is validated is replaced in place. A number x below a * b is split
 into x div b and x mod b, and rounds add a keyed hash of one half to the other, so the map is a
 permutation of all numbers of its format: equal values stay equal in every document, different ones stay
-different. Payment cards (13 to 19 digits that pass the Luhn check) permute all digits but the last and get a
+different. Payment cards (13 to 19 digits that pass the Luhn check, in whole groups of a run of numbers between single
+blanks and hyphens, whatever other numbers stand beside them) permute all digits but the last and get a
 new check digit; dates that exist permute among the days of 1900 to 2099; IPv4 addresses permute among all;
 telephone numbers permute their last ten digits. Separators stay. E-mail addresses and quoted credentials aren't
 numbers: they get keyed hashes in their format (an address at example.org; characters of the same length).
@@ -26,10 +27,14 @@ FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end on 2099-12-31
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE = r"(?<![\w+])(?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)"
 PHONE += r"|(?<![\w+])\+\d{1,2}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
-CARD = r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?!\w|[.-]\d)"
 ADDRESS = r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)"
 DATE = r"(?<![\w-])\d{4}-\d{2}-\d{2}(?![\w-])|(?<![\w/])\d{2}/\d{2}/\d{4}(?![\w/])"
 SECRET = r"(?<![A-Za-z0-9])(?:[Tt]oken|[Ss]ecret|[Pp]assword|[Aa]pi_?[Kk]ey) ?[=:] ?\"[A-Za-z0-9_-]{8,}\""
+#: Numbers between blanks, 13 digits at least at first sight; what follows and is another kind's stays out.
+NUMBER = r"\d++(?:-\d++)*+(?!\w|\.\d)"
+CARD = rf"(?<![\w.-])(?=\d(?:[ -]?\d){{12}}){NUMBER}(?: (?!{EMAIL}|{PHONE}|{DATE}){NUMBER})*+"
+#: Beginnings and lengths in common use, which go first where stretches that pass the check overlap.
+USUAL = r"^(4\d{15}|5[1-5]\d{14}|2[2-7]\d{14}|3[47]\d{13}|3(0[0-5]|[68]\d)\d{11}|35\d{14}|6\d{15})$"
 PATTERN = "|".join((EMAIL, PHONE, DATE, ADDRESS, CARD, SECRET))
 KINDS = ("email", "phone", "date", "address", "card", "secret")
 
@@ -96,8 +101,7 @@ def spell(form: Column, digits: Column) -> Column:
 
 
 def kind_of(m: Column) -> Column:
-    """The kind of a match, or null where it isn't valid."""
-    digits = F.regexp_replace(m, "[^0-9]", "")
+    """The kind of a match, or null where it isn't valid or is a run of numbers."""
     day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))
     octets = F.forall(F.split(m, r"\."), lambda x: F.try_element_at(F.array(x), F.lit(1)).try_cast("int") <= 255)
     return (
@@ -106,10 +110,46 @@ def kind_of(m: Column) -> Column:
         .when(m.rlike(r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4})$"), F.when(day.between("1900-01-01", "2099-12-31"), F.lit("date")))
         .when(m.rlike(r"^\d{1,3}(\.\d{1,3}){3}$"), F.when(octets, F.lit("address")))
         .when(m.rlike(rf"^({PHONE})$"), "phone")
-        .when(F.length(digits).between(13, 19) & (luhn(digits) % 10 == 0), F.lit("card"))
     )
 
 
+def cards_of(groups: Column) -> Column:
+    """(i, j), first and last group, of the cards in a run: stretches that pass the check and don't overlap, in order."""
+    n = F.size(groups)
+    stretch = lambda i, j: F.struct(i.alias("i"), j.alias("j"), F.array_join(F.slice(groups, i + 1, j - i + 1), "").alias("d"))
+    from_ = lambda i: F.filter(
+        F.transform(F.sequence(i, F.least(i + 18, n - 1)), lambda j: stretch(i, j)), lambda x: F.length(x["d"]).between(13, 19) & (luhn(x["d"]) % 10 == 0)
+    )
+    passing = F.flatten(F.transform(F.sequence(F.lit(0), n - 1), from_))
+    ranked = F.array_sort(F.transform(passing, lambda x: F.struct(~x["d"].rlike(USUAL), -F.length(x["d"]), x["i"].alias("i"), x["j"].alias("j"))))
+
+    def pick(acc: Column, x: Column) -> Column:
+        taken = F.exists(acc, lambda a: (a["i"] <= x["j"]) & (x["i"] <= a["j"]))
+        return F.when(taken, acc).otherwise(F.concat(acc, F.array(F.struct(x["i"].alias("i"), x["j"].alias("j")))))
+
+    return F.array_sort(F.aggregate(ranked, F.array().cast("array<struct<i:int,j:int>>"), pick))
+
+
+def parts_of(m: Column) -> Column:
+    """(m, k) of the parts of a match, k null where one stays: the cards of a run and what stands between, or the whole."""
+
+    def split(groups: Column) -> Column:
+        upto = lambda i: F.length(F.array_join(F.slice(groups, F.lit(1), i), "-"))
+        cards = F.transform(cards_of(groups), lambda c: F.struct((upto(c["i"]) + (c["i"] > 0).cast("int")).alias("at"), upto(c["j"] + 1).alias("to")))
+        return F.transform(F.array(cards), weave)[0]
+
+    def weave(cards: Column) -> Column:
+        part = lambda at, to, k: F.struct(F.substr(m, at + 1, to - at).alias("m"), F.lit(k).cast("string").alias("k"))
+        after = lambda i: F.coalesce(F.get(cards, i)["to"], F.lit(0))
+        return F.concat(
+            F.flatten(F.transform(cards, lambda c, i: F.array(part(after(i - 1), c["at"], None), part(c["at"], c["to"], "card")))),
+            F.array(part(after(F.size(cards) - 1), F.length(m), None)),
+        )
+
+    run = m.rlike(r"^\d[\d -]*$") & (F.length(F.regexp_replace(m, "[^0-9]", "")) >= 13)
+    return F.when(run, F.transform(F.array(F.split(m, "[ -]")), split)[0]).otherwise(F.array(F.struct(m.alias("m"), kind_of(m).alias("k"))))
+
+
 def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     """What stands in for a match of the kind; the match itself where the kind is null."""
     digits = F.regexp_replace(m, "[^0-9]", "")
@@ -142,13 +182,16 @@ def pseudonymize(docs: DataFrame, text_column: str = "text", key: str = KEY) ->
     """docs with text replaced, n_found (long) and kinds (distinct, sorted, comma-joined); columns of these names are replaced."""
     text = F.col(text_column)
     rows = docs.withColumn("__plumbline_m", F.when(text.rlike('[0-9@"]'), F.regexp_extract_all(text, F.lit(PATTERN), F.lit(0))).otherwise(F.array().cast("array<string>")))
-    rows = rows.withColumn("__plumbline_m", F.transform("__plumbline_m", lambda m: F.struct(m.alias("m"), kind_of(m).alias("k"))))
-    rows = rows.withColumn("__plumbline_r", F.transform("__plumbline_m", lambda x: F.struct(x["k"].alias("k"), pseudonym(x["m"], x["k"], key).alias("r"))))
+    rows = rows.withColumn("__plumbline_m", F.transform("__plumbline_m", parts_of))
+    written = lambda parts: F.array_join(F.transform(parts, lambda x: pseudonym(x["m"], x["k"], key)), "")
+    found = lambda parts: F.array_compact(F.transform(parts, lambda x: x["k"]))
+    rows = rows.withColumn("__plumbline_r", F.transform("__plumbline_m", lambda p: F.struct(found(p).alias("k"), written(p).alias("r"))))
     gaps = F.split(text, PATTERN, -1)
     woven = F.zip_with(gaps, F.transform("__plumbline_r", lambda x: x["r"]), lambda g, r: F.concat(g, F.coalesce(r, F.lit(""))))
-    kinds = F.array_sort(F.array_distinct(F.array_compact(F.transform("__plumbline_r", lambda x: x["k"]))))
+    every = F.flatten(F.transform("__plumbline_r", lambda x: x["k"]))
+    kinds = F.array_sort(F.array_distinct(every))
     return (
-        rows.withColumn("n_found", F.coalesce(F.size(F.filter("__plumbline_r", lambda x: x["k"].isNotNull())), F.lit(0)).cast("long"))
+        rows.withColumn("n_found", F.coalesce(F.size(every), F.lit(0)).cast("long"))
         .withColumn("kinds", F.coalesce(F.array_join(kinds, ","), F.lit("")))
         .withColumn(text_column, F.when(F.col("n_found") > 0, F.array_join(woven, "")).otherwise(text))
         .drop("__plumbline_m", "__plumbline_r")

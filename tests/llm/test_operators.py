@@ -319,6 +319,32 @@ def test_pseudonyms(spark):
     assert all(got[d]["text"] == t and got[d]["n_found"] == 0 for d, t, *_ in EDGE)
 
 
+def test_cards_beside_numbers(spark):
+    card = "4111111111111111"
+    texts = [
+        "{} 123", "{} 12/27", "12 {}", "1234 {} 99 7", "{}-123", "{} 5 {}", "7 {} {} 1234567890123456789012 3", "{} 2024-01-05 x", "{} 555-123-4567",
+        "{} 12 5@example.com", "12345 2024-01-05", "{} 5th", "no 1234567890123456 12",
+    ]
+    spaced = "4111 1111 1111 1111"
+    rows = [(k, t.replace("{}", c), "en", "a") for k, (t, c) in enumerate((t, c) for t in texts for c in (card, spaced, spaced.replace(" ", "-")))]
+    got = {r["doc_id"]: r for r in pii.pseudonymize(docs(spark, rows)).collect()}
+    new = f"{feistel(int(card[:15]), 10**8, 10**7, 'card', 15):015d}"
+    new += luhn_digit(new)
+    dated, called, mailed = texts.index("{} 2024-01-05 x"), texts.index("{} 555-123-4567"), texts.index("{} 12 5@example.com")
+    for d, text, *_ in rows:
+        form = texts[d // 3]
+        sep = ("", " ", "-")[d % 3]
+        r = got[d]
+        n = form.count("{}")
+        want = form.replace("{}", sep.join(new[i : i + 4] for i in range(0, 16, 4)))
+        if d // 3 in (dated, called, mailed):
+            assert r["text"].startswith(want[: want.index("%s " % new[-4:]) + 4]) and r["n_found"] == 2 and not r["text"].endswith(form[-8:])
+        elif form == "12345 2024-01-05":
+            assert r["n_found"] == 1 and r["kinds"] == "date"
+        else:
+            assert r["text"] == want and r["n_found"] == n, text
+
+
 def test_permutation_is_one_to_one(spark):
     a, b = (F.lit(x).cast("long") for x in pii.DAYS)
     days = spark.range(pii.DAYS[0] * pii.DAYS[1]).select(pii.permute(F.col("id"), a, b, "k", "date").alias("x"))
