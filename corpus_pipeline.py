@@ -11,6 +11,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from plumbline.llm import bpe, langid, lines, mixing, neardup
 from plumbline.llm.common import WORD
@@ -19,6 +20,8 @@ from plumbline.llm.common import WORD
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 #: Posterior of its language under which a document goes.
 MIN_SCORE = 0.5
+#: Near duplicates share so many percent of their five-word shingles; all bands miss one at that with probability 4e-7.
+NEAR_PERCENT, NEAR_BANDS = 80, 28
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,9 +43,22 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, the one of the smallest id."""
-    kept = neardup.near_duplicates(docs).where("kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+    """One document of each group stays, the one of the smallest id.
+
+    Of the rows under one id the first with words stays, by text and then the other columns. Rows without an id are
+    documents of their own: copies of a text are one, after all those with an id, and each without words stays.
+    """
+    wordless = ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    loose = F.col("doc_id").isNull() & wordless
+    unnamed = F.shiftrightunsigned(F.xxhash64("text"), 2) + F.lit(1 << 62)  # beyond any id
+    docs = docs.select(*COLUMNS)
+    keyed = docs.where(~loose).withColumn("_key", F.coalesce("doc_id", unnamed))
+    found = neardup.near_duplicates(keyed, "_key", percent=NEAR_PERCENT, bands=NEAR_BANDS)
+    judged = found.groupBy("doc_id").agg(F.coalesce(F.bool_and(F.when(F.col("n_shingles") > 0, F.col("kept"))), F.lit(True)).alias("_kept"))
+    kept = judged.where("_kept").select(F.col("doc_id").alias("_key"))
+    order = W.partitionBy("_key").orderBy(wordless, "text", "lang", "source", "n_chars")
+    first = keyed.join(kept, "_key", "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1")
+    return first.select(*COLUMNS).union(docs.where(loose))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +67,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     share = share.withColumn("copies", F.round(F.col("taken") / F.greatest(F.lit(1), "size")).cast("int")).where("copies > 0")
     docs = docs.select(*COLUMNS)
     share = share.select(F.col("doc_id").alias("_id"), F.col("own").alias("_own"), "copies")
-    joined = docs.join(share, (F.col("doc_id") == F.col("_id")) & (F.xxhash64("text") == F.col("_own")))
+    joined = docs.join(share, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_own")))
     return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS)
 
 

@@ -237,11 +237,13 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
+def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
     """Pairs of members of a bucket in different components that may be linked, in all bands."""
+    if ROWS * bands > M:
+        raise ValueError(f"over {M // ROWS} bands")
     known = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
     known = materialize(known.select("node", "comp", "n", "regs"))
-    rows = _buckets(known, BANDS).join(known.select("node", "comp"), "node")
+    rows = _buckets(known, bands).join(known.select("node", "comp"), "node")
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"))
     mixed = mixed.where("k > 1").select("bucket", F.col("most.comp").alias("main"), F.col("most.c").alias("main_n"), "total")
@@ -274,7 +276,7 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT) ->
     def compare(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         keys, out = x["block"].to_numpy(), x["out"].to_numpy(dtype=bool)
         node, comp, n, band, regs = x["node"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), x["band"].to_numpy(), _matrix(x["regs"])
-        words = np.ascontiguousarray(regs[:, : ROWS * BANDS]).view("<u8").reshape(len(x), BANDS)
+        words = np.ascontiguousarray(regs[:, : ROWS * bands]).view("<u8").reshape(len(x), bands)
         begin = np.searchsorted(keys, keys[out], "left") if (np.diff(keys) >= 0).all() else None
         at = np.flatnonzero(out)
         if begin is None:
@@ -299,15 +301,17 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT) ->
     return full.mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of each row."""
+def near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, bands: int = BANDS
+) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept of each row. A lower ``percent`` needs more ``bands``."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     own = materialize(sketch(rows))
     classes = own.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x"))
     classes = materialize(classes.select("key", F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs")))
     pairs = materialize(star_pairs(classes, percent))
     labels = components(verify(pairs, rows, percent))
-    more = materialize(rest_pairs(classes, labels, percent))
+    more = materialize(rest_pairs(classes, labels, percent, bands))
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(more, rows, percent))
     # an id whose rows have several sets links their classes
     several = own.where("n > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")

@@ -14,6 +14,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from plumbline.llm import bpe, extract, langid, licenses, lines, media, mixing, neardup, pii, quality
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -232,6 +233,28 @@ def test_near_duplicates(spark):
     assert {(r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in got} == {(d, c, size[d], d == c) for d, c in label.items()}
 
 
+def test_pipeline_near_dedup(spark):
+    rng = np.random.default_rng(8)
+    rows = [(1, None, "en", "a"), (None, None, "en", "a"), (None, None, "en", "a"), (None, "", "en", "b")]
+    texts = {}
+    for g in range(30):  # 200 words, 196 shingles: five changed make 25 others, 171 of 221 are shared; four 176 of 216, 0.81
+        w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+        near = [f"g{g}x{i}" if i in (20, 60, 100, 140) else x for i, x in enumerate(w)]
+        far = [f"h{g}x{i}" if i in (20, 60, 100, 140, 180) else x for i, x in enumerate(w)]
+        texts[100 + g] = " ".join(w)
+        rows += [(100 + g, " ".join(w), "en", "a"), (1000 + g, " ".join(near), "en", "a"), (2000 + g, " ".join(far), "en", "a")]
+    lone = " ".join(f"n{i}" for i in range(50))
+    rows += [(None, lone, "en", "a"), (None, lone, "en", "a"), (None, texts[100], "en", "a")]
+    rows += [(500, "", "en", "a"), (500, "b c d", "en", "a"), (500, "a c d", "en", "a"), (501, "", "en", "a"), (501, texts[101], "en", "a")]
+    df = docs(spark, rows)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_dedup(spark, df.repartition(5), "").collect()), key=str)
+    named = [(r[0], r[1]) for r in rows if r[0] and r[0] >= 100 and r[0] not in (500, 501) and not 1000 <= r[0] < 2000]
+    want = [*named, (1, None), (None, None), (None, None), (None, ""), (None, lone), (500, "a c d")]
+    assert got == sorted(want, key=str)
+    mixed = corpus_pipeline.source_mix(spark, df.where("doc_id is null and length(text) > 0").limit(1), "")
+    assert mixed.count() > 0
+
+
 def test_sketch_estimates():
     rng = np.random.default_rng(1)
     x = rng.integers(0, 2**63, 3000, dtype=np.uint64)
