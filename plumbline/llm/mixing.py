@@ -3,7 +3,7 @@
 The multiples of the golden ratio, taken modulo one, are mapped through the sources' cumulative targets, so every
 stretch of the schedule holds each source in close to its share. A slot's rank among its source's slots is
 the number of the block that it takes. Blocks are equal stretches of words of the source's documents in a
-keyed random order, read round and round; what a document's words share with the taken blocks is what the mix takes.
+keyed random order, read round and round; a source too small for many blocks has shorter ones, and as many more slots; what a document's words share with the taken blocks is what the mix takes.
 
 Running sums within a source are made in two steps, over buckets of the random order and inside each, so
 no task gets a whole source. Sources themselves are few: their table is one row each.
@@ -27,13 +27,15 @@ GOLDEN = 0.6180339887498949
 WEIGHTS, SHARE, EPOCHS = (5, 2, 1), 1.5, 2
 #: Slots at least, words of a block at most, rows of a bucket at least.
 MIN_SLOTS, MAX_BLOCK, BUCKET_ROWS = 1 << 16, 1 << 20, 2000
+#: Slots that each source's target is worth at least, as far as it has so many words.
+SOURCE_SLOTS = 1024
 #: Cells by which slots meet their source in an equality join.
 CELLS = 1024
 SEED = "mix"
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
-    """skey, source_size, target of each source: weights in turn by code point, nulls last, cut at ``epochs`` sizes."""
+    """skey, source_size, target, k of each source: weights in turn by code point, nulls last, cut at ``epochs`` sizes."""
     by = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
     order = W.orderBy(F.col("source").asc_nulls_last())
     by = by.withColumn("k", F.row_number().over(order) - 1)
@@ -48,10 +50,18 @@ def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, ep
     by = by.withColumn("place", F.row_number().over(fill))
     first = F.min(F.when(F.col("limit") / F.col("weight") > F.col("level"), F.struct("place", "level"))).over(all_)["level"]
     by = by.withColumn("target", F.coalesce(F.least(F.col("limit"), first * F.col("weight")), F.col("limit")))
-    by = by.withColumn("upto", F.sum("target").over(order)).withColumn("total", F.sum("target").over(all_))
+    return by.select("skey", "source_size", "target", "k")
+
+
+def slot_shares(by: DataFrame, block: int) -> DataFrame:
+    """Adds unit, the words of a source's blocks, extra, the words by which shorter blocks count more, and lo and hi, its part of the slots."""
+    order, all_ = W.orderBy("k"), W.partitionBy()
+    unit = F.least(F.lit(block).cast("long"), F.greatest(F.lit(1).cast("long"), F.floor(F.col("target") / SOURCE_SLOTS)))
+    by = by.withColumn("unit", unit).withColumn("worth", F.col("target") * (F.lit(float(block)) / F.col("unit")))
+    by = by.withColumn("upto", F.sum("worth").over(order)).withColumn("total", F.sum("worth").over(all_))
     top = F.when(F.col("upto") >= F.col("total"), F.lit(1.0)).otherwise(F.col("upto") / F.col("total"))
-    return by.withColumn("lo", (F.col("upto") - F.col("target")) / F.col("total")).withColumn("hi", top).select(
-        "skey", "source_size", "target", "lo", "hi", "k"
+    return by.withColumn("lo", (F.col("upto") - F.col("worth")) / F.col("total")).withColumn("hi", top).select(
+        "skey", "source_size", "target", "lo", "hi", "k", "unit", (F.col("worth") - F.col("target")).alias("extra")
     )
 
 
@@ -97,21 +107,23 @@ def mix(
     )
     sized = materialize(sized.withColumn("rid", F.monotonically_increasing_id()))
     n_rows, words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
-    by = materialize(targets(sized))
     block = max(1, min(MAX_BLOCK, math.ceil(SHARE * words / MIN_SLOTS)))
-    slots = schedule(by, math.ceil(SHARE * words / block)).withColumn("block", F.col("block").cast("long"))
+    by = materialize(slot_shares(targets(sized), block))
+    extra = by.agg(F.coalesce(F.sum("extra"), F.lit(0.0))).first()[0]
+    slots = schedule(by, math.ceil((SHARE * words + extra) / block)).withColumn("block", F.col("block").cast("long"))
     n_buckets = max(1, n_rows // max(BUCKET_ROWS, math.isqrt(n_rows)))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2.0**32))
     rows = running(sized.withColumn("part", bucket), "skey", "part", ["key", "doc_id", "size"], F.col("size"), "start")
-    rows = rows.drop("part").join(by.select("skey", "source_size", "target"), "skey")
+    rows = rows.drop("part").join(by.select("skey", "source_size", "target", "unit"), "skey")
     # where the document stands in the source's words, read EPOCHS times
     stretch = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     placed = rows.where("size > 0").withColumn("epoch", stretch)
     placed = placed.withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
-    placed = placed.where(F.col("from") < F.ceil(F.col("target")) + 64 * block)  # no schedule strays so far
-    blocks = F.explode(F.sequence(F.floor(F.col("from") / block), F.floor((F.col("to") - 1) / block)))
-    placed = placed.select("rid", "skey", "from", "to", blocks.alias("block"))
-    shared = F.least(F.col("to"), (F.col("block") + 1) * block) - F.greatest(F.col("from"), F.col("block") * block)
+    unit = F.col("unit")
+    placed = placed.where(F.col("from") < F.ceil(F.col("target")) + 64 * unit)  # no schedule strays so far
+    blocks = F.explode(F.sequence(F.floor(F.col("from") / unit), F.floor((F.col("to") - 1) / unit)))
+    placed = placed.select("rid", "skey", "from", "to", "unit", blocks.alias("block"))
+    shared = F.least(F.col("to"), (F.col("block") + 1) * unit) - F.greatest(F.col("from"), F.col("block") * unit)
     taken = placed.join(slots, ["skey", "block"]).groupBy("rid").agg(F.sum(shared).alias("taken"))
     out = rows.join(taken, "rid", "left").withColumn("taken", F.coalesce("taken", F.lit(0)).cast("long"))
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "own")

@@ -306,6 +306,20 @@ def test_mix(spark):
     assert all(abs(s[1] - s[2]) <= max(8, 0.02 * s[2]) and s[2] <= 2 * s[0] + 1e-6 for s in by.values())
 
 
+def test_mix_small_sources(spark):
+    hot = "w " * 100000
+    rows = [(i, hot, "en", "hot") for i in range(30)]
+    rows += [(1000 + 10 * s + i, "w " * (1 + i % 4), "en", f"s{s:02d}") for s in range(24) for i in range(8)]
+    got = mixing.mix(docs(spark, rows)).collect()
+    by = collections.defaultdict(lambda: [0, 0.0])
+    for r in got:
+        s = by["hot" if r["doc_id"] < 1000 else (r["doc_id"] - 1000) // 10]
+        s[0] += r["taken"]
+        s[1] = r["target"]
+    assert len(by) == 25 and min(t for _, t in by.values()) < 1.5 * 3000000 / mixing.MIN_SLOTS
+    assert all(abs(n - t) <= max(4, 0.005 * t) for n, t in by.values())
+
+
 def feistel(value, a, b, tweak, *more):
     p, q = divmod(value, b)
     for r in range(pii.ROUNDS):
