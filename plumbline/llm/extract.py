@@ -2,11 +2,12 @@
 
 The standard library's parser streams a page's events into lines, one for each block of text, with
 the number of tags met since the line before. The ratios of text to tags are smoothed by a Gaussian and
-cut at a share of their spread: lines above it are clusters of content. The region is then the
-article or main element that holds most of the clusters' text, or, in pages with neither, the lines from the
-first cluster to the last. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
+cut at a share of their spread: lines above it are clusters of content. The region is then all
+article and main elements that hold clusters, with what is inside them and what is around them in such elements, or, in
+pages with neither, the lines from the first cluster to the last. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
 comments never count, wherever they stand; scripts, styles and markup aren't text. Short paragraphs inside
-the region stay, however low their ratio.
+the region stay, however low their ratio. A word in a class or id marks nothing on an element around the main element, nor
+on one around an article in pages that have no text in other articles; words after has- and with- tell of layout only.
 
 A null page counts as empty; a page without text gives the empty text. Unclosed and cut-off markup is
 read as far as it goes. Repeated rows give repeated results.
@@ -41,20 +42,26 @@ HINTS = {
     "notice", "pagination", "popup", "promo", "related", "respond", "share", "sidebar", "signup", "social", "sponsor", "sponsored",
     "subscribe", "toolbar", "widget", "contentinfo", "complementary", "search",
 }
+#: Those of reader comments, which aren't articles even in article elements.
+REPLIES = {"comment", "comments"}
 #: Lines to each side and width of the Gaussian; share of the standard deviation that is the threshold.
 REACH, SIGMA, SHARE = 2, 1.0, 0.25
 
+#: Beginnings of class names that tell what a page has or lacks.
+LAYOUT = ("has-", "has_", "with-", "with_", "no-", "without-")
+
 _words = re.compile(r"[a-z]+").findall
 
 
 class Lines(HTMLParser):
-    """Feeds on a page; lines holds [text, tags, apart, room] of its blocks."""
+    """Feeds on a page; lines holds [text, tags, apart, room, marks] of its blocks, outer the room around each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, int]] = []
-        self.rooms = 0
+        self.open: list[tuple[str, bool, int, int]] = []
+        self.outer = [0]
+        self.holds = [0]  # of each marked element: 2 around a main, 1 around an article
         self.parts: list[str] = []
         self.tags = 0
         self.silent = 0
@@ -64,7 +71,7 @@ class Lines(HTMLParser):
         if text:
             apart = any(x[1] for x in self.open)
             room = next((x[2] for x in reversed(self.open) if x[2]), 0)
-            self.lines.append([text, self.tags, apart, room])
+            self.lines.append([text, self.tags, apart, room, [x[3] for x in self.open if x[3]]])
             self.tags = 0
         self.parts.clear()
 
@@ -77,7 +84,7 @@ class Lines(HTMLParser):
         if tag in SILENT:
             self._end_line()
             self.silent += 1
-            self.open.append((tag, False, 0))
+            self.open.append((tag, False, 0, 0))
             return
         if tag in INLINE:
             return
@@ -89,24 +96,52 @@ class Lines(HTMLParser):
             if tag == "p":
                 self._close("p")
                 if marked:
-                    self.open.append((tag, True, 0))
+                    self.open.append((tag, True, 0, 0))
             return
-        room = 0
+        within = next((x[2] for x in reversed(self.open) if x[2]), 0)
+        apart = tag in APART or (tag == "header" and not within)
+        marked = not apart and tag != "main" and self._marked(attrs)
+        if tag == "article" and not within:
+            marked = self._marked(attrs, REPLIES)
+        room = mark = 0
         if tag in ROOMS:
-            self.rooms += 1
-            room = self.rooms
-        within = any(x[2] for x in self.open)
-        apart = tag in APART or (tag == "header" and not within) or (tag not in ROOMS and self._marked(attrs))
-        self.open.append((tag, apart, room))
+            room = len(self.outer)
+            self.outer.append(within)
+            for x in self.open if not marked else ():
+                self.holds[x[3]] = max(self.holds[x[3]], 1 + (tag == "main"))
+        if marked:
+            mark = len(self.holds)
+            self.holds.append(int(tag == "article" and not within))
+        self.open.append((tag, apart, room, mark))
 
     def handle_startendtag(self, tag, attrs):
+        if tag == "br":
+            self.handle_starttag(tag, attrs)
+            return
         self.tags += 1
         if tag not in INLINE:
             self._end_line()
 
     @staticmethod
-    def _marked(attrs) -> bool:
-        return any(k in ("class", "id", "role") and v and not HINTS.isdisjoint(_words(v.lower())) for k, v in attrs)
+    def _marked(attrs, hints: set[str] = HINTS) -> bool:
+        names = " ".join(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split() if not x.startswith(LAYOUT))
+        return not hints.isdisjoint(_words(names))
+
+    def kept(self) -> list[list]:
+        """The lines that aren't apart."""
+        for least in (2, 1):
+            lines = [x for x in self.lines if not x[2] and all(self.holds[m] >= least for m in x[4])]
+            if any(x[3] for x in lines):
+                return lines
+        return lines
+
+    def around(self, room: int) -> set[int]:
+        """The room and those around it."""
+        out = set()
+        while room:
+            out.add(room)
+            room = self.outer[room]
+        return out
 
     def _close(self, tag: str) -> None:
         for i in range(len(self.open) - 1, -1, -1):
@@ -129,7 +164,7 @@ class Lines(HTMLParser):
 
 def ratios(lines: list[list]) -> np.ndarray:
     """Characters for each tag, smoothed by a Gaussian."""
-    raw = np.array([len(t) / max(1, n) for t, n, _, _ in lines])
+    raw = np.array([len(t) / max(1, n) for t, n, *_ in lines])
     kernel = np.exp(-np.square(np.arange(-REACH, REACH + 1)) / (2 * SIGMA**2))
     padded = np.pad(raw, REACH, mode="edge")
     return np.convolve(padded, kernel / kernel.sum(), mode="valid")
@@ -142,18 +177,16 @@ def extract(html: str | None) -> str:
     page.feed(html)
     page.close()
     page._end_line()
-    lines = [x for x in page.lines if not x[2]]
+    lines = page.kept()
     if not lines:
         return ""
     smooth = ratios(lines)
     chosen = smooth >= SHARE * smooth.std()
-    rooms: dict[int, int] = {}
-    for (text, _, _, room), take in zip(lines, chosen, strict=True):
-        if room and take:
-            rooms[room] = rooms.get(room, 0) + len(text)
-    if rooms:
-        best = max(rooms, key=lambda r: (rooms[r], -r))
-        return " ".join(x[0] for x in lines if x[3] == best)
+    held = {x[3] for x, take in zip(lines, chosen, strict=True) if x[3] and take}
+    if held:
+        outer = set().union(*map(page.around, held))
+        inside = {r: r in outer or not held.isdisjoint(page.around(r)) for r in {x[3] for x in lines}}
+        return " ".join(x[0] for x in lines if inside[x[3]])
     at = np.flatnonzero(chosen)
     return " ".join(x[0] for x in lines[at[0] : at[-1] + 1]) if len(at) else ""
 

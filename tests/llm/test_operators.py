@@ -286,6 +286,21 @@ def test_extraction(spark):
     assert got[1] == want and got[2] == got[3] == got[6] == "" and got[5] == "just words" and len(got[7]) == 219999
 
 
+def test_extraction_keeps_whole_regions():
+    p = [f"Paragraph {k} is long enough to count as text of the page, with some more words to read in it." for k in range(4)]
+    assert extract.extract(f"<main><h1>Title</h1><p>{p[0]}</p><article><p>{p[1]}</p></article><article><p>{p[2]}</p></article><p>Close.</p></main>") == f"Title {p[0]} {p[1]} {p[2]} Close."
+    assert extract.extract(f"<article><p>{p[0]}</p></article><article><p>{p[1]}</p></article><div>x</div>") == f"{p[0]} {p[1]}"
+    assert extract.extract(f"<main><h1>Title</h1><article><p>{p[1]}</p></article><p>Close.</p></main>") == f"Title {p[1]} Close."
+    for wrap in ("has-sidebar", "with-sidebar", "search-result", "page widget"):
+        assert extract.extract(f'<div class="{wrap}"><article><p>{p[0]}</p></article></div>') == p[0]
+        assert extract.extract(f'<div class="{wrap}"><nav>Menu</nav><main><p>{p[0]}</p><div class="comments"><p>{p[1]}</p></div></main></div>') == p[0]
+    assert extract.extract(f'<div class="has-sidebar"><p>{p[0]}</p></div>') == p[0]
+    replies = f'<div class="comments"><article class="comment"><p>{p[1]}</p></article></div>'
+    assert extract.extract(f"<article><p>{p[0]}</p>{replies}</article>{replies}<article class='comment'><p>{p[2]}</p></article>") == p[0]
+    assert extract.extract(f'<article><p>{p[0]}</p></article><div class="related"><article><p>{p[1]}</p></article></div>') == p[0]
+    assert extract.extract("<p>one<br/>two<br>three<br />four</p>") == "one two three four"
+
+
 def test_mix(spark):
     rng = np.random.default_rng(3)
     rows = [(1000 + i, " ".join(["w"] * int(n)), "en", f"s{i % 5}" if i % 11 else None) for i, n in enumerate(rng.integers(0, 60, 400))] + EDGE[:3] + EDGE[4:]
