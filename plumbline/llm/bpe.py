@@ -6,7 +6,12 @@ the two tokens around it. So every byte prefix has one last token, which is the
 ends there and agrees with the last token of what precedes it. ``PrefixTable`` keeps that token
 for each prefix; appended bytes only add entries, and an edit keeps every entry before it.
 
-Nulls count as the empty text, which has no tokens. Repeated rows give repeated results. Long
+An automaton over the tokens lists those that end at each byte, longest first, and whether two tokens agree
+is told by undoing their merges along the border, so little needs to be remembered: what a worker
+keeps beside the vocabulary is bounded in bytes and dropped when a task ends.
+
+Nulls count as the empty text, which has no tokens. Repeated rows and rows that tie in every column give
+repeated results; an empty table gives an empty one, and other columns aren't read. Long
 texts are split by the pattern into short pieces; a long piece takes one entry per byte.
 """
 
@@ -14,21 +19,19 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
+from struct import pack
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
-#: Entries a worker's memo may hold before it starts anew; only speed depends on it.
-MEMO = 500_000
-#: Bytes by which tokens that can end a prefix are looked up.
-TAIL = 6
-#: Prefixes up to this many bytes are shared between pieces.
-SHARED = 24
+#: Bytes that remembered pieces may take in a worker, what one takes beside its own bytes, and pairs of tokens; only speed depends on them.
+MEMO_BYTES, ENTRY, PAIRS = 40 << 20, 200, 1 << 16
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -37,73 +40,99 @@ def load_ranks(path: str) -> dict[bytes, int]:
 
 
 class Vocabulary:
-    """Ranks, which tokens and pairs of tokens encode to themselves, and which tokens can end some bytes."""
+    """Ranks, the last merge of each token, and an automaton that finds tokens by their last byte."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        self.ranks = ranks
         self.tokens: dict[int, bytes] = {v: k for k, v in ranks.items()}
+        self.sizes = {v: len(k) for k, v in ranks.items()}
+        #: Two tokens to what they merge to; the two of each token (a byte stands for itself).
+        self.merges: dict[int, int] = {}
+        self.left: dict[int, int] = {}
+        self.right: dict[int, int] = {}
         self.pairs: dict[int, bool] = {}
-        self.endings: dict[bytes, list[tuple[int, int, bytes]]] = {}
-        #: Tokens that encode to themselves; no other can be part of an encoding.
-        self.valid = {k: v for k, v in ranks.items() if self.merged(k) == [v]}
-        self.long: dict[bytes, list[tuple[int, int, bytes]]] = {}
-        for k, v in self.valid.items():
-            if len(k) > TAIL:
-                self.long.setdefault(k[-TAIL:], []).append((len(k), v, k))
+        self.ending = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for token, data in sorted(self.tokens.items()):
+            found = (token, token) if len(data) == 1 else self._parts(ranks, data, token)
+            if found is None:
+                continue  # nothing merges to it, so no encoding has it
+            self.left[token], self.right[token] = found
+            if len(data) > 1:
+                self.merges[found[0] << 32 | found[1]] = token
+            self.ending.add_word(data.decode("latin-1"), token)
+        self.ending.make_automaton()
+        self.longest = max(self.sizes.values())
+        self.whole = {self.tokens[t].decode("latin-1"): t for t in self.left}
+
+    def _parts(self, ranks: dict[bytes, int], data: bytes, token: int) -> tuple[int, int] | None:
+        """The two tokens that are left of ``data`` before its last merge. Tokens of lesser rank are known."""
+        for i in range(1, len(data)):
+            a, b = ranks.get(data[:i], token), ranks.get(data[i:], token)
+            if a < token and b < token and a in self.left and b in self.left and self.agree(a, b):
+                return a, b
+        return None
+
+    def agree(self, a: int, b: int) -> bool:
+        """Whether the bytes of the two tokens encode to just these tokens.
+
+        Merges at the border are undone from the latest to the earliest. What stands on both sides of the border must
+        not have merged while it was there: until the side that was undone last was made.
+        """
+        merged, left, right = self.merges.get, self.left, self.right
+        until = 1 << 32  # rank of the first merge that comes too late
+        while True:
+            across = merged(a << 32 | b)
+            if across is not None and across < until:
+                return False
+            one, two = right[a] != a, left[b] != b
+            if not (one or two):
+                return True
+            # of equal tokens the left one is made first, so the right one is undone first
+            if one and (a > b or not two):
+                until, a = a, right[a]
+            else:
+                until, b = b + 1, left[b]
 
     def merged(self, data: bytes) -> list[int]:
-        """The definition: merge the adjacent pair of least rank, leftmost first, until none is left."""
+        """The definition: merge the adjacent pair of least rank, leftmost first, until none is left. For tests."""
+        ranks = {v: k for k, v in self.tokens.items()}
         parts = [data[i : i + 1] for i in range(len(data))]
-        get = self.ranks.get
         while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                rank = get(parts[i] + parts[i + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, i
-            if best is None:
+            best, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 32), i) for i in range(len(parts) - 1))
+            if best == 1 << 32:
                 break
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [self.ranks[p] for p in parts]
-
-    def together(self, left: int, right: int) -> bool:
-        """Whether the bytes of the two tokens encode to just these tokens."""
-        if len(self.pairs) >= MEMO:
-            self.pairs.clear()
-        fits = self.pairs[left << 32 | right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-        return fits
-
-    def ending(self, tail: bytes) -> list[tuple[int, int, bytes]]:
-        """(size, token, bytes) of tokens that end with ``tail``, of TAIL bytes at most, or that are an end of it; longest first."""
-        if len(self.endings) >= MEMO:
-            self.endings.clear()
-        short = [(n, self.valid[x], x) for n in range(1, len(tail) + 1) if (x := tail[-n:]) in self.valid]
-        found = self.endings[tail] = sorted(self.long.get(tail, []) + short, reverse=True)
-        return found
+        return [ranks[p] for p in parts]
 
     def extend(self, data: bytes, last: list[int], start: int) -> None:
         """Fill last[start + 1:], the last token of each prefix of ``data``, from last[:start + 1]."""
-        endings, pairs = self.endings, self.pairs
-        for end in range(start + 1, len(data) + 1):
-            tail = data[end - TAIL : end] if end > TAIL else data[:end]
-            for size, token, text in endings.get(tail) or self.ending(tail):
-                if size > TAIL and (size > end or data[end - size : end] != text):
+        pairs, sizes, done = self.pairs, self.sizes, start
+        begin = max(0, start + 1 - self.longest)
+        for end, token in self.ending.iter(data.decode("latin-1"), begin):
+            if end < done:
+                continue
+            before = end + 1 - sizes[token]
+            if before:
+                key = last[before] << 32 | token
+                fits = pairs.get(key)
+                if fits is None:
+                    if len(pairs) >= PAIRS:
+                        pairs.clear()
+                    fits = pairs[key] = self.agree(last[before], token)
+                if not fits:
                     continue
-                if size < end:
-                    before = last[end - size]
-                    fits = pairs.get(before << 32 | token)
-                    if not (self.together(before, token) if fits is None else fits):
-                        continue
-                last.append(token)
+            if end > done:
                 break
-            else:
-                raise ValueError(f"the vocabulary has no token for byte {data[end - 1]}")
+            last.append(token)
+            done += 1
+        if done < len(data):
+            raise ValueError(f"the vocabulary has no token for byte {data[done]}")
 
     def walk(self, last: list[int], end: int) -> list[int]:
-        out, tokens = [], self.tokens
+        out, sizes = [], self.sizes
         while end:
-            out.append(last[end])
-            end -= len(tokens[last[end]])
+            token = last[end]
+            out.append(token)
+            end -= sizes[token]
         return out[::-1]
 
 
@@ -131,47 +160,46 @@ class PrefixTable:
 
 
 class Encoder:
-    """Texts to ids; pieces that recur are looked up, and pieces that begin alike share their prefixes."""
+    """Texts to ids; pieces that recur are looked up."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.vocabulary = Vocabulary(ranks)
         self.pieces_of = regex.compile(pattern).findall
-        self.prefixes: dict[bytes, int] = {}
         self.memo: dict[str, bytes] = {}
-        self.packed = {t: t.to_bytes(4, "little") for t in self.vocabulary.tokens}
-
-    def piece(self, data: bytes) -> list[int]:
-        v, known = self.vocabulary, self.prefixes
-        if data in v.valid:
-            return [v.valid[data]]
-        if len(known) >= MEMO:
-            known.clear()
-        last, start = [-1], 0
-        for end in range(1, min(len(data), SHARED) + 1):
-            token = known.get(data[:end])
-            if token is None:
-                break
-            last.append(token)
-            start = end
-        v.extend(data, last, start)
-        for end in range(start + 1, min(len(data), SHARED) + 1):
-            known[data[:end]] = last[end]
-        return v.walk(last, len(data))
+        self.held = 0
+
+    def forget(self) -> None:
+        self.memo.clear()
+        self.vocabulary.pairs.clear()
+        self.held = 0
+
+    def piece(self, data: bytes) -> bytes:
+        v = self.vocabulary
+        whole = v.whole.get(data.decode("latin-1"))
+        if whole is not None:
+            return pack("<I", whole)
+        last = [-1]
+        v.extend(data, last, 0)
+        ids = v.walk(last, len(data))
+        return pack(f"<{len(ids)}I", *ids)
 
     def encode(self, text: str) -> bytes:
         """The ids as little-endian unsigned 32-bit integers."""
         pieces = self.pieces_of(text)
-        memo, packed = self.memo, self.packed
+        memo = self.memo
         found = list(map(memo.get, pieces))
         if None in found:
-            if len(memo) >= MEMO:
-                memo.clear()
+            if self.held > MEMO_BYTES:
+                self.forget()
             for i, x in enumerate(found):
                 if x is None:
                     p = pieces[i]
                     x = memo.get(p)
                     if x is None:
-                        x = memo[p] = b"".join([packed[t] for t in self.piece(p.encode("utf-8"))])
+                        x = self.piece(p.encode("utf-8"))
+                        if len(x) < 1024:
+                            memo[p] = x
+                            self.held += ENTRY + len(x) + len(p)
                     found[i] = x
         return b"".join(found)
 
@@ -183,8 +211,9 @@ _encoders: dict[tuple[str, str], Encoder] = {}
 
 
 def encoder(path: str, pattern: str) -> Encoder:
-    """One to a worker process."""
+    """One to a worker process, of a bounded size."""
     if (path, pattern) not in _encoders:
+        _encoders.clear()
         _encoders[path, pattern] = Encoder(load_ranks(path), pattern)
     return _encoders[path, pattern]
 
@@ -197,11 +226,12 @@ def encode_documents(
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         e = encoder(ranks_path, pattern)
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
+        try:
+            for part in slices(batches, "text"):
                 ids = [e.encode(t) if isinstance(t, str) else b"" for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": [e.decode(x) for x in ids]})
+        finally:
+            e.forget()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, ids binary, decoded binary")

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,16 +21,40 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local master may go without, in a temporary folder."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not found:
+        if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        found = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
+    return found
+
 
-    Only where that setting is absent (tests, a laptop) a temporary folder is set.
-    """
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
+def slices(batches: Iterator[pd.DataFrame], column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pd.DataFrame]:
+    """The batches in parts of at most ``rows`` rows and about ``size`` characters or bytes of ``column``; a longer row is alone."""
+    for batch in batches:
+        start = held = 0
+        for at, x in enumerate(batch[column]):
+            n = len(x) if isinstance(x, str | bytes | bytearray) else 0
+            if at > start and (at - start >= rows or held + n > size):
+                yield batch.iloc[start:at]
+                start, held = at, 0
+            held += n
+        if start < len(batch):
+            yield batch.iloc[start:]
+
+
 def lower_ascii(column):
-    return F.translate(column, UPPER, LOWER)
+    """A-Z alone in lower case, whatever the locale; texts of ASCII alone take the shorter way."""
+    text = F.col(column) if isinstance(column, str) else column
+    return F.when(text.rlike(r"^\p{ASCII}*$"), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
