@@ -5,15 +5,17 @@ language (``max_train`` rows are expected of each; rows are chosen by a hash of
 The log-probability matrix (buckets x languages, so bounded by ``max_languages``) is broadcast and
 whole texts are scored in batches: one gather and one sum by text.
 
-Null texts and texts without a letter are ``und`` with score 0. Where nothing was learned (an
-empty table, no labels), every row is ``und``. Ties go to the smallest language name. Repeated
-rows get repeated results; other columns of the input aren't read.
+Letters are the characters that Unicode calls so (``str.isalpha``), which leaves out digits and number signs
+of every script; marks are kept with the letters that they stand on. Null texts and texts without a letter are
+``und`` with score 0. Where nothing was learned (an empty table, no labels), every row is ``und``. Ties go to the
+smallest language name. Repeated rows get repeated results; columns that aren't named aren't read.
 """
 
 from __future__ import annotations
 
-import re
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -31,9 +33,17 @@ MAX_LANGUAGES = 256
 #: Code points handled at once; n-grams run on over the borders.
 SEGMENT = 1 << 18
 
-_letter = re.compile(r"[^\W\d_]").search
 _MULTIPLIERS = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
-_LETTER_BYTES = np.array([chr(i).isalpha() or i >= 128 for i in range(256)])
+
+
+def has_letter(text: str | None) -> bool:
+    return isinstance(text, str) and any(map(str.isalpha, text))
+
+
+@cache
+def _kept() -> np.ndarray:
+    """Whether each code point is a letter or a mark."""
+    return np.array([unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)])
 
 
 def buckets(text: str) -> Iterator[np.ndarray]:
@@ -43,7 +53,7 @@ def buckets(text: str) -> Iterator[np.ndarray]:
     for at in range(0, len(points), SEGMENT):
         begin = max(0, at - reach)
         c = points[begin : at + SEGMENT].astype(np.uint64)
-        c[~_LETTER_BYTES[np.minimum(c, 255).astype(np.intp)]] = 32
+        c[~_kept()[points[begin : at + SEGMENT]]] = 32
         out = []
         for order in ORDERS:
             first = max(0, at - begin - order + 1)
@@ -90,7 +100,7 @@ def train(
         counts: dict[str, np.ndarray] = {}
         for batch in batches:
             for label, text in zip(batch["label"], batch["text"], strict=True):
-                if _letter(text):
+                if has_letter(text):
                     total = counts.setdefault(label, np.zeros(BUCKETS, dtype=np.int64))
                     for b in buckets(text):
                         total += np.bincount(b, minlength=BUCKETS)
@@ -111,12 +121,12 @@ def train(
 def classify(
     docs: DataFrame, model: tuple[list[str], np.ndarray], text_column: str = "text", *keep: Column | str
 ) -> DataFrame:
-    """The columns ``keep``, lang_pred and score (the posterior under equal priors) of each row."""
+    """The columns ``keep``, lang_pred and score (the posterior under equal priors) of each row.
+
+    Only texts go to the Python workers, and only the two results come back.
+    """
     languages, matrix = model
     sent = docs.sparkSession.sparkContext.broadcast(matrix)
-    rows = docs.select(*keep, F.col(text_column).alias("_text"))
-    kept = [f for f in rows.schema.fields if f.name != "_text"]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["lang_pred string", "score double"])
 
     def scored(texts: list[str]) -> np.ndarray:
         weights, out = sent.value, np.zeros((len(texts), len(languages)))
@@ -142,19 +152,21 @@ def classify(
         flush()
         return out
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            known = np.array([isinstance(t, str) and bool(_letter(t)) for t in batch["_text"]], dtype=bool)
-            pred = np.full(len(batch), "und", dtype=object)
-            score = np.zeros(len(batch))
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            known = np.fromiter(map(has_letter, texts), dtype=bool, count=len(texts))
+            pred = np.full(len(texts), "und", dtype=object)
+            score = np.zeros(len(texts))
             if languages and known.any():
-                log = scored(batch["_text"][known].tolist())
-                best = log.argmax(axis=1)
-                pred[known] = np.array(languages, dtype=object)[best]
+                log = scored(texts[known].tolist())
+                pred[known] = np.array(languages, dtype=object)[log.argmax(axis=1)]
                 score[known] = 1.0 / np.exp(log - log.max(axis=1, keepdims=True)).sum(axis=1)
-            yield batch[[f.name for f in kept]].assign(lang_pred=pred, score=score)
+            yield pd.DataFrame({"lang_pred": pred, "score": score})
 
-    return rows.mapInPandas(run, schema)
+    # a filter on the results would repeat the work if it were moved below them
+    judged = F.pandas_udf(run, "lang_pred string, score double").asNondeterministic()
+    rows = docs.select(*keep, judged(F.col(text_column)).alias("_judged"))
+    return rows.select(*[c for c in rows.columns if c != "_judged"], "_judged.lang_pred", "_judged.score")
 
 
 def held_out(id_column: str = "doc_id") -> Column:
