@@ -12,11 +12,16 @@ verified on the full sets. Groups that share a band are never written out as pai
 2. In all bands only members of different components are compared, in bounded blocks inside tasks, and each
    pair that may pass is reported in its first common band only.
 
-A band misses a linked pair by chance: all ``BANDS`` miss one at the threshold with probability below 4e-7.
+A key that holds many rows (a hub, a bucket, a component, a set of copies) never sends them to one task: what belongs to it is
+broadcast, or copied and dealt out with its rows.
+
+A band misses a linked pair by chance: all ``BANDS`` miss one at the threshold with probability below 4e-7. The
+likelihood may drop one by ``MARGIN`` deviations; with a ``margin`` of None it drops none, and all candidates are verified.
 
 Null texts and texts without words have the empty set: n_shingles 0, linked with nothing, kept. Rows that share an id
-are linked with each other if they have shingles. Repeated rows get equal results. Texts of any length are hashed
-in segments. An empty table gives an empty result.
+are linked with each other if they have shingles. Rows without an id are linked with nothing: component_id null, kept. Repeated rows get equal
+results, and ties have no part in groups. Texts of any length are hashed in segments. An empty table gives an empty result; other
+columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -30,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import materialize, slices, table
 
 WIDTH = 5
 #: Link where 100 * intersection >= PERCENT * union.
@@ -41,7 +46,9 @@ ROWS, BANDS, FIRST_BANDS = 4, 20, 6
 #: Standard deviations of the estimate below the threshold that still pass.
 MARGIN = 4.0
 #: Members of a block of a bucket; pairs compared at once; ids that may be broadcast.
-BLOCK, CHUNK, BROADCAST_IDS = 1024, 1 << 16, 2_000_000
+BLOCK, CHUNK, BROADCAST_IDS = 256, 1 << 16, 2_000_000
+#: Rows of a key from which it is hot. So a table has a hot key for each HOT of its rows at most, which bounds what is broadcast of them.
+HOT = 10_000
 #: Words hashed at once.
 SEGMENT = 1 << 16
 
@@ -123,12 +130,14 @@ def estimate(a: np.ndarray, b: np.ndarray, n_a: int, n_b: int) -> float:
     return (low + high) / 2
 
 
-def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
-    """Rows whose estimate isn't more than MARGIN deviations below the threshold and whose sizes allow it."""
+def may_reach(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT, margin: float | None = MARGIN) -> np.ndarray:
+    """Rows whose estimate isn't more than ``margin`` deviations below the threshold and whose sizes allow it; by sizes alone where it is None."""
     t = percent / 100
-    low = max(0.01, t - MARGIN * math.sqrt(t * (1 - t) / M))
-    greater, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     fits = 100 * np.minimum(n_a, n_b) >= percent * np.maximum(n_a, n_b)
+    if margin is None:
+        return fits
+    low = max(0.01, t - margin * math.sqrt(t * (1 - t) / M))
+    greater, less = (a > b).sum(axis=1), (a < b).sum(axis=1)
     return fits & (_slope(low, greater, less, M - greater - less, n_a.astype(float), n_b.astype(float)) >= 0)
 
 
@@ -141,7 +150,7 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+        for batch in slices(batches, "text"):
             out = []
             for t in batch["text"]:
                 h = shingles(t if isinstance(t, str) else None)
@@ -153,6 +162,27 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     return rows.mapInPandas(run, f"doc_id {kind}, n long, key binary, regs binary")
 
 
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
+    """rows with the one row of facts that has their key; ``count`` is how many rows have it and isn't returned.
+
+    Hot keys' facts are broadcast to their rows where they lie; the others meet in a shuffle.
+    """
+    hot = facts.where(F.col(count) > HOT).drop(count)
+    cool = facts.where(F.col(count) <= HOT).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key, how)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)
+
+
+def join_sets(pairs: DataFrame, sets: DataFrame, key: str, other: str) -> DataFrame:
+    """pairs with the set of ``key``. A hub's set is copied once for each HOT of its pairs, which are dealt out to the copies."""
+    hubs = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
+    hubs = F.broadcast(hubs.select(key, F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
+    parts = F.coalesce("parts", F.lit(1))
+    dealt = pairs.join(hubs, key, "left").withColumn("part", F.pmod(F.hash(other), parts)).drop("parts")
+    copies = sets.join(hubs, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+    return dealt.join(copies, [key, "part"]).drop("part")
+
+
 def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) whose full sets meet the threshold. pairs is materialized; docs has doc_id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
@@ -161,15 +191,13 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 512):
-                part = batch.iloc[k : k + 512]
-                yield pd.DataFrame({"node": part["doc_id"], "hashes": [shingles(t).view(np.int64) for t in part["text"]]})
+        for part in slices(batches, "text"):
+            yield pd.DataFrame({"node": part["doc_id"], "hashes": [shingles(t).view(np.int64) for t in part["text"]]})
 
     sets = materialize(texts.mapInPandas(run, f"node {kind}, hashes array<bigint>"))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = pairs.select("a", "b").join(left, "a").join(right, "b")
+    both = join_sets(join_sets(pairs.select("a", "b"), left, "a", "b"), right, "b", "a")
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("s"))
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
@@ -189,11 +217,11 @@ def components(links: DataFrame) -> DataFrame:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = mark
         both = edges.union(edges.select("v", "u"))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("u", "m"))
+        large = join_hot(both, least, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        moved = large.join(least, "u").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        moved = join_hot(large, least, "u", "c").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
         edges = materialize(moved.where("e.u <> e.m").select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct())
 
 
@@ -207,22 +235,22 @@ def _buckets(classes: DataFrame, bands: int) -> DataFrame:
     return classes.select("node", F.explode(each).alias("x")).select("x.band", "x.bucket", "node")
 
 
-def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
+def star_pairs(classes: DataFrame, percent: int = PERCENT, margin: float | None = MARGIN) -> DataFrame:
     """Pairs of a member and its bucket's chosen members that may be linked, in the first bands.
 
     Copies differ from what they were made of in less than they do from each other, so the member whose buckets are the
     fullest stands for its bucket; one drawn by hash stands beside it.
     """
     rows = _buckets(classes, FIRST_BANDS)
-    shared = rows.join(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "bucket")
-    rows = materialize(shared.select("bucket", "node", "size"))
+    sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
+    rows = materialize(join_hot(rows, sizes.withColumn("c", F.col("size")), "bucket", "c").select("bucket", "node", "size"))
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
     drawn = F.pmod(F.xxhash64("node", "bucket"), F.lit(1 << 20))
     hubs = rows.join(central, "node").groupBy("bucket").agg(
-        F.max_by("node", F.col("weight") * (1 << 20) + drawn).alias("full"), F.min_by("node", drawn).alias("drawn")
+        F.max_by("node", F.col("weight") * (1 << 20) + drawn).alias("full"), F.min_by("node", drawn).alias("drawn"), F.count(F.lit(1)).alias("c")
     )
-    hubs = hubs.select("bucket", F.explode(F.array_distinct(F.array("full", "drawn"))).alias("hub"))
-    pairs = rows.join(hubs, "bucket").where("node <> hub")
+    hubs = materialize(hubs.select("bucket", F.array_distinct(F.array("full", "drawn")).alias("hubs"), "c"))
+    pairs = join_hot(rows, hubs, "bucket", "c").withColumn("hub", F.explode("hubs")).where("node <> hub")
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
     left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
     right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
@@ -230,14 +258,15 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
-                take = may_reach(_matrix(x["ra"]), _matrix(x["rb"]), x["na"].to_numpy(), x["nb"].to_numpy(), percent)
+                take = may_reach(_matrix(x["ra"]), _matrix(x["rb"]), x["na"].to_numpy(), x["nb"].to_numpy(), percent, margin)
                 yield x.loc[take, ["a", "b"]]
 
     kind = classes.schema["node"].dataType.simpleString()
-    return pairs.join(left, "a").join(right, "b").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    pairs = materialize(pairs)
+    return join_sets(join_sets(pairs, left, "a", "b"), right, "b", "a").mapInPandas(run, f"a {kind}, b {kind}").distinct()
 
 
-def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, bands: int = BANDS) -> DataFrame:
+def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, bands: int = BANDS, margin: float | None = MARGIN) -> DataFrame:
     """Pairs of members of a bucket in different components that may be linked, in all bands."""
     if ROWS * bands > M:
         raise ValueError(f"over {M // ROWS} bands")
@@ -247,7 +276,7 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, ba
     parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
     mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"))
     mixed = mixed.where("k > 1").select("bucket", F.col("most.comp").alias("main"), F.col("most.c").alias("main_n"), "total")
-    own = rows.join(mixed, "bucket")
+    own = join_hot(rows, materialize(mixed.withColumn("c", F.col("total"))), "bucket", "c")
     # those outside of a bucket's largest component, in blocks, meet all of it, in blocks
     n_out, n_all = F.ceil((F.col("total") - F.col("main_n")) / BLOCK), F.ceil(F.col("total") / BLOCK)
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
@@ -293,7 +322,7 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, ba
             i, j = i[keep], j[keep]
             first = (words[i] == words[j]).argmax(axis=1) == band[i]
             i, j = i[first], j[first]
-            take = may_reach(regs[i], regs[j], n[i], n[j], percent)
+            take = may_reach(regs[i], regs[j], n[i], n[j], percent, margin)
             i, j = i[take], j[take]
             yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
 
@@ -302,25 +331,29 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, ba
 
 
 def near_duplicates(
-    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, bands: int = BANDS
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT, bands: int = BANDS, margin: float | None = MARGIN
 ) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of each row. A lower ``percent`` needs more ``bands``."""
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     own = materialize(sketch(rows))
-    classes = own.where("n > 0").groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x"))
-    classes = materialize(classes.select("key", F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs")))
-    pairs = materialize(star_pairs(classes, percent))
+    known = own.where("n > 0 AND doc_id IS NOT NULL")
+    classes = known.groupBy("key").agg(F.min(F.struct("doc_id", "n", "regs")).alias("x"), F.count(F.lit(1)).alias("rows"))
+    classes = materialize(classes.select("key", F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs"), "rows"))
+    pairs = materialize(star_pairs(classes, percent, margin))
     labels = components(verify(pairs, rows, percent))
-    more = materialize(rest_pairs(classes, labels, percent, bands))
+    more = materialize(rest_pairs(classes, labels, percent, bands, margin))
     links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(more, rows, percent))
     # an id whose rows have several sets links their classes
-    several = own.where("n > 0").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    same_id = own.join(several, "doc_id").join(classes.select("key", "node"), "key").where("doc_id <> node")
+    several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    keys = join_hot(known.select("doc_id", "key"), several, "doc_id", "c").distinct()
+    same_id = keys.join(classes.select("key", "node"), "key").where("doc_id <> node")
     links = links.union(same_id.select("doc_id", "node"))
     labels = components(links)
-    named = classes.select("key", "node").join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"))
-    out = own.join(named, "key", "left").withColumn("component_id", F.coalesce("component_id", "doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+    named = classes.join(labels, "node", "left").select("key", F.coalesce("label", "node").alias("component_id"), "rows")
+    out = join_hot(own.select("doc_id", "n", "key"), named, "key", "rows", "left")
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
+    out = out.withColumn("component_id", component)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
 def op7_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
