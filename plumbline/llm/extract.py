@@ -1,16 +1,24 @@
 """Operator 8: main text of web pages by text-to-tag ratios.
 
 The standard library's parser streams a page's events into lines, one for each block of text, with
-the number of tags met since the line before. The ratios of text to tags are smoothed by a Gaussian and
-cut at a share of their spread: lines above it are clusters of content. The region is then all
-article and main elements that hold clusters, with what is inside them and what is around them in such elements, or, in
-pages with neither, the lines from the first cluster to the last. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
-comments never count, wherever they stand; scripts, styles and markup aren't text. Short paragraphs inside
-the region stay, however low their ratio. A word in a class or id marks nothing on an element around the main element, nor
+the number of tags met since the line before. Lines in menus, headers, footers, sidebars, notices, adverts, forms and reader
+comments never count, wherever they stand; scripts, styles and markup aren't text. A line's ratio is that of its
+characters outside links to its tags. The ratios' logarithms are smoothed by a Gaussian and cut at a
+share of their level, which is their mean by characters: runs of lines over it are the clusters of content. Lines whose own
+ratio is under the threshold are taken by the run, at the mean of their smoothed ratios, so no end of a list joins its neighbours; headings are runs of their own.
+
+What the clusters choose is a region: where article or main elements hold clusters, all of these with what is inside them and
+what is around them in such elements; in pages with neither, the stretch from the first cluster, and the headings right before
+it, to the last. In a region every run of lines under the threshold is judged as a whole: it stays where most of its
+characters are text (short paragraphs, headings, dialogue) and goes where most are in links (lists of links).
+
+A class or id marks what isn't the article by one of ``HINTS``, alone or joined to words of ``PLACES`` only, so
+``related-posts`` does and ``related-work`` doesn't. It marks nothing on an element around the main element, nor
 on one around an article in pages that have no text in other articles; words after has- and with- tell of layout only.
 
-A null page counts as empty; a page without text gives the empty text. Unclosed and cut-off markup is
-read as far as it goes. Repeated rows give repeated results.
+A null page counts as empty; a page without text gives the empty text; an empty table gives an empty one. Unclosed and cut-off markup is
+read as far as it goes: list items, cells and paragraphs end where the next begins. Repeated rows give repeated results; of the input only
+the named columns are read, and a kept column may be named like any other but ``text``.
 """
 
 from __future__ import annotations
@@ -18,13 +26,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 SILENT = {"script", "style", "noscript", "template", "iframe", "svg", "math", "object", "canvas", "head"}
 APART = {"nav", "footer", "aside", "form", "menu", "dialog", "button", "select", "textarea", "fieldset"}
@@ -44,17 +53,33 @@ HINTS = {
 }
 #: Those of reader comments, which aren't articles even in article elements.
 REPLIES = {"comment", "comments"}
-#: Lines to each side and width of the Gaussian; share of the standard deviation that is the threshold.
-REACH, SIGMA, SHARE = 2, 1.0, 0.25
+#: Words that are joined to these in class names: parts and places of a page.
+PLACES = {
+    "area", "bar", "block", "body", "bottom", "box", "buttons", "card", "cards", "center", "col", "column", "container", "content", "entry",
+    "form", "global", "group", "header", "head", "icons", "inner", "item", "items", "item", "left", "line", "link", "links", "list", "main", "message",
+    "meta", "mobile", "outer", "page", "panel", "post", "posts", "articles", "stories", "primary", "right", "row", "secondary", "section", "site", "slot", "text", "thread",
+    "title", "top", "unit", "wrap", "wrapper", "media",
+}
+#: Lines to each side and width of the Gaussian; share of the level that is the threshold.
+REACH, SIGMA, SHARE = 2, 1.0, 0.4
+#: An opened element of the first kinds ends those of the second, if none of the third is between.
+IMPLIED = {
+    "li": ({"li"}, {"ul", "ol", "menu"}),
+    "dt": ({"dt", "dd"}, {"dl"}),
+    "dd": ({"dt", "dd"}, {"dl"}),
+    "tr": ({"tr", "td", "th"}, {"table"}),
+    "td": ({"td", "th"}, {"tr", "table"}),
+    "th": ({"td", "th"}, {"tr", "table"}),
+}
 
 #: Beginnings of class names that tell what a page has or lacks.
 LAYOUT = ("has-", "has_", "with-", "with_", "no-", "without-")
 
-_words = re.compile(r"[a-z]+").findall
+_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
 class Lines(HTMLParser):
-    """Feeds on a page; lines holds [text, tags, apart, room, marks] of its blocks, outer the room around each."""
+    """Feeds on a page; lines holds [text, tags, apart, room, marks, linked, heading] of its blocks, outer the room around each."""
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
@@ -65,20 +90,28 @@ class Lines(HTMLParser):
         self.parts: list[str] = []
         self.tags = 0
         self.silent = 0
+        self.anchor = False
+        self.linked = 0
+        self.heading = False
 
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
             apart = any(x[1] for x in self.open)
             room = next((x[2] for x in reversed(self.open) if x[2]), 0)
-            self.lines.append([text, self.tags, apart, room, [x[3] for x in self.open if x[3]]])
+            self.lines.append([text, self.tags, apart, room, [x[3] for x in self.open if x[3]], min(self.linked, len(text)), self.heading])
             self.tags = 0
         self.parts.clear()
+        self.anchor, self.linked = False, 0
 
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
             self.parts.append(" ")
+        if tag == "hr":
+            self._end_line()
+        if tag == "a":
+            self.anchor = any(k == "href" for k, _ in attrs)
         if tag in VOID:
             return
         if tag in SILENT:
@@ -89,14 +122,15 @@ class Lines(HTMLParser):
         if tag in INLINE:
             return
         self._end_line()
-        if tag in ("body", "html", "p") or re.fullmatch("h[1-6]", tag):
+        self.heading = re.fullmatch("h[1-6]", tag) is not None
+        self._close("p")
+        if tag in IMPLIED:
+            self._imply(*IMPLIED[tag])
+        if tag in ("body", "html", "p") or self.heading:
             if tag == "body":  # the head may lack its end
                 self._close("head")
-            marked = tag == "p" and self._marked(attrs)
-            if tag == "p":
-                self._close("p")
-                if marked:
-                    self.open.append((tag, True, 0, 0))
+            if tag == "p" and self._marked(attrs):
+                self.open.append((tag, True, 0, 0))
             return
         within = next((x[2] for x in reversed(self.open) if x[2]), 0)
         apart = tag in APART or (tag == "header" and not within)
@@ -124,8 +158,13 @@ class Lines(HTMLParser):
 
     @staticmethod
     def _marked(attrs, hints: set[str] = HINTS) -> bool:
-        names = " ".join(x for k, v in attrs if k in ("class", "id", "role") and v for x in v.lower().split() if not x.startswith(LAYOUT))
-        return not hints.isdisjoint(_words(names))
+        for k, v in attrs:
+            if k in ("class", "id", "role") and v:
+                for name in v.split():
+                    words = {x.lower() for x in _words(name)} if not name.lower().startswith(LAYOUT) else set()
+                    if not hints.isdisjoint(words) and words <= HINTS | PLACES:
+                        return True
+        return False
 
     def kept(self) -> list[list]:
         """The lines that aren't apart."""
@@ -150,24 +189,64 @@ class Lines(HTMLParser):
                 del self.open[i:]
                 return
 
+    def _imply(self, ended: set[str], within: set[str]) -> None:
+        for i in range(len(self.open) - 1, -1, -1):
+            tag = self.open[i][0]
+            if tag in within:
+                return
+            if tag in ended:
+                self._close(tag)
+
     def handle_endtag(self, tag):
         self.tags += 1
+        if tag == "a":
+            self.anchor = False
         if tag in INLINE:
             return
         self._end_line()
+        self.heading = False
         self._close(tag)
 
     def handle_data(self, data):
         if not self.silent:
             self.parts.append(data)
+            if self.anchor:
+                self.linked += len(" ".join(data.split()))
 
 
-def ratios(lines: list[list]) -> np.ndarray:
-    """Characters for each tag, smoothed by a Gaussian."""
-    raw = np.array([len(t) / max(1, n) for t, n, *_ in lines])
+def ratios(lines: list[list]) -> tuple[np.ndarray, np.ndarray]:
+    """Logarithms of characters outside links for each tag, as they are and smoothed by a Gaussian."""
+    raw = np.log1p([(len(t) - linked) / max(1, n) for t, n, _, _, _, linked, _ in lines])
     kernel = np.exp(-np.square(np.arange(-REACH, REACH + 1)) / (2 * SIGMA**2))
-    padded = np.pad(raw, REACH, mode="edge")
-    return np.convolve(padded, kernel / kernel.sum(), mode="valid")
+    return raw, np.convolve(np.pad(raw, REACH, mode="edge"), kernel / kernel.sum(), mode="valid")
+
+
+def clusters(lines: list[list]) -> np.ndarray:
+    """Whether each line is content: by its smoothed ratio, or where its own is under the threshold by the mean of its run of such lines."""
+    raw, smooth = ratios(lines)
+    threshold = SHARE * np.average(smooth, weights=[len(x[0]) for x in lines])
+    chosen = smooth >= threshold
+    for (low, _), run in groupby(range(len(lines)), key=lambda i: (bool(raw[i] < threshold), lines[i][6])):
+        if low:
+            run = list(run)
+            chosen[run] = smooth[run].mean() >= threshold
+    return chosen
+
+
+def region(lines: list[list], chosen: np.ndarray, page: Lines) -> list[int]:
+    """Places of the lines in the region that the clusters choose."""
+    held = {x[3] for x, take in zip(lines, chosen, strict=True) if x[3] and take}
+    if held:
+        outer = set().union(*map(page.around, held))
+        inside = {r: r in outer or not held.isdisjoint(page.around(r)) for r in {x[3] for x in lines}}
+        return [i for i, x in enumerate(lines) if inside[x[3]]]
+    at = np.flatnonzero(chosen)
+    if not len(at):
+        return []
+    first = at[0]
+    while first and lines[first - 1][6]:
+        first -= 1
+    return list(range(first, at[-1] + 1))
 
 
 def extract(html: str | None) -> str:
@@ -180,15 +259,14 @@ def extract(html: str | None) -> str:
     lines = page.kept()
     if not lines:
         return ""
-    smooth = ratios(lines)
-    chosen = smooth >= SHARE * smooth.std()
-    held = {x[3] for x, take in zip(lines, chosen, strict=True) if x[3] and take}
-    if held:
-        outer = set().union(*map(page.around, held))
-        inside = {r: r in outer or not held.isdisjoint(page.around(r)) for r in {x[3] for x in lines}}
-        return " ".join(x[0] for x in lines if inside[x[3]])
-    at = np.flatnonzero(chosen)
-    return " ".join(x[0] for x in lines[at[0] : at[-1] + 1]) if len(at) else ""
+    chosen = clusters(lines)
+    at = region(lines, chosen, page)
+    out: list[str] = []
+    for (content, _), run in groupby(at, key=lambda i: (bool(chosen[i]), lines[i][6])):
+        texts = [lines[i] for i in run]
+        if content or 2 * sum(x[5] for x in texts) <= sum(len(x[0]) for x in texts):
+            out += [x[0] for x in texts]
+    return " ".join(out)
 
 
 def extract_pages(pages: DataFrame, html_column: str = "html", *keep: str) -> DataFrame:
@@ -197,8 +275,8 @@ def extract_pages(pages: DataFrame, html_column: str = "html", *keep: str) -> Da
     kept = [f for f in rows.schema.fields if f.name != "_html"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch[[f.name for f in kept]].assign(text=[extract(h) for h in batch["_html"]])
+        for part in slices(batches, "_html"):
+            yield part[[f.name for f in kept]].assign(text=[extract(h) for h in part["_html"]])
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + ["text string"])
     return rows.mapInPandas(run, schema)
