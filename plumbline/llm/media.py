@@ -1,34 +1,36 @@
 """Operator 2: ISO base media files as columns.
 
-``read_media`` walks the nested boxes of files in a binary column and decodes the sample tables
-(sample sizes, chunk offsets, samples to chunks, sync samples, time to sample), so each row gets its
-codec, duration and the byte ranges of its key frames; payload bytes are only sliced, never decoded.
+``read_media`` walks the nested boxes of files in a binary column and decodes the sample tables of each track
+(sample sizes, chunk offsets, samples to chunks, sync samples, time to sample), so each row gets, of its first video track or else its
+first one, the codec, duration and the byte range and time of each key frame, and the same of every track in ``tracks``; payload bytes
+are only sliced, never decoded. A track's boxes are those inside its own; a duration of 0 is taken from the times of its samples.
 ``write_media`` packs bytes losslessly into such a file: one track of unsigned 8-bit samples ('raw ').
 
-A null text counts as empty and is stored as 64 zero bytes. Files that are cut short or hold none of
-the needed boxes give nulls and the reason in ``error``. Long texts stay one row's bytes; repeated
-rows give equal files.
+A null text counts as empty and is stored as 64 zero bytes. Files that are cut short or lack one of
+the needed boxes give nulls and the reason in ``error``; of tables that contradict each other too. Long texts stay one row's bytes; repeated
+rows and ties give equal files, and an empty table gives an empty one. Of the input only the named columns are read.
 """
 
 from __future__ import annotations
 
 import struct
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 #: Bytes of a sample, samples of a chunk, samples from a key frame to the next, samples per second.
 SAMPLE, CHUNK, KEY, RATE = 64, 16, 8, 8000
 #: Boxes that hold boxes.
-CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf", b"udta"}
+CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
 
 MEDIA_SCHEMA = (
-    "codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,end:long>>, "
+    "codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,end:long,time:long>>, "
+    "tracks array<struct<handler:string,codec:string,timescale:long,duration:long,n_samples:long,key_ranges:array<struct<start:long,end:long,time:long>>>>, "
     "payload binary, error string"
 )
 
@@ -99,11 +101,8 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         start += size
 
 
-def parse_media(data: bytes) -> dict:
-    """Codec, time scale, duration, samples and key frames' byte ranges of the first track."""
-    found: dict[bytes, tuple[int, int]] = {}
-    for path, start, end in walk(data):
-        found.setdefault(path[-1], (start, end))
+def parse_track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
+    """Handler, codec, time scale, duration, samples' and key frames' byte ranges, and key frames' times, by a track's boxes."""
 
     def table_of(kind: bytes, form: str, skip: int = 4) -> list[tuple]:
         start, end = found[kind]
@@ -114,6 +113,7 @@ def parse_media(data: bytes) -> dict:
         return list(struct.iter_unpack(form, data[at : at + n * width]))
 
     try:
+        handler = data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12].decode("latin-1")
         codec = data[found[b"stsd"][0] + 12 : found[b"stsd"][0] + 16].decode("latin-1")
         at = found[b"mdhd"][0]
         timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
@@ -121,9 +121,13 @@ def parse_media(data: bytes) -> dict:
         sizes = [fixed] * count if fixed else [x for (x,) in table_of(b"stsz", ">I", 8)]
         chunks = [x for (x,) in (table_of(b"co64", ">Q") if b"co64" in found else table_of(b"stco", ">I"))]
         runs = table_of(b"stsc", ">III")
+        times = table_of(b"stts", ">II")
         sync = [x for (x,) in table_of(b"stss", ">I")] if b"stss" in found else range(1, count + 1)
     except KeyError as e:
         raise ValueError(f"box {e.args[0]!r} is missing") from None
+    starts = [0, *accumulate(delta for n, delta in times for _ in range(n))]
+    if len(starts) != count + 1:
+        raise ValueError("times and samples differ in number")
     ranges: list[tuple[int, int]] = []
     for k, (first, each, _) in enumerate(runs):
         until = runs[k + 1][0] if k + 1 < len(runs) else len(chunks) + 1
@@ -133,38 +137,54 @@ def parse_media(data: bytes) -> dict:
                     break
                 ranges.append((offset, offset + sizes[len(ranges)]))
                 offset = ranges[-1][1]
-    if len(ranges) != len(sizes) or any(e > len(data) for _, e in ranges):
+    if len(ranges) != len(sizes) or any(e > len(data) for _, e in ranges) or any(not 1 <= i <= count for i in sync):
         raise ValueError("samples lie outside of the file")
     return {
-        "codec": codec, "timescale": timescale, "duration": duration, "n_samples": len(sizes), "ranges": ranges,
-        "key_ranges": [ranges[i - 1] for i in sync],
+        "handler": handler, "codec": codec, "timescale": timescale, "duration": duration or starts[-1], "n_samples": len(sizes), "ranges": ranges,
+        "key_ranges": [(*ranges[i - 1], starts[i - 1]) for i in sync],
     }
 
 
+def parse_media(data: bytes) -> tuple[dict, list[dict]]:
+    """The main track (the first of video, else the first) and all tracks."""
+    found: list[dict[bytes, tuple[int, int]]] = []
+    for path, start, end in walk(data):
+        if path == (b"moov", b"trak"):
+            found.append({})
+        elif path[:2] == (b"moov", b"trak"):
+            found[-1].setdefault(path[-1], (start, end))
+    if not found:
+        raise ValueError("there is no track")
+    tracks = [parse_track(data, x) for x in found]
+    return next((x for x in tracks if x["handler"] == "vide"), tracks[0]), tracks
+
+
 def read_media(files: DataFrame, media_column: str = "media", *keep: str) -> DataFrame:
     """The columns ``keep`` and MEDIA_SCHEMA of each row's file."""
     rows = files.select(*keep, F.col(media_column).alias("_media"))
     kept = [f for f in rows.schema.fields if f.name != "_media"]
-    names = [x.split(" ")[0] for x in ("codec", "timescale", "duration", "n_samples", "key_ranges", "payload", "error")]
+    names = [x.split(" ")[0] for x in ("codec", "timescale", "duration", "n_samples", "key_ranges", "tracks", "payload", "error")]
+
+    def keys(x: dict) -> list[dict]:
+        return [{"start": a, "end": b, "time": t} for a, b, t in x["key_ranges"]]
 
     def one(data: bytes | None) -> tuple:
         if data is None:
-            return (None,) * 6 + ("no file",)
+            return (None,) * 7 + ("no file",)
         try:
-            x = parse_media(data)
+            x, tracks = parse_media(data)
         except (ValueError, struct.error, IndexError) as e:
-            return (None,) * 6 + (str(e),)
-        return (x["codec"], x["timescale"], x["duration"], x["n_samples"], [{"start": a, "end": b} for a, b in x["key_ranges"]],
-                b"".join(data[a:b] for a, b in x["ranges"]), None)
+            return (None,) * 7 + (str(e),)
+        each = [{k: t[k] for k in ("handler", "codec", "timescale", "duration", "n_samples")} | {"key_ranges": keys(t)} for t in tracks]
+        return (x["codec"], x["timescale"], x["duration"], x["n_samples"], keys(x), each, b"".join(data[a:b] for a, b in x["ranges"]), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256].reset_index(drop=True)
-                got = pd.DataFrame([one(m) for m in part["_media"]], columns=names)
-                for c in ("timescale", "duration", "n_samples"):
-                    got[c] = got[c].astype("Int64")
-                yield pd.concat([part[[f.name for f in kept]], got], axis=1)
+        for part in slices(batches, "_media", 256):
+            part = part.reset_index(drop=True)
+            got = pd.DataFrame([one(m) for m in part["_media"]], columns=names)
+            for c in ("timescale", "duration", "n_samples"):
+                got[c] = got[c].astype("Int64")
+            yield pd.concat([part[[f.name for f in kept]], got], axis=1)
 
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept] + [MEDIA_SCHEMA])
     return rows.mapInPandas(run, schema)
@@ -175,12 +195,10 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for k in range(0, len(batch), 256):
-                part = batch.iloc[k : k + 256]
-                raw = [t.encode("utf-8") if isinstance(t, str) else b"" for t in part["text"]]
-                media = [write_media(x + bytes(max(64, -(-len(x) // 64) * 64) - len(x))) for x in raw]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in raw], "media": media})
+        for part in slices(batches, "text", 256):
+            raw = [t.encode("utf-8") if isinstance(t, str) else b"" for t in part["text"]]
+            media = [write_media(x + bytes(max(64, -(-len(x) // 64) * 64) - len(x))) for x in raw]
+            yield pd.DataFrame({"doc_id": part["doc_id"], "n_bytes": [len(x) for x in raw], "media": media})
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     return rows.mapInPandas(run, f"doc_id {kind}, n_bytes long, media binary")
@@ -189,7 +207,7 @@ def store_texts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 def op2_iso_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = store_texts(table(spark, sf_dir, "documents", "doc_id", "text"))
     read = read_media(stored, "media", "doc_id", "n_bytes", "media")
-    ranges = F.transform("key_ranges", lambda r: F.concat_ws("-", r["start"], r["end"]))
+    ranges = F.transform("key_ranges", lambda r: F.concat_ws("-", r["start"], r["end"], r["time"]))
     return read.select(
         "doc_id",
         "n_bytes",
