@@ -7,8 +7,10 @@ distances of its two histograms to its language's reference stay within limits.
 characters or ``min_words`` words are too short to be judged by a histogram, so only the base rules hold.
 Rows of another or no language are held against the nearest reference; without any reference the base rules decide.
 
-A null text counts as empty: no words, so it fails. Windows are compared by a 64-bit hash. Rows that
-repeat an id are judged each for itself; other columns of the input aren't read.
+A null text counts as empty: no words, so it fails. Windows are compared by their hash: of texts up to
+``PACKED_WORDS`` words by 51 bits of it, that are packed with the place so that plain numbers are sorted, and of longer ones by all 64.
+Rows that repeat an id, with or without one, are judged each for itself; ties in any column change nothing; an empty table gives an
+empty result and no references. Other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ WORDS = sorted({w for x in COMMON.values() for w in x})
 #: Lengths from which each histogram is judged, and the largest distances allowed.
 MIN_CHARS, MAX_CLASS_DISTANCE = 200, 0.25
 MIN_WORDS, MAX_WORD_DISTANCE = 100, 0.31
+#: Words up to which a window's hash shares 64 bits with its place.
+PACKED_WORDS = (1 << 13) - 1
 
 
 def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", lang_column: str = "lang") -> DataFrame:
@@ -66,18 +70,19 @@ def features(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
         "words",
         bits.alias("bits"),
     )
-    packed = F.transform(
-        "words",
-        lambda w, i: F.call_function("shiftleft", F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2)), F.col("bits")).bitwiseOR(
-            i.cast("long")
-        ),
-    )
-    c = b.withColumn("packed", F.sort_array(F.slice(packed, F.lit(1), F.greatest(F.lit(0), F.size("words") - 2)))).drop("words")
+    window = lambda w, i: F.xxhash64(w, F.get("words", i + 1), F.get("words", i + 2))
+    ordered = lambda each: F.sort_array(F.slice(F.transform("words", each), F.lit(1), F.greatest(F.lit(0), F.size("words") - 2)))
+    packed = ordered(lambda w, i: F.call_function("shiftleft", window(w, i), F.col("bits")).bitwiseOR(i.cast("long")))
+    whole = ordered(lambda w, i: F.struct(window(w, i).alias("h"), i.alias("i")))
+    short = F.col("n_words") <= PACKED_WORDS
+    c = b.withColumn("packed", F.when(short, packed)).withColumn("whole", F.when(~short, whole)).drop("words")
     following = lambda x, y: F.call_function("shiftrightunsigned", x.bitwiseXOR(y), F.col("bits")) == 0
     place = lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), F.col("bits")) - 1).cast("int")
     first_of_two = F.array_compact(F.transform("packed", lambda x, j: F.when(following(x, F.get("packed", j + 1)), j)))
     both = F.flatten(F.transform(first_of_two, lambda j: F.array(place(F.get("packed", j)), place(F.get("packed", j + 1)))))
-    d = c.withColumn("starts", F.sort_array(F.array_distinct(both))).drop("packed")
+    equal = F.array_compact(F.transform("whole", lambda x, j: F.when(x["h"] == F.get("whole", j + 1)["h"], F.array(x["i"], F.get("whole", j + 1)["i"]))))
+    starts = F.sort_array(F.array_distinct(F.when(short, both).otherwise(F.flatten(equal))))
+    d = c.withColumn("starts", starts).drop("packed", "whole")
     covered = F.transform("starts", lambda p, j: F.least(F.lit(3), p - F.coalesce(F.get("starts", j - 1), F.lit(-3))))
     # words stand between two spaces each side, so a word's count is what its removal takes away
     counts = [((F.length("found") - F.length(F.replace("found", F.lit(f" {w} "), F.lit("")))) / (len(w) + 2)).cast("int") for w in WORDS]
