@@ -1,7 +1,8 @@
 """Operator 3: license statements by an exact set-similarity join of text blocks with templates.
 
-A block is a line of a text, as the set of its words that occur in templates. Words are put in order of their
-frequency in the whole table, rarest first. A block contains ``theta`` of a template's words only if the two
+A block is a stretch of a text, as the set of its words that occur in templates: twice as many words as the longest template has,
+from each multiple of its length on, so blocks overlap by half and a notice that is no longer than the longest template lies whole in one, however
+its lines are wrapped. Words are put in order of their frequency in the whole table, rarest first. A block contains ``theta`` of a template's words only if the two
 share a word among the first ``size - need + 1`` of each (prefix filter), the block has ``need`` words
 (length filter), and enough words follow the shared one in both (positional filter). Blocks meet
 templates on those words in an equality join, and what passes is verified, so every pair that meets the threshold is
@@ -9,7 +10,8 @@ found. The templates are a parameter of at most ``MAX_TEMPLATES``, which bounds
 the driver learns of frequencies.
 
 Places of the base phrases are found beside it. A null text counts as empty: no words, no labels, null places,
-score 0. Rows that share id and text get equal results. A line of any length is one block.
+score 0. Rows that share id (or lack one) and text get equal results. Words of equal frequency go by code point, and of blocks with equal
+shares it doesn't matter which counts. An empty table gives an empty result; other columns of the input aren't read.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import lower_ascii, table
 
 #: What parts words of lower-cased texts.
 PARTS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -44,8 +46,8 @@ TEMPLATES = (
 def words_of(text: str) -> list[str]:
     """A template's words, as Spark would part them."""
     out, word = [], ""
-    for c in text.lower() + " ":
-        if c.isalnum() or ord(c) > 127:
+    for c in "".join(x.lower() if x.isascii() else x for x in text) + " ":
+        if not c.isascii() or c.isalnum():
             word += c
         elif word:
             out.append(word)
@@ -54,7 +56,12 @@ def words_of(text: str) -> list[str]:
 
 
 def _words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), PARTS, -1), lambda w: w != "")
+    return F.filter(F.split(lower_ascii(text), PARTS, -1), lambda w: w != "")
+
+
+def stretch(templates) -> int:
+    """Words from the start of a block to that of the next one."""
+    return max((len(words_of(t)) for _, t in templates), default=1)
 
 
 def _array(values) -> Column:
@@ -63,7 +70,7 @@ def _array(values) -> Column:
 
 def word_order(docs: DataFrame, vocabulary: list[str], text_column: str = "text") -> list[str]:
     """The vocabulary, rarest in the table first; ties by word. As many rows come back as it has words."""
-    own = F.explode(F.filter(F.split(F.lower(F.col(text_column)), PARTS, -1), lambda w: w.isin(vocabulary)))
+    own = F.explode(F.filter(_words(F.col(text_column)), lambda w: w.isin(vocabulary)))
     counted = dict(docs.select(own.alias("w")).groupBy("w").count().collect())
     return sorted(vocabulary, key=lambda w: (counted.get(w, 0), w))
 
@@ -71,7 +78,7 @@ def word_order(docs: DataFrame, vocabulary: list[str], text_column: str = "text"
 def containment_join(
     docs: DataFrame, templates=TEMPLATES, theta: float = THETA, id_column: str = "doc_id", text_column: str = "text"
 ) -> DataFrame:
-    """doc_id, own (the text's hash), line, template, label, share of each block that contains ``theta`` of a template."""
+    """doc_id, own (the text's hash), block, template, label, share of each block that contains ``theta`` of a template."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"over {MAX_TEMPLATES} templates")
     spark = docs.sparkSession
@@ -89,17 +96,18 @@ def containment_join(
         index, "word string, template int, label string, size int, need int, at int, words array<string>"
     )
     least = min(need)
-    lines = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.xxhash64(text_column).alias("own"),
-        F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("line", "block"),
-    )
-    kept = F.filter(F.split(F.lower("block"), PARTS, -1), lambda w: w.isin(vocabulary))
-    blocks = lines.select("doc_id", "own", "line", kept.alias("kept")).where(F.size("kept") >= least)
+    # words of no template are nulls, so places stay
+    marked = F.transform(_words(F.col(text_column)), lambda w: F.when(w.isin(vocabulary), w))
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.xxhash64(text_column).alias("own"), marked.alias("words"))
+    step = stretch(templates)
+    part = lambda k: F.array_compact(F.slice("words", k * step + 1, F.lit(2 * step)))
+    starts = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / step).cast("int")))
+    cut = F.filter(F.transform(starts, lambda k: F.struct(k.alias("block"), part(k).alias("kept"))), lambda x: F.size(x["kept"]) >= least)
+    blocks = texts.select("doc_id", "own", F.explode(cut).alias("x")).select("doc_id", "own", "x.*")
     # array_intersect keeps the order of its first side, so the block's words come out rarest first
-    blocks = blocks.select("doc_id", "own", "line", F.array_intersect(_array(order), "kept").alias("held")).where(F.size("held") >= least)
+    blocks = blocks.select("doc_id", "own", "block", F.array_intersect(_array(order), "kept").alias("held")).where(F.size("held") >= least)
     started = blocks.select(
-        "doc_id", "own", "line", "held", F.posexplode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("at_block", "word")
+        "doc_id", "own", "block", "held", F.posexplode(F.slice("held", F.lit(1), F.size("held") - least + 1)).alias("at_block", "word")
     )
     met = started.join(F.broadcast(prefixes), "word").where(
         (F.size("held") >= F.col("need"))
@@ -107,7 +115,7 @@ def containment_join(
         & (F.least(F.col("size") - F.col("at"), F.size("held") - F.col("at_block")) >= F.col("need"))
     )
     met = met.withColumn("shared", F.size(F.array_intersect("held", "words"))).where(F.col("shared") >= F.col("need"))
-    return met.select("doc_id", "own", "line", "template", "label", (F.col("shared") / F.col("size")).alias("share"))
+    return met.select("doc_id", "own", "block", "template", "label", (F.col("shared") / F.col("size")).alias("share"))
 
 
 def base_places(words: Column) -> Column:
@@ -150,7 +158,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, theta: float = THETA, id_column:
         F.array_max(starts).alias("last_word"),
         F.coalesce(F.array_sort(F.array_distinct(F.transform("places", lambda p: p["label"]))), F.array().cast("array<string>")).alias("base"),
     ).withColumn("n_base", F.when(F.col("first_word").isNull(), F.lit(0)).otherwise(F.col("n_base")).cast("long"))
-    joined = rows.join(found, (F.col("doc_id") == F.col("_id")) & (F.col("own") == F.col("_own")), "left")
+    joined = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("own") == F.col("_own")), "left")
     both = F.array_sort(F.array_union("base", F.coalesce(F.col("_labels"), F.array().cast("array<string>"))))
     return joined.select(
         "doc_id",
@@ -176,10 +184,11 @@ def _oracle() -> str:
     return f"""
 WITH t(k, label, words) AS (VALUES {values}),
 d AS (SELECT row_number() OVER () AS rid, doc_id, {lower.format("coalesce(text, '')")} AS x FROM documents),
-b AS (SELECT rid, unnest(string_split(x, chr(10))) AS line FROM d),
-m AS (SELECT rid, label, len(list_intersect(t.words, list_distinct(regexp_split_to_array(line, '{PARTS}')))) / len(t.words) AS share FROM b, t),
-f AS (SELECT rid, list_distinct(list(label)) AS found, max(share) AS score FROM m WHERE share >= {THETA} - 1e-9 GROUP BY rid),
 w AS (SELECT rid, doc_id, list_filter(regexp_split_to_array(x, '{PARTS}'), lambda y: y <> '') AS words FROM d),
+b AS (SELECT rid, list_distinct(words[k * {stretch(TEMPLATES)} + 1:k * {stretch(TEMPLATES)} + {2 * stretch(TEMPLATES)}]) AS block
+  FROM (SELECT rid, words, unnest(range(0, greatest(1, (len(words) + {stretch(TEMPLATES) - 1}) // {stretch(TEMPLATES)}))) AS k FROM w)),
+m AS (SELECT rid, label, len(list_intersect(t.words, block)) / len(t.words) AS share FROM b, t),
+f AS (SELECT rid, list_distinct(list(label)) AS found, max(share) AS score FROM m WHERE share >= {THETA} - 1e-9 GROUP BY rid),
 p AS (SELECT rid, words, unnest(range(1, len(words) + 1)) AS i FROM w),
 q AS (SELECT rid, CASE WHEN words[i] = 'mit' AND words[i + 1] = 'license' THEN 'mit' WHEN words[i] = 'apache' AND words[i + 1] = 'license' THEN 'apache'
   WHEN words[i] = 'general' AND words[i + 1] = 'public' AND words[i + 2] = 'license' THEN 'gpl' END AS label, i - 1 AS start FROM p),
