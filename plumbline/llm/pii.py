@@ -5,12 +5,15 @@ into x div b and x mod b, and rounds add a keyed hash of one half to the other,
 permutation of all numbers of its format: equal values stay equal in every document, different ones stay
 different. Payment cards (13 to 19 digits that pass the Luhn check, in whole groups of a run of numbers between single
 blanks and hyphens, whatever other numbers stand beside them) permute all digits but the last and get a
-new check digit; dates that exist permute among the days of 1900 to 2099; IPv4 addresses permute among all;
-telephone numbers permute their last ten digits. Separators stay. E-mail addresses and quoted credentials aren't
+new check digit; ISO dates that exist permute among the days of 1900 to 2099, and dates with slashes among all strings
+that are one as day and month or as month and day, since many are both; IPv4 addresses permute among all, those with leading zeros
+among those with leading zeros; where a network's numbers are more than the strings of a format, its permutation is walked until one is met. So
+no two strings of a kind share a pseudonym. Telephone numbers permute their last ten digits. Separators stay. E-mail addresses and quoted credentials aren't
 numbers: they get keyed hashes in their format (an address at example.org; characters of the same length).
 Digit runs that fail validation stay as they are.
 
-A null text stays null with nothing found; an empty one stays empty. Repeated rows give repeated results.
+A null text stays null with nothing found; an empty one stays empty. Repeated rows, with or without an id, give repeated
+results, and an empty table an empty one. Overlapping cards are taken by ``USUAL``, then length, then place.
 A text of any length is one row's strings. The key is a parameter; who keeps it can link values, nobody else.
 """
 
@@ -24,6 +27,10 @@ from .common import table
 KEY = "change-me"
 ROUNDS = 8
 FIRST_DAY, DAYS = "1900-01-01", (17, 4297)  # 17 * 4297 days end on 2099-12-31
+#: 200 years of 31 * 31 pairs of day and month, as factors; 0 to 255 with zero, one or two leading zeros to fill two or three digits.
+SLASHED, OCTETS = (310, 620), 366
+#: Steps of a walk at most. Each leaves the format with a share of 0.4 at most, and a test walks from every date.
+WALK = 64
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
 PHONE = r"(?<![\w+])(?:\+\d{1,2}[ .-]?)?(?:\(\d{3}\)[ .-]?|\d{3}[.-])\d{3}[ .-]\d{4}(?!\d)"
 PHONE += r"|(?<![\w+])\+\d{1,2}[ .-]?\d{3}[ .-]?\d{3}[ .-]?\d{4}(?!\d)"
@@ -57,6 +64,37 @@ def permute(x: Column, a: Column, b: Column, key: str, tweak: str) -> Column:
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: s["p"] * b + s["q"])
 
 
+def walk(x: Column, a: int, b: int, key: str, tweak: str, fits) -> Column:
+    """The next number of the permutation's cycle that fits, for an x that fits; so a permutation of those that fit."""
+    sides = F.lit(a).cast("long"), F.lit(b).cast("long")
+    step = lambda s: F.struct(permute(s["x"], *sides, key, tweak).alias("x"), F.lit(True).alias("gone"))
+    start = F.struct(x.alias("x"), F.lit(False).alias("gone"))
+    return F.aggregate(F.sequence(F.lit(1), F.lit(WALK)), start, lambda s, _: F.when(s["gone"] & fits(s["x"]), s).otherwise(step(s)), lambda s: s["x"])
+
+
+def slashed(x: Column) -> tuple[Column, Column, Column]:
+    """First number, second number and year of a date with slashes."""
+    return F.floor(x / 31) % 31 + 1, x % 31 + 1, F.floor(x / 961) + 1900
+
+
+def is_day(x: Column) -> Column:
+    """Whether first and second number are a day of the year in either order."""
+    one, two, year = slashed(x)
+    leap = (year % 4 == 0) & ((year % 100 != 0) | (year % 400 == 0))
+    days = lambda m: F.when(m == 2, F.when(leap, 29).otherwise(28)).when(m.isin(4, 6, 9, 11), 30).otherwise(31)
+    return ((two <= 12) & (one <= days(two))) | ((one <= 12) & (two <= days(one)))
+
+
+def octet(text: Column) -> Column:
+    """The number of a string of 1 to 3 digits up to 255 among all of them; those under 256 have no leading zero."""
+    n = text.try_cast("long")
+    return F.when(n.cast("string") == text, n).when(F.length(text) == 2, n + 256).otherwise(n + 266)
+
+
+def from_octet(x: Column) -> Column:
+    return F.when(x < 256, x.cast("string")).when(x < 266, F.lpad((x - 256).cast("string"), 2, "0")).otherwise(F.lpad((x - 266).cast("string"), 3, "0"))
+
+
 def permute_digits(digits: Column, key: str, tweak: str) -> Column:
     """Of a string of 2 to 18 digits, one as long."""
     n = F.length(digits)
@@ -100,6 +138,11 @@ def spell(form: Column, digits: Column) -> Column:
     return F.aggregate(F.split(form, ""), start, put, lambda acc: acc["s"])
 
 
+def slashed_text(x: Column) -> Column:
+    one, two, year = slashed(x)
+    return F.concat_ws("/", F.lpad(one.cast("string"), 2, "0"), F.lpad(two.cast("string"), 2, "0"), year.cast("string"))
+
+
 def kind_of(m: Column) -> Column:
     """The kind of a match, or null where it isn't valid or is a run of numbers."""
     day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy"))
@@ -160,18 +203,21 @@ def pseudonym(m: Column, kind: Column, key: str = KEY) -> Column:
     phone = spell(m, F.concat(F.left(digits, F.length(digits) - 10), permute_digits(F.right(digits, F.lit(10)), key, "phone")))
     body = permute_digits(F.left(digits, F.length(digits) - 1), key, "card")
     card = F.transform(F.array(body), lambda b: spell(m, F.concat(b, F.pmod(-luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))[0]
-    parts = F.transform(F.split(m, r"\."), lambda x: x.try_cast("long"))
-    number = F.aggregate(parts, F.lit(0).cast("long"), lambda x, y: x * 256 + y)
+    parts = F.transform(F.split(m, r"\."), octet)
+    number = lambda base: F.aggregate(parts, F.lit(0).cast("long"), lambda x, y: x * base + y)
+    octets = lambda x, base: [F.pmod(F.floor(x / base**k), F.lit(base)).cast("long") for k in (3, 2, 1, 0)]
+    spelt = lambda x, base: F.transform(F.array(x), lambda y: F.concat_ws(".", *map(from_octet, octets(y, base))))[0]
     half = F.lit(65536).cast("long")
-    address = F.transform(
-        F.array(permute(number, half, half, key, "address")),
-        lambda x: F.concat_ws(".", *[F.pmod(F.floor(x / 256**k), F.lit(256)).cast("string") for k in (3, 2, 1, 0)]),
-    )[0]
-    dmy, mdy = F.try_to_date(m, "dd/MM/yyyy"), F.try_to_date(m, "MM/dd/yyyy")
-    day = F.coalesce(F.try_to_date(m, "yyyy-MM-dd"), dmy, mdy)
+    filled = lambda x: F.greatest(*octets(x, OCTETS)) >= 256
+    address = F.when(
+        F.exists(parts, lambda x: x >= 256), spelt(walk(number(OCTETS), OCTETS**2, OCTETS**2, key, "filled", filled), OCTETS)
+    ).otherwise(spelt(permute(number(256), half, half, key, "address"), 256))
+    day = F.try_to_date(m, "yyyy-MM-dd")
     a, b = (F.lit(x).cast("long") for x in DAYS)
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), permute(F.datediff(day, F.lit(FIRST_DAY)).cast("long"), a, b, key, "date").cast("int"))
-    date = F.when(m.contains("-"), F.date_format(moved, "yyyy-MM-dd")).when(dmy.isNotNull(), F.date_format(moved, "dd/MM/yyyy")).otherwise(F.date_format(moved, "MM/dd/yyyy"))
+    place = lambda at, n: F.substring(m, at, n).try_cast("long")
+    other = F.transform(F.array(walk(((place(7, 4) - 1900) * 31 + place(1, 2) - 1) * 31 + place(4, 2) - 1, *SLASHED, key, "slashed", is_day)), slashed_text)[0]
+    date = F.when(m.contains("-"), F.date_format(moved, "yyyy-MM-dd")).otherwise(other)
     return (
         F.when(kind == "email", email).when(kind == "secret", secret).when(kind == "phone", phone)
         .when(kind == "card", card).when(kind == "address", address).when(kind == "date", date).otherwise(m)
