@@ -6,7 +6,7 @@ the number of the block that it takes. Blocks are equal stretches of words of th
 keyed random order, read round and round; a source too small for many blocks has shorter ones, and as many more slots; what a document's words share with the taken blocks is what the mix takes.
 
 Running sums within a source are made in two steps, over buckets of the random order and inside each, so
-no task gets a whole source. Sources themselves are few: their table is one row each.
+no task gets a whole source. The table of sources is one row each, of at most ``MAX_SOURCES``, and one task orders it.
 
 Null texts have size 0 and are never taken; a null source is a source of its own, the last. Repeated rows
 count each for itself. An empty table gives an empty mix. The schedule depends on the rows and the seed alone.
@@ -31,12 +31,16 @@ MIN_SLOTS, MAX_BLOCK, BUCKET_ROWS = 1 << 16, 1 << 20, 2000
 SOURCE_SLOTS = 1024
 #: Cells by which slots meet their source in an equality join.
 CELLS = 1024
+#: Sources at most; over them mixing fails and asks for coarser ones.
+MAX_SOURCES = 1_000_000
 SEED = "mix"
 
 
 def targets(sized: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, epochs: int = EPOCHS) -> DataFrame:
     """skey, source_size, target, k of each source: weights in turn by code point, nulls last, cut at ``epochs`` sizes."""
-    by = sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size"))
+    by = materialize(sized.groupBy("skey", "source").agg(F.sum("size").alias("source_size")))
+    if by.count() > MAX_SOURCES:
+        raise ValueError(f"over {MAX_SOURCES} sources")
     order = W.orderBy(F.col("source").asc_nulls_last())
     by = by.withColumn("k", F.row_number().over(order) - 1)
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("k") % len(weights) + 1).cast("int"))
@@ -110,7 +114,10 @@ def mix(
     block = max(1, min(MAX_BLOCK, math.ceil(SHARE * words / MIN_SLOTS)))
     by = materialize(slot_shares(targets(sized), block))
     extra = by.agg(F.coalesce(F.sum("extra"), F.lit(0.0))).first()[0]
-    slots = schedule(by, math.ceil((SHARE * words + extra) / block)).withColumn("block", F.col("block").cast("long"))
+    n_slots = math.ceil((SHARE * words + extra) / block)
+    slots = schedule(by, n_slots).withColumn("block", F.col("block").cast("long"))
+    # n multiples of the golden ratio miss an interval's share of n by at most 2 * (3 + 3.6 ln n) (discrepancy of partial quotients that are all one)
+    stray = 2 * math.ceil(3 + 3.6 * math.log(max(2, n_slots)))
     n_buckets = max(1, n_rows // max(BUCKET_ROWS, math.isqrt(n_rows)))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2.0**32))
     rows = running(sized.withColumn("part", bucket), "skey", "part", ["key", "doc_id", "size"], F.col("size"), "start")
@@ -120,7 +127,7 @@ def mix(
     placed = rows.where("size > 0").withColumn("epoch", stretch)
     placed = placed.withColumn("from", F.col("start") + F.col("epoch") * F.col("source_size")).withColumn("to", F.col("from") + F.col("size"))
     unit = F.col("unit")
-    placed = placed.where(F.col("from") < F.ceil(F.col("target")) + 64 * unit)  # no schedule strays so far
+    placed = placed.where(F.col("from") < F.ceil(F.col("target")) + (stray + 1) * unit)
     blocks = F.explode(F.sequence(F.floor(F.col("from") / unit), F.floor((F.col("to") - 1) / unit)))
     placed = placed.select("rid", "skey", "from", "to", "unit", blocks.alias("block"))
     shared = F.least(F.col("to"), (F.col("block") + 1) * unit) - F.greatest(F.col("from"), F.col("block") * unit)
