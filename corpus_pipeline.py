@@ -1,12 +1,19 @@
 """From raw documents to the encoded training mix: five stages, each written and read again as the next one's input.
 
 Every stage takes (spark, docs, sf_dir) and works on all rows it gets. All but the last return the columns of documents.
+Columns of other names are left out, whatever they are called; an empty table gives an empty one at each stage. Nulls and ties:
+
+- language_id: a null text, and one without a letter, goes; a null label is filled in. Repeated rows are judged alike.
+- line_dedup: null and empty texts stay as they are; a null source is no site. Of equal lines the one of the smallest id, then place, stays;
+  rows without an id come last and are as one.
+- near_dedup: texts without words are no copies of each other. One row of each id stays, and rows without an id are documents of their own; ties
+  by text and then the other columns, all of which are equal in what still ties.
+- source_mix: null texts, and those without words, aren't taken; a null source is one of its own. Rows alike in id and text share their count.
+- encode: null and empty texts have no tokens. Repeated rows have equal results.
 """
 
 from __future__ import annotations
 
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.llm import bpe, langid, lines, mixing, neardup
-from plumbline.llm.common import WORD
+from plumbline.llm.common import WORD, shared_folder
 
 #: What documents has and every stage but the last returns; other columns of the input are left out.
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -92,8 +99,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, with a Parquet table after each in the shared folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
-    root = f"{shared}/pipeline-{uuid.uuid4().hex}"
+    root = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
