@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -18,32 +22,88 @@ def top_k(ranked: DataFrame, k: int, rank: str = "rank") -> DataFrame:
     return ranked.where(F.col(rank) <= k)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often it stands in the body."""
+    return F.transform(F.array(value), body)[0]
+
+
+def bm25_by_question(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75, keep: tuple[str, ...] = ()) -> DataFrame:
+    """qid, question, scored (an array of pid, idx, score and ``keep``): Okapi scores, each question's passages being the corpus.
+
+    A question has few passages, so they are brought together in one shuffle by qid and all counts are made in its row. Terms in more
+    than half of the passages have negative idf, which a quarter of the vocabulary's mean idf replaces.
+    """
+    own = passages.select("qid", F.struct("pid", "idx", *keep, tokenize(F.concat_ws(" ", "title", "body")).alias("t")).alias("p"))
+    rows = own.groupBy("qid").agg(F.collect_list("p").alias("ps")).join(questions.select("qid", "question"), "qid", "left")
+    total = lambda xs: F.aggregate(xs, F.lit(0.0), lambda x, y: x + y)
+    n = F.size("ps")
+    raw = lambda df: F.log(n - df + 0.5) - F.log(df + 0.5)
+
+    def frequencies(terms: Column) -> Column:
+        """In sorted order a term's passages stand together, so the ends of the runs tell how many each has."""
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(terms)))
+        ends = F.filter(places, lambda i: ~F.get(terms, i - 1).eqNullSafe(F.get(terms, i)))
+        return let(ends, lambda ends: F.transform(ends, lambda e, j: e - F.coalesce(F.get(ends, j - 1), F.lit(0))))
+
+    terms = F.sort_array(F.flatten(F.transform("ps", lambda p: F.array_distinct(p["t"]))))
+    mean = let(let(terms, frequencies), lambda dfs: total(F.transform(dfs, raw)) / F.size(dfs))
+
+    def known(term: Column, asked: Column, floor: Column) -> Column:
+        df = F.size(F.filter("ps", lambda p: F.array_contains(p["t"], term)))
+        idf = let(df, lambda d: F.when(d > 0, let(raw(d), lambda r: F.when(r < 0, floor).otherwise(r))))
+        return F.struct(term.alias("term"), F.size(F.filter(asked, lambda x: x == term)).alias("qn"), idf.alias("idf"))
+
+    asked = F.coalesce(tokenize("question"), F.array().cast("array<string>"))
+    asks = let(
+        F.struct(asked.alias("asked"), (0.25 * mean).alias("floor")),
+        lambda q: F.filter(F.transform(F.array_distinct(q["asked"]), lambda w: known(w, q["asked"], q["floor"])), lambda x: x["idf"].isNotNull()),
+    )
+
+    def score(p: Column, asks: Column, avgdl: Column) -> Column:
+        size = k1 * (1 - b + b * F.size(p["t"]) / avgdl)
+        part = lambda x: let(
+            F.size(p["t"]) - F.size(F.array_remove(p["t"], x["term"])), lambda tf: x["qn"] * x["idf"] * tf * (k1 + 1) / (tf + size)
+        )
+        return F.when(F.size(p["t"]) > 0, total(F.transform(asks, part))).otherwise(0.0)
+
+    avgdl = total(F.transform("ps", lambda p: F.size(p["t"]).cast("double"))) / n
+    kept = lambda p: [p[k].alias(k) for k in ("pid", "idx", *keep)]
+    scored = let(
+        F.struct(asks.alias("asks"), avgdl.alias("avgdl")),
+        lambda q: F.transform("ps", lambda p: F.struct(*kept(p), score(p, q["asks"], q["avgdl"]).alias("score"))),
+    )
+    return rows.select("qid", "question", scored.alias("scored"))
+
+
 def bm25(passages: DataFrame, questions: DataFrame, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """qid, pid, idx, score: Okapi scores, each question's passages being the corpus.
+    """qid, pid, idx, score of each passage."""
+    rows = bm25_by_question(passages, questions, k1, b).select("qid", F.explode("scored").alias("x"))
+    return rows.select("qid", "x.pid", "x.idx", "x.score")
+
+
+def dense(passages: DataFrame, asked: DataFrame, vectors: DataFrame) -> DataFrame:
+    """qid, pid, idx, score: dot products of normalized vectors with the question's. passages and asked (a row for each question) have vec_id."""
+    own = passages.select("qid", "pid", "idx", "vec_id").join(vectors, "vec_id").drop("vec_id")
+    questions = asked.select("qid", "vec_id").join(vectors.withColumnRenamed("v", "qv"), "vec_id").drop("vec_id")
+    return own.join(questions, "qid").select("qid", "pid", "idx", dot("v", "qv").alias("score"))
+
 
-    Terms in more than half of the passages have negative idf, which a quarter of the vocabulary's mean idf replaces.
-    All groupings are by question, so one shuffle by qid serves them.
+def reciprocal(rank: Column, rrf_k: int = 60) -> Column:
+    return 1.0 / (rrf_k + rank)
+
+
+def place_by_hash(rows: DataFrame, h: str, group: str | None = None, out: str = "place", digits: int = 3) -> DataFrame:
+    """rows with their place, from 1, by the hexadecimal hash h within their group.
+
+    Places are counted within buckets of the first digits and then over the buckets, so no task gets all rows.
     """
-    toks = passages.select("qid", "pid", "idx", tokenize(F.concat_ws(" ", "title", "body")).alias("t"))
-    sized = toks.select("qid", "pid", "idx", "t", F.size("t").alias("dl"))
-    corpus = sized.groupBy("qid").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    tf = sized.select("qid", "pid", "dl", F.explode("t").alias("term")).groupBy("qid", "pid", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("qid", "term").agg(F.count(F.lit(1)).alias("df")).join(corpus, "qid")
-    df = df.withColumn("raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    df = df.withColumn("mean", F.avg("raw").over(W.partitionBy("qid")))
-    df = df.select("qid", "term", "avgdl", F.when(F.col("raw") < 0, 0.25 * F.col("mean")).otherwise(F.col("raw")).alias("idf"))
-    asked = questions.select("qid", F.explode(tokenize("question")).alias("term")).groupBy("qid", "term").agg(F.count(F.lit(1)).alias("qn"))
-    part = F.col("qn") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    scores = tf.join(asked, ["qid", "term"]).join(df, ["qid", "term"]).groupBy("pid").agg(F.sum(part).alias("score"))
-    return sized.select("qid", "pid", "idx").join(scores, "pid", "left").select("qid", "pid", "idx", F.coalesce("score", F.lit(0.0)).alias("score"))
-
-
-def dense(passages: DataFrame, gold: DataFrame, vectors: DataFrame) -> DataFrame:
-    """qid, pid, idx, score: dot products of normalized vectors with the question's."""
-    n = 500
-    own = passages.select("qid", "pid", "idx", (F.col("doc_id") % n).alias("vec_id")).join(vectors, "vec_id")
-    asked = gold.where("grank = 1").select("qid", (F.col("doc_id") % n).alias("vec_id")).join(vectors.withColumnRenamed("v", "qv"), "vec_id")
-    return own.drop("vec_id").join(asked.drop("vec_id"), "qid").select("qid", "pid", "idx", dot("v", "qv").alias("score"))
+    keys = [group] if group else []
+    rows = rows.withColumn("_bucket", F.substring(h, 1, digits))
+    sizes = rows.groupBy(*keys, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.partitionBy(*keys).orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    sizes = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    own = rows.withColumn("_own", F.row_number().over(W.partitionBy(*keys, "_bucket").orderBy(h)))
+    return own.join(sizes, [*keys, "_bucket"]).withColumn(out, (F.col("_own") + F.col("_before")).cast("long")).drop("_bucket", "_own", "_before")
 
 
 def fuse(rankings: list[DataFrame], rrf_k: int = 60) -> DataFrame:
@@ -51,12 +111,40 @@ def fuse(rankings: list[DataFrame], rrf_k: int = 60) -> DataFrame:
     rows = rankings[0].select("qid", "pid", "idx", "rank")
     for r in rankings[1:]:
         rows = rows.unionByName(r.select("qid", "pid", "idx", "rank"))
-    return rows.groupBy("qid", "pid", "idx").agg(F.sum(1.0 / (rrf_k + F.col("rank"))).alias("score"), F.count(F.lit(1)).alias("n_sources"))
+    return rows.groupBy("qid", "pid", "idx").agg(F.sum(reciprocal(F.col("rank"), rrf_k)).alias("score"), F.count(F.lit(1)).alias("n_sources"))
+
+
+def stub_rerank_score(question: Column, passage_chars: Column) -> Column:
+    """The offline stand-in for a cross-encoder, of the question and the passage's length."""
+    return (F.length(question) + 2 * passage_chars).cast("double")
 
 
-def stub_rerank_score(question: Column, passage: Column) -> Column:
-    """The offline stand-in for a cross-encoder."""
-    return (F.length(question) + 2 * F.length(passage)).cast("double")
+#: Scorers of pairs by name, each from a list of questions and one of passages to a list of as many numbers.
+SCORERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {
+    "stub": lambda questions, passages: [float(len(q) + 2 * len(p)) for q, p in zip(questions, passages, strict=True)],
+}
+
+
+def score_pairs(pairs: DataFrame, scorer: str, *keep: str, batch: int = 64) -> DataFrame:
+    """The columns ``keep`` and rerank_score of pairs (question, body): a model's boundary, called in batches inside tasks.
+
+    A scorer that returns another count than it got, or what isn't a finite number, fails the job.
+    """
+    kinds = [f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keep]
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = SCORERS[scorer]
+        for part in parts:
+            out: list[float] = []
+            for k in range(0, len(part), batch):
+                x = part.iloc[k : k + batch]
+                got = [float(y) for y in score(x["question"].tolist(), x["body"].tolist())]
+                if len(got) != len(x) or not all(map(math.isfinite, got)):
+                    raise ValueError(f"{scorer} gave {len(got)} scores for {len(x)} pairs, or not finite ones")
+                out += got
+            yield part[list(keep)].assign(rerank_score=out)
+
+    return pairs.select(*keep, *[c for c in ("question", "body") if c not in keep]).mapInPandas(run, ", ".join([*kinds, "rerank_score double"]))
 
 
 def rerank(ranked: DataFrame, candidate_k: int, rerank_score: str = "rerank_score") -> DataFrame:

@@ -66,7 +66,7 @@ def attr_citations(spark, sf):
 
 @book.add(retrieval.RANKED + "SELECT pid, round(score, 6) AS score FROM dn")
 def attr_embedding(spark, sf):
-    return R.dense(V.passages(spark, sf), V.gold(spark, sf), V.vectors(spark, sf)).select("pid", F.round("score", 6).alias("score"))
+    return retrieval.dense_scores(spark, sf).select("pid", F.round("score", 6).alias("score"))
 
 
 @book.add(BASE + "SELECT pid, round(w, 9) AS score FROM lo")
@@ -82,8 +82,8 @@ def stub_lm_scores(spark, sf):
     return w.select("qid", F.round(base + F.col("w"), 6).alias("sum_logprob"), n.cast("long").alias("n_tokens"))
 
 
-JSD = """, v AS (SELECT p.qid, p.pid, list_transform(a.v, lambda x: abs(x)) AS x, list_transform(b.v, lambda x: abs(x)) AS y FROM passages p JOIN vectors a ON a.vec_id = p.doc_id % 500
-  JOIN gold g ON g.qid = p.qid AND g.grank = 1 JOIN vectors b ON b.vec_id = g.doc_id % 500),
+JSD = """, v AS (SELECT p.qid, p.pid, list_transform(a.v, lambda x: abs(x)) AS x, list_transform(b.v, lambda x: abs(x)) AS y FROM passages p JOIN vectors a ON a.vec_id = p.doc_id % (SELECT count(*) FROM embeddings)
+  JOIN gold g ON g.qid = p.qid AND g.grank = 1 JOIN vectors b ON b.vec_id = g.doc_id % (SELECT count(*) FROM embeddings)),
 n AS (SELECT pid, list_transform(x, lambda z: z / list_sum(x)) AS x, list_transform(y, lambda z: z / list_sum(y)) AS y FROM v)
 SELECT pid, round(greatest(0, list_sum(list_transform(range(1, len(x) + 1), lambda i: x[i] * ln((x[i] + 1e-12) / ((x[i] + y[i]) / 2 + 1e-12)) + y[i] * ln((y[i] + 1e-12) / ((x[i] + y[i]) / 2 + 1e-12)))) / 2), 6)::DOUBLE AS score FROM n"""
 
@@ -94,8 +94,8 @@ def attr_arc_jsd(spark, sf):
     v = V.vectors(spark, sf)
     share = lambda c: F.transform(F.transform(c, lambda x: F.abs(x)), lambda x: x / F.aggregate(F.transform(c, lambda y: F.abs(y)), F.lit(0.0), lambda a, b: a + b))
     v = v.select("vec_id", share(F.col("v")).alias("v"))
-    own = V.passages(spark, sf).select("qid", "pid", (F.col("doc_id") % 500).alias("vec_id")).join(v, "vec_id").drop("vec_id")
-    full = V.gold(spark, sf).where("grank = 1").select("qid", (F.col("doc_id") % 500).alias("vec_id")).join(v.withColumnRenamed("v", "f"), "vec_id").drop("vec_id")
+    own = V.vector_of(spark, sf, V.texts(spark, sf)).select("qid", "pid", "vec_id").join(v, "vec_id").drop("vec_id")
+    full = V.vector_of(spark, sf, V.gold_heads(spark, sf).where("grank = 1")).select("qid", "vec_id").join(v.withColumnRenamed("v", "f"), "vec_id").drop("vec_id")
     return own.join(full, "qid").select("pid", F.round(A.divergence(F.col("v"), F.col("f")), 6).alias("score"))
 
 

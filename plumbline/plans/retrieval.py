@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from plumbline.functions import text as T
 from plumbline.operators import metrics as M
@@ -25,7 +24,7 @@ qt AS (SELECT qid, term, count(*) AS qn FROM (SELECT qid, unnest(regexp_extract_
 bs AS (SELECT pid, sum(qn * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))) AS score FROM tf JOIN qt USING (qid, term) JOIN df USING (qid, term) GROUP BY pid),
 bm AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, idx) AS rank FROM (SELECT tk.qid, tk.pid, idx, coalesce(score, 0) AS score FROM tk LEFT JOIN bs USING (pid))),
 dn AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, idx) AS rank FROM (SELECT p.qid, p.pid, p.idx, list_sum(list_transform(range(1, len(a.v) + 1), lambda i: a.v[i] * b.v[i])) AS score
-  FROM passages p JOIN vectors a ON a.vec_id = p.doc_id % 500 JOIN gold g ON g.qid = p.qid AND g.grank = 1 JOIN vectors b ON b.vec_id = g.doc_id % 500)),
+  FROM passages p JOIN vectors a ON a.vec_id = p.doc_id % (SELECT count(*) FROM embeddings) JOIN gold g ON g.qid = p.qid AND g.grank = 1 JOIN vectors b ON b.vec_id = g.doc_id % (SELECT count(*) FROM embeddings))),
 hy AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, idx) AS rank FROM (SELECT bm.qid, pid, bm.idx, 1.0 / (60 + bm.rank) + 1.0 / (60 + dn.rank) AS score FROM bm JOIN dn USING (pid))),
 rc AS (SELECT hy.*, rank AS source_rank, (length(question) + 2 * length(body))::DOUBLE AS rr FROM hy JOIN passages USING (pid) JOIN questions ON questions.qid = hy.qid),
 rk AS (SELECT * EXCLUDE (rank, score), row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, source_rank) AS rank, score FROM (SELECT * EXCLUDE (score), source_rank <= 5 AS was_reranked,
@@ -43,28 +42,59 @@ la AS (SELECT m.method, q.qid, q.split, (('0x' || substr(sha256(m.method || ':'
 METHODS = ("bm25", "dense", "hybrid_rrf", "hybrid_rrf_rerank")
 
 
+def sourced(spark, sf):
+    """Passages as ranking reads them; a passage's length is that of its lines joined by single spaces."""
+    lines = F.filter(F.transform(F.split("text", "\n"), lambda x: F.trim(x)), lambda x: x != "")
+    return V.vector_of(spark, sf, V.texts(spark, sf)).withColumn("chars", F.length(F.array_join(lines, " "))).withColumnRenamed("text", "body")
+
+
 def bm25(spark, sf):
-    return R.rank_by_score(R.bm25(V.passages(spark, sf), V.questions(spark, sf)))
+    return R.rank_by_score(R.bm25(V.texts(spark, sf).withColumnRenamed("text", "body"), V.questions(spark, sf)))
+
+
+def dense_scores(spark, sf):
+    asked = V.vector_of(spark, sf, V.gold_heads(spark, sf).where("grank = 1"))
+    return R.dense(sourced(spark, sf), asked, V.vectors(spark, sf))
 
 
 def dense(spark, sf):
-    return R.rank_by_score(R.dense(V.passages(spark, sf), V.gold(spark, sf), V.vectors(spark, sf)))
+    return R.rank_by_score(dense_scores(spark, sf))
+
+
+def wide(spark, sf, k=5):
+    """One row for each passage with its score and rank by every method and is_gold.
+
+    A question's BM25 scores, dense scores and gold ids meet in one row by qid; all ranks are then windows over that partitioning.
+    """
+    rows = R.bm25_by_question(sourced(spark, sf), V.questions(spark, sf), keep=("chars",))
+    own = dense_scores(spark, sf).groupBy("qid").agg(F.map_from_entries(F.collect_list(F.struct("pid", "score"))).alias("near"))
+    gold = V.gold_heads(spark, sf).groupBy("qid").agg(F.collect_list("pid").alias("gold"))
+    rows = rows.join(own, "qid").join(gold, "qid", "left").select("qid", "question", "near", "gold", F.explode("scored").alias("x"))
+    rows = rows.select(
+        "qid", "x.pid", "x.idx", F.col("x.score").alias("bm25"), F.col("near")[F.col("x.pid")].alias("dense"),
+        R.stub_rerank_score(F.col("question"), F.col("x.chars")).alias("rerank_score"),
+        F.coalesce(F.array_contains("gold", F.col("x.pid")), F.lit(False)).alias("is_gold"),
+    ).where("dense IS NOT NULL")
+    for m in ("bm25", "dense"):
+        rows = R.rank_by_score(rows, score=m, out=f"{m}_rank")
+    rows = R.rank_by_score(rows.withColumn("hybrid_rrf", R.reciprocal(F.col("bm25_rank")) + R.reciprocal(F.col("dense_rank"))), score="hybrid_rrf", out="rank")
+    return R.rerank(rows.withColumn("hybrid_rrf_rank", F.col("rank")), k)
 
 
 def hybrid(spark, sf):
-    return R.rank_by_score(R.fuse([bm25(spark, sf), dense(spark, sf)]))
+    return wide(spark, sf).select("qid", "pid", "idx", F.col("hybrid_rrf").alias("score"), F.col("hybrid_rrf_rank").alias("rank"))
 
 
 def reranked(spark, sf, k=5):
-    body = V.passages(spark, sf).select("pid", "body")
-    rows = hybrid(spark, sf).join(body, "pid").join(V.questions(spark, sf).select("qid", "question"), "qid")
-    return R.rerank(rows.withColumn("rerank_score", R.stub_rerank_score(F.col("question"), F.col("body"))), k)
+    return wide(spark, sf, k).select("qid", "pid", "idx", "score", "rank", "source_rank", "was_reranked")
 
 
 def all_methods(spark, sf):
-    parts = [(m, f(spark, sf)) for m, f in zip(METHODS, (bm25, dense, hybrid, reranked), strict=True)]
-    rows = [x.select(F.lit(m).alias("method"), "qid", "pid", "idx", "rank", "score") for m, x in parts]
-    return rows[0].unionByName(rows[1]).unionByName(rows[2]).unionByName(rows[3])
+    """method, qid, pid, idx, rank, score, is_gold."""
+    part = lambda m, score, rank: F.struct(F.lit(m).alias("method"), F.col(rank).alias("rank"), F.col(score).alias("score"))
+    parts = [part(m, m, f"{m}_rank") for m in METHODS[:3]] + [part(METHODS[3], "score", "rank")]
+    rows = wide(spark, sf).select("qid", "pid", "idx", "is_gold", F.explode(F.array(*parts)).alias("m"))
+    return rows.select("m.method", "qid", "pid", "idx", "m.rank", "m.score", "is_gold")
 
 
 def runs(spark, sf):
@@ -78,7 +108,7 @@ def runs(spark, sf):
 
 
 def marked(spark, sf):
-    return M.with_gold(all_methods(spark, sf), V.gold(spark, sf))
+    return all_methods(spark, sf)
 
 
 @book.add(RANKED + "SELECT qid, pid, round(score, 6) AS score, rank FROM bm")
@@ -126,28 +156,29 @@ def context_topk(spark, sf):
 @book.add("SELECT qid, row_number() OVER (ORDER BY sha256('7:' || qid)) AS position FROM questions")
 def seeded_group_order(spark, sf):
     keyed = V.questions(spark, sf).select("qid", F.sha2(F.concat(F.lit("7:"), "qid"), 256).alias("h"))
-    return keyed.select("qid", F.row_number().over(W.orderBy("h")).cast("long").alias("position"))
+    return R.place_by_hash(keyed, "h", out="position").select("qid", "position")
 
 
 @book.add(RANKED + "SELECT qid, round(r2, 6) AS recall_at_2, round(r5, 6) AS recall_at_5, round(r10, 6) AS recall_at_10 FROM pq WHERE method = 'bm25'")
 def recall_at_k(spark, sf):
-    m = M.with_gold(bm25(spark, sf), V.gold(spark, sf))
+    gold = V.gold_heads(spark, sf).groupBy("qid").agg(F.collect_list("pid").alias("gold"))
+    m = bm25(spark, sf).join(gold, "qid", "left").withColumn("is_gold", F.coalesce(F.array_contains("gold", F.col("pid")), F.lit(False)))
     return m.groupBy("qid").agg(*[F.round(M.recall_at(k), 6).alias(f"recall_at_{k}") for k in (2, 5, 10)])
 
 
 @book.add(RANKED + "SELECT method, qid, round(mrr, 6)::DOUBLE AS mrr FROM pq")
 def mrr(spark, sf):
-    return marked(spark, sf).groupBy("method", "qid").agg(F.round(M.reciprocal_rank(), 6).alias("mrr"))
+    return marked(spark, sf).groupBy("qid", "method").agg(F.round(M.reciprocal_rank(), 6).alias("mrr"))
 
 
 @book.add(RANKED + "SELECT method, qid, round(ndcg, 6)::DOUBLE AS ndcg_at_10 FROM pq")
 def ndcg_at_k(spark, sf):
-    return marked(spark, sf).groupBy("method", "qid").agg(F.round(M.ndcg_at(10), 6).alias("ndcg_at_10"))
+    return marked(spark, sf).groupBy("qid", "method").agg(F.round(M.ndcg_at(10), 6).alias("ndcg_at_10"))
 
 
 @book.add(RANKED + "SELECT method, qid, covered FROM pq")
 def complete_coverage_at_k(spark, sf):
-    return marked(spark, sf).groupBy("method", "qid").agg(M.covered_at(5).alias("covered"))
+    return marked(spark, sf).groupBy("qid", "method").agg(M.covered_at(5).alias("covered"))
 
 
 @book.add(RANKED + "SELECT method, round(avg(latency_ms), 6) AS mean, quantile_disc(latency_ms::DOUBLE, 0.5) AS p50, quantile_disc(latency_ms::DOUBLE, 0.95) AS p95 FROM la WHERE NOT failed GROUP BY method")
@@ -170,10 +201,10 @@ SUMMARY = """SELECT split, method, count(*) AS n, count(*) FILTER (failed) AS n_
 
 @book.add(RANKED + SUMMARY)
 def eval_retrieval_summary(spark, sf):
-    per = marked(spark, sf).groupBy("method", "qid").agg(
+    per = marked(spark, sf).groupBy("qid", "method").agg(
         M.recall_at(2).alias("r2"), M.recall_at(5).alias("r5"), M.reciprocal_rank().alias("rr"), M.ndcg_at(10).alias("nd"), M.covered_at(5).alias("cv")
     )
-    rows = runs(spark, sf).join(per, ["method", "qid"])
+    rows = runs(spark, sf).join(per, ["qid", "method"])
     ok = lambda c: F.when(~F.col("failed"), c)
     mean = lambda c, name: F.round(F.avg(ok(F.col(c))), 6).alias(name)
     return rows.withColumn("cv", F.col("cv").cast("int")).withColumn("lat", ok(F.col("latency_ms"))).groupBy("split", "method").agg(
@@ -215,8 +246,8 @@ def rerank_arms(spark, sf):
 
 @book.add(RANKED + ", t AS (SELECT method, qid, list(pid) AS p FROM al WHERE rank <= 2 GROUP BY ALL) SELECT a.qid, round(len(list_intersect(a.p, b.p)) / len(list_distinct(list_concat(a.p, b.p))), 6) AS jaccard FROM t a JOIN t b USING (qid) WHERE a.method = 'hybrid_rrf' AND b.method = 'hybrid_rrf_rerank'")
 def top2_jaccard_stability(spark, sf):
-    top = lambda x, name: R.top_k(x, 2).groupBy("qid").agg(F.collect_set("pid").alias(name))
-    both = top(hybrid(spark, sf), "a").join(top(reranked(spark, sf), "b"), "qid")
+    top = lambda rank, name: F.collect_set(F.when(F.col(rank) <= 2, F.col("pid"))).alias(name)
+    both = wide(spark, sf).groupBy("qid").agg(top("hybrid_rrf_rank", "a"), top("rank", "b"))
     union = F.size(F.array_union("a", "b"))
     jaccard = F.when(union == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect("a", "b")) / union)
     return both.select("qid", F.round(jaccard, 6).alias("jaccard"))

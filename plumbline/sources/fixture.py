@@ -46,6 +46,30 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, pid, idx, doc_id, title, text: what ranking reads, without labels."""
+    d = read(spark, sf_dir, "documents").select("doc_id", "text")
+    qid = F.concat(F.lit("q"), padded(F.floor(F.col("doc_id") / 10), 6))
+    rows = d.select(qid.alias("qid"), (F.col("doc_id") % 10).alias("idx"), "doc_id", "text", _head(3).alias("h"))
+    return rows.select("qid", F.concat("qid", F.lit("-p"), padded("idx", 2)).alias("pid"), "idx", "doc_id", F.array_join("h", " ").alias("title"), "text")
+
+
+def _head(n: int):
+    """The first tokens of a text; the rest of it stays unsplit."""
+    return F.slice(F.filter(F.slice(F.split("text", BLANK, n + 2), 1, n + 1), lambda w: w != ""), 1, n)
+
+
+def gold_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """qid, pid, doc_id, grank and the first tokens of the two gold passages; whole texts aren't shuffled for them."""
+    d = read(spark, sf_dir, "documents").select("doc_id", _head(12).alias("head"))
+    rows = d.join(read(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    qid = F.concat(F.lit("q"), padded(F.floor(F.col("doc_id") / 10), 6))
+    rows = rows.select(qid.alias("qid"), "doc_id", F.coalesce("quality", F.lit(0)).cast("long").alias("quality"), "head")
+    best = W.partitionBy("qid").orderBy(F.col("quality").desc(), F.sha2(F.concat(F.lit("gold:"), F.col("doc_id").cast("string")), 256))
+    ranked = rows.withColumn("grank", F.row_number().over(best).cast("long")).where("grank <= 2")
+    return ranked.select("qid", F.concat("qid", F.lit("-p"), padded(F.col("doc_id") % 10, 2)).alias("pid"), "doc_id", "grank", "head")
+
+
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The two gold passages of each question, with grank 1 and 2."""
     best = W.partitionBy("qid").orderBy(F.col("quality").desc(), F.sha2(F.concat(F.lit("gold:"), F.col("doc_id").cast("string")), 256))
@@ -54,8 +78,8 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, question, answer, qtype, level, split."""
-    g = gold(spark, sf_dir)
-    part = lambda k, a, n: F.max(F.when(F.col("grank") == k, F.array_join(F.slice("toks", a, n), " ")))
+    g = gold_heads(spark, sf_dir)
+    part = lambda k, a, n: F.max(F.when(F.col("grank") == k, F.array_join(F.slice("head", a, n), " ")))
     q = g.groupBy("qid").agg(
         F.trim(F.concat_ws(" ", part(1, 5, 8), part(2, 5, 8))).alias("question"), F.coalesce(part(2, 2, 2), F.lit("")).alias("answer")
     )
@@ -77,6 +101,11 @@ def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("n", norm).select("vec_id", F.transform("v", lambda x: x / F.col("n")).alias("v"))
 
 
+def vector_of(spark: SparkSession, sf_dir: str, rows: DataFrame) -> DataFrame:
+    """rows with vec_id: which of all the vectors stands for a document."""
+    return rows.withColumn("vec_id", F.col("doc_id") % F.lit(read(spark, sf_dir, "embeddings").count()))
+
+
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """qid, question, answer, qtype, level, split, response (null where failed), failed, latency_ms, tokens."""
     b = bucket(F.concat(F.lit("gen:"), "qid"))
