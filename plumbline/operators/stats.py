@@ -10,8 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from plumbline.functions.text import hash_u64
-
 Z95 = 1.959963984540054
 
 
@@ -40,21 +38,61 @@ def aligned(left: DataFrame, right: DataFrame, key: str = "qid", value: str = "v
     return a.join(b, key, "full_outer").withColumn("delta", F.col("candidate") - F.col("comparator"))
 
 
-def hashed_bootstrap(deltas: DataFrame, group: str, replicates: int = 200) -> DataFrame:
-    """Mean and percentile interval of paired differences; draws come from hashes, so reruns and engines agree.
+#: Shares of draws of a Poisson count of mean one that are below 1, 2, ...
+POISSON = (0.36787944117, 0.73575888234, 0.91969860293, 0.98101184312, 0.99634015317, 0.99940581518, 0.99991675885, 0.99998975081, 0.99999887481)
+
+
+def replicate_means(units: DataFrame, group: str, key: str, total: str, count: str, replicates: int) -> DataFrame:
+    """group, r, m: each replicate's mean, where every unit counts as often as its hash draws from Poisson's distribution.
+
+    The weights are a row's own, so nothing is joined and sums are made before the shuffle: a row of each group and replicate comes out of a task.
+    """
+    h = F.sha2(F.concat_ws(":", F.lit("boot"), "block", F.col(key).cast("string")), 256)
+    rows = units.select(group, key, F.col(total).alias("_s"), F.col(count).alias("_c"), F.explode(F.sequence(F.lit(0), F.lit((replicates - 1) // 8))).alias("block")).withColumn("h", h)
+    u = lambda k: F.conv(F.substr("h", k * 8 + 1, F.lit(8)), 16, 10).cast("double") / 2.0**32
+    rows = rows.select(group, "_s", "_c", F.explode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.struct((F.col("block") * 8 + k).alias("r"), u(k).alias("u")))).alias("x"))
+    weight = sum((F.col("x.u") >= t).cast("int") for t in POISSON)
+    rows = rows.where(F.col("x.r") < replicates).select(group, F.col("x.r").alias("r"), (weight * F.col("_s")).alias("s"), (weight * F.col("_c")).alias("c"))
+    return rows.groupBy(group, "r").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).where("c > 0").select(group, "r", (F.col("s") / F.col("c")).alias("m"))
+
+
+def interval(means: DataFrame, group: str, tolerance: float = 0.0) -> DataFrame:
+    """group, low, high and p_above, the share of replicates over the tolerance."""
+    end = lambda p: F.percentile("m", F.lit(p))
+    return means.groupBy(group).agg(end(0.025).alias("low"), end(0.975).alias("high"), F.avg((F.col("m") > tolerance).cast("int")).alias("p_above"))
+
+
+def hashed_bootstrap(deltas: DataFrame, group: str, replicates: int = 200, key: str = "qid", tolerance: float = 0.0) -> DataFrame:
+    """group, n, n_excluded (rows without a difference), mean, low, high, p_above of paired differences (group, key, delta); reruns and engines agree."""
+    sizes = deltas.groupBy(group).agg(F.count("delta").alias("n"), F.count_if(F.col("delta").isNull()).alias("n_excluded"), F.avg("delta").alias("mean"))
+    units = deltas.where("delta IS NOT NULL").withColumn("_one", F.lit(1))
+    ends = interval(replicate_means(units, group, key, "delta", "_one", replicates), group, tolerance)
+    return sizes.join(ends, group, "left").select(group, "n", "n_excluded", "mean", "low", "high", "p_above")
 
-    In: group, qid, delta. Each replicate takes as many draws with replacement as its group has rows.
+
+def cluster_bootstrap(observations: DataFrame, replicates: int = 200, tolerance: float = 0.0) -> DataFrame:
+    """One row: n_clusters, n_parents, n_excluded, n_duplicates, n_split_parents, estimate, low, high, p_above.
+
+    Observations (cluster_id, parent_id, variant, candidate, comparator) are averaged within parents; the estimate is the parents' mean, and
+    clusters are drawn with all their parents. Repeated variants of a parent and parents in several clusters make the input invalid: they
+    are counted, and the estimate and its interval are then null.
     """
-    order = W.partitionBy(group).orderBy("qid")
-    own = deltas.withColumn("at", (F.row_number().over(order) - 1).cast("decimal(20,0)"))
-    sizes = own.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg("delta").alias("mean"))
-    drawn = sizes.select(group, "n", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1))).alias("r")).select(
-        group, "n", "r", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)).alias("d")
+    both = observations.withColumn("d", F.col("candidate") - F.col("comparator"))
+    variants = both.groupBy("parent_id", "variant").agg(F.count(F.lit(1)).alias("k"), F.count_if(F.col("d").isNull()).alias("without"))
+    checks = variants.agg(F.coalesce(F.sum(F.col("k") - 1), F.lit(0)).alias("n_duplicates"), F.coalesce(F.sum("without"), F.lit(0)).alias("n_excluded"))
+    homes = both.groupBy("parent_id").agg((F.min("cluster_id") != F.max("cluster_id")).alias("split"))
+    homes = homes.agg(F.count_if("split").alias("n_split_parents"))
+    parents = both.where("d IS NOT NULL").groupBy("cluster_id", "parent_id").agg(F.avg("d").alias("d"))
+    clusters = parents.groupBy("cluster_id").agg(F.sum("d").alias("s"), F.count(F.lit(1)).alias("c")).withColumn("one", F.lit(1))
+    point = clusters.agg(F.count(F.lit(1)).alias("n_clusters"), F.coalesce(F.sum("c"), F.lit(0)).alias("n_parents"), (F.sum("s") / F.sum("c")).alias("estimate"))
+    ends = interval(replicate_means(clusters, "one", "cluster_id", "s", "c", replicates), "one", tolerance).drop("one").agg(
+        F.max("low").alias("low"), F.max("high").alias("high"), F.max("p_above").alias("p_above")
+    )
+    valid = (F.col("n_duplicates") == 0) & (F.col("n_split_parents") == 0)
+    one = checks.join(homes).join(point).join(ends)  # four tables of one row
+    return one.select(
+        "n_clusters", "n_parents", "n_excluded", "n_duplicates", "n_split_parents", *[F.when(valid, F.col(c)).alias(c) for c in ("estimate", "low", "high", "p_above")]
     )
-    at = F.pmod(hash_u64(F.concat_ws(":", F.lit("boot"), "r", "d")), F.col("n").cast("decimal(20,0)"))
-    means = drawn.withColumn("at", at.cast("decimal(20,0)")).join(own.select(group, "at", "delta"), [group, "at"]).groupBy(group, "r").agg(F.avg("delta").alias("m"))
-    ends = means.groupBy(group).agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
-    return sizes.join(ends, group).select(group, "n", "mean", "low", "high")
 
 
 def linear_quantile(values: list[float], p: float) -> float:

@@ -30,13 +30,25 @@ def deltas(spark, sf):
 DELTA = P.BASE + ", de AS (SELECT split, qid, max(ap) FILTER (method = 'leave_one_out') - max(ap) FILTER (method = 'control_lexical') AS delta FROM mq GROUP BY ALL)"
 
 
-@book.add(DELTA + """, o AS (SELECT *, row_number() OVER (PARTITION BY split ORDER BY qid) - 1 AS at FROM de), s AS (SELECT split, count(*) AS n, avg(delta) AS mean FROM o GROUP BY split),
-r AS (SELECT split, n, r, unnest(range(n)) AS d FROM (SELECT split, n, unnest(range(200)) AS r FROM s)),
-m AS (SELECT r.split, r, avg(delta) AS m FROM r JOIN o ON o.split = r.split AND o.at = ('0x' || substr(sha256('boot:' || r || ':' || d), 1, 16))::UBIGINT % r.n::UBIGINT GROUP BY ALL)
-SELECT s.split, n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM s JOIN m USING (split) GROUP BY s.split, n, mean""")
+def boot(rows: str, group: str = "split", key: str = "qid", total: str = "delta", count: str = "1") -> str:
+    """Tables m (group, r, m) and iv (group, low, high, p_above) after one of units."""
+    weight = " + ".join(f"(u >= {t})::INT" for t in S.POISSON)
+    return f""", bw AS (SELECT {group}, r, {total} AS s, {count} AS c, {weight} AS w FROM (SELECT *, ('0x' || substr(sha256('boot:' || (r // 8) || ':' || {key}), (1 + 8 * (r % 8))::INT, 8))::UBIGINT::DOUBLE / 4294967296 AS u
+  FROM {rows}, (SELECT unnest(range(200)) AS r)) WHERE {total} IS NOT NULL),
+bm0 AS (SELECT {group}, r, sum(w * s) / sum(w * c) AS m FROM bw GROUP BY ALL HAVING sum(w * c) > 0),
+iv AS (SELECT {group}, quantile_cont(m, 0.025) AS low, quantile_cont(m, 0.975) AS high, avg((m > 0)::INT) AS p_above FROM bm0 GROUP BY {group}) """
+
+
+PAIRED = "SELECT split, count(delta) AS n, count(*) - count(delta) AS n_excluded, round(avg(delta), 6) AS mean, round(max(low), 6) AS low, round(max(high), 6) AS high, round(max(p_above), 6) AS p_above FROM {} LEFT JOIN iv USING (split) GROUP BY split"
+
+
+def paired(b):
+    return b.select("split", "n", "n_excluded", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high", "p_above")])
+
+
+@book.add(DELTA + boot("de") + PAIRED.format("de"))
 def paired_bootstrap_hash(spark, sf):
-    b = S.hashed_bootstrap(deltas(spark, sf), "split")
-    return b.select("split", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return paired(S.hashed_bootstrap(deltas(spark, sf), "split"))
 
 
 @book.add()
@@ -94,14 +106,22 @@ def holm_adjust(spark, sf):
     return S.holm(t, "split", "qid", "p").select("split", "qid", F.round("adjusted", 6).alias("adjusted"))
 
 
-CLUSTER = """SELECT l_suppkey AS cluster_id, round(avg(d), 6) AS delta FROM (SELECT l_suppkey, l_orderkey, avg(l_discount - l_tax) AS d FROM lineitem GROUP BY ALL) GROUP BY l_suppkey"""
+CLUSTER = """WITH ob AS (SELECT o_custkey AS cluster_id, l_orderkey AS parent_id, l_linenumber AS variant, l_discount - l_tax AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
+du AS (SELECT coalesce(sum(k - 1), 0)::BIGINT AS n_duplicates, coalesce(sum(z), 0)::BIGINT AS n_excluded FROM (SELECT count(*) AS k, count(*) FILTER (d IS NULL) AS z FROM ob GROUP BY parent_id, variant)),
+sp AS (SELECT count(*) FILTER (a <> b) AS n_split_parents FROM (SELECT min(cluster_id) AS a, max(cluster_id) AS b FROM ob GROUP BY parent_id)),
+cl AS (SELECT 1 AS one, cluster_id, sum(d) AS s, count(*) AS c FROM (SELECT cluster_id, parent_id, avg(d) AS d FROM ob WHERE d IS NOT NULL GROUP BY ALL) GROUP BY cluster_id)""" + boot("cl", "one", "cluster_id", "s", "c") + """
+SELECT count(*) AS n_clusters, sum(c)::BIGINT AS n_parents, max(n_excluded) AS n_excluded, max(n_duplicates) AS n_duplicates, max(n_split_parents) AS n_split_parents,
+  CASE WHEN max(n_duplicates) = 0 AND max(n_split_parents) = 0 THEN round(sum(s) / sum(c), 6) END AS estimate, CASE WHEN max(n_duplicates) = 0 AND max(n_split_parents) = 0 THEN round(max(low), 6) END AS low,
+  CASE WHEN max(n_duplicates) = 0 AND max(n_split_parents) = 0 THEN round(max(high), 6) END AS high, CASE WHEN max(n_duplicates) = 0 AND max(n_split_parents) = 0 THEN round(max(p_above), 6) END AS p_above FROM cl JOIN iv USING (one), du, sp"""
 
 
 @book.add(CLUSTER, view=False)
 def cluster_bootstrap(spark, sf):
-    """The point estimates that clusters are resampled from, over the volume table."""
-    o = V.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("cluster_id"), F.col("l_orderkey").alias("parent_id"), F.col("l_discount").alias("candidate"), F.col("l_tax").alias("comparator"))
-    return S.cluster_points(o).select("cluster_id", F.round("delta", 6).alias("delta"))
+    """Customers are clusters, their orders parents and an order's lines its variants."""
+    o = V.read(spark, sf, "orders").select(F.col("o_orderkey").alias("parent_id"), F.col("o_custkey").alias("cluster_id"))
+    x = V.read(spark, sf, "lineitem").select(F.col("l_orderkey").alias("parent_id"), F.col("l_linenumber").alias("variant"), F.col("l_discount").alias("candidate"), F.col("l_tax").alias("comparator"))
+    got = S.cluster_bootstrap(x.join(o, "parent_id"))
+    return got.select(*got.columns[:5], *[F.round(c, 6).alias(c) for c in got.columns[5:]])
 
 
 AGREE = """, c AS (SELECT * FROM pr WHERE a IS NOT NULL AND b IS NOT NULL), n AS (SELECT count(*) AS n, avg((a = b)::INT) AS raw FROM c),
@@ -209,13 +229,10 @@ def rerank_decision_gate(spark, sf):
     return arms(spark, sf).groupBy("split").agg(F.round(F.avg(d), 6).alias("delta"), choice.alias("decision"))
 
 
-@book.add(ARMS.rstrip() + """, o AS (SELECT split, qid, cand - base AS delta, row_number() OVER (PARTITION BY split ORDER BY qid) - 1 AS at FROM ar), s AS (SELECT split, count(*) AS n, avg(delta) AS mean FROM o GROUP BY split),
-r AS (SELECT split, n, r, unnest(range(n)) AS d FROM (SELECT split, n, unnest(range(200)) AS r FROM s)),
-m AS (SELECT r.split, r, avg(delta) AS m FROM r JOIN o ON o.split = r.split AND o.at = ('0x' || substr(sha256('boot:' || r || ':' || d), 1, 16))::UBIGINT % r.n::UBIGINT GROUP BY ALL)
-SELECT s.split, n, round(mean, 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM s JOIN m USING (split) GROUP BY s.split, n, mean""")
+@book.add(ARMS.rstrip() + ", ad AS (SELECT split, qid, cand - base AS delta FROM ar)" + boot("ad") + PAIRED.format("ad"))
 def rerank_paired_bootstrap(spark, sf):
     d = arms(spark, sf).select("split", "qid", (F.col("cand") - F.col("base")).alias("delta"))
-    return S.hashed_bootstrap(d, "split").select("split", "n", *[F.round(c, 6).alias(c) for c in ("mean", "low", "high")])
+    return paired(S.hashed_bootstrap(d, "split"))
 
 
 @book.add(ARMS + "SELECT qid, round(cand, 6) AS candidate, round(base, 6) AS baseline, failed FROM ar JOIN generations USING (qid)")

@@ -41,6 +41,27 @@ def test_clusters(spark):
     assert [(r["cluster_id"], r["delta"]) for r in got] == [("c", 0.0)]
 
 
+def test_cluster_bootstrap(spark):
+    schema = "cluster_id string, parent_id string, variant string, candidate double, comparator double"
+    rows = [(f"c{i % 6}", f"p{i}", v, i / 10 + (v == "b"), 0.5) for i in range(30) for v in "ab"]
+    run = lambda x: S.cluster_bootstrap(spark.createDataFrame(x, schema), 100).first()
+    a, b = run(rows), run(rows[::-1])
+    assert (a["n_clusters"], a["n_parents"], a["n_excluded"], a["n_duplicates"], a["n_split_parents"]) == (6, 30, 0, 0, 0)
+    assert a["estimate"] == pytest.approx(1.45) and a["low"] < a["estimate"] < a["high"] and a["p_above"] == 1.0
+    assert [round(x, 9) for x in a] == [round(x, 9) for x in b]
+    twice, split = run([*rows, rows[0]]), run([*rows, ("c9", "p0", "z", 1.0, 0.0)])
+    assert twice["n_duplicates"] == 1 and twice["estimate"] is None and split["n_split_parents"] == 1 and split["low"] is None
+    assert run([*rows, ("c1", "p1", "z", None, 0.0)])["n_excluded"] == 1 and run([])["n_clusters"] == 0
+
+
+def test_bootstrap_weights(spark):
+    """Poisson weights have mean and variance one, and an interval covers about what drawing with replacement does."""
+    rows = [("g", f"q{i}", float(i % 10)) for i in range(400)] + [("g", "x", None)]
+    got = S.hashed_bootstrap(spark.createDataFrame(rows, "g string, qid string, delta double"), "g", 400).first()
+    spread = 2 * 1.96 * (8.25 / 400) ** 0.5
+    assert (got["n"], got["n_excluded"], got["mean"]) == (400, 1, 4.5) and 0.8 * spread < got["high"] - got["low"] < 1.2 * spread
+
+
 def test_alignment(spark):
     a = spark.createDataFrame([("q1", 0.8), ("q2", None), ("q3", 0.4)], "qid string, value double")
     b = spark.createDataFrame([("q1", 0.5), ("q2", 0.2), ("q4", 0.1)], "qid string, value double")
