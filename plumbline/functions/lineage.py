@@ -6,11 +6,28 @@ import os
 import tempfile
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+#: Rows of a key from which it is hot; a table has one hot key for each HOT of its rows at most.
+HOT = 10_000
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the folder that spark.checkpoint.dir names; only where it is unset (tests, a laptop) a temporary folder is."""
+    """A checkpoint in the folder that spark.checkpoint.dir names. Only a local master may go without, in a temporary folder."""
     context = df.sparkSession.sparkContext
-    if not context.getConf().get("spark.checkpoint.dir") and not context.getCheckpointDir():
-        context.setCheckpointDir(os.path.join(tempfile.gettempdir(), "plumbline-checkpoints"))
+    if not context.getCheckpointDir():
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder:
+            if not context.master.startswith("local") or context.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            folder = os.path.join(tempfile.gettempdir(), "plumbline-checkpoints")
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str) -> DataFrame:
+    """rows with the one row of facts that has their key, which ``count`` of them have; facts of hot keys are broadcast to their rows."""
+    hot = facts.where(F.col(count) > HOT).drop(count)
+    cool = facts.where(F.col(count) <= HOT).drop(count)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cool, key)
+    return rows.join(F.broadcast(hot), key).unionByName(rest)

@@ -2,52 +2,83 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.lineage import cut
+from plumbline.functions.lineage import cut, join_hot
+from plumbline.operators.ranking import place_by_hash
+
+#: Total up to which a split is filled by an exact search; sizes of groups at most.
+EXACT, MAX_SIZES = 1_000_000, 10_000
 
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label: the smallest node of each component of the undirected edges (a, b), lone nodes as (a, a).
 
-    Labels flow to neighbours and jump to their label's label, so rounds grow with the logarithm of a component's
-    width. Each round ends in a checkpoint, so plans stay short and a lost executor costs one round.
+    Stars are rearranged until they stay: each node's greater neighbours move to its least neighbour, then each node and its lesser
+    ones do. Each round ends in a checkpoint, so plans stay short and a lost executor costs one round; hot nodes' rows stay where they are.
     """
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct()
-    both = cut(both)
-    labels = both.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node"))
+    pairs = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    nodes = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct())
+    stars, seen = cut(pairs.where("u <> v").distinct()), None
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        step = cut(labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new")))
-        hop = step.select(F.col("node").alias("via"), F.col("new").alias("far"))
-        after = cut(step.join(hop, step["new"] == hop["via"]).select("node", "label", F.least("new", "far").alias("new")))
-        if after.where("label <> new").isEmpty():
-            return after.select("node", F.col("new").alias("label"))
-        labels = after.select("node", F.col("new").alias("label"))
+        mark = stars.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == seen or not mark[0]:
+            return nodes.join(stars.select(F.col("u").alias("node"), "v"), "node", "left").select("node", F.coalesce("v", "node").alias("label"))
+        seen = mark
+        both = stars.union(stars.select("v", "u"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("u", "m"))
+        large = join_hot(both, least, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
+        moved = join_hot(large, least, "u", "c").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        stars = cut(moved.where("e.u <> e.m").select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct())
 
 
-def allocate(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """group_id, split: whole groups for each split in turn, in the order of their hash, filling its size exactly if any choice of groups does.
+def choose_sizes(histogram: dict[int, int], want: int) -> dict[int, int]:
+    """How many groups of each size to take, of so many, for a total of ``want``, or of the most below it that can be reached.
 
-    groups (group_id, size, h) is one bounded table of groups; the choice is a reachable-sum search, which is sequential.
+    An exact search over reachable sums where ``want`` is at most EXACT; beyond it the largest that still fit are taken first.
     """
+    if want > EXACT:
+        out = {}
+        for size in sorted(histogram, reverse=True):
+            out[size] = min(histogram[size], want // size)
+            want -= size * out[size]
+        return out
+    items = []
+    for size in sorted(histogram, reverse=True):
+        left, k = min(histogram[size], want // size), 1
+        while left:
+            items.append((size, min(k, left)))
+            left, k = left - min(k, left), 2 * k
+    mask, reach = (1 << (want + 1)) - 1, [1]
+    for size, k in items:
+        reach.append((reach[-1] | reach[-1] << size * k) & mask)
+    total, out = reach[-1].bit_length() - 1, {}
+    for (size, k), before in zip(reversed(items), reversed(reach[:-1]), strict=True):
+        if not before >> total & 1:
+            out[size] = out.get(size, 0) + k
+            total -= size * k
+    return out
+
 
-    def choose(x: pd.DataFrame) -> pd.DataFrame:
-        left = list(x.sort_values("h")[["group_id", "size"]].itertuples(index=False, name=None))
-        out = []
-        for split, want in sizes.items():
-            reach: dict[int, tuple[int, ...]] = {0: ()}
-            for k, (_, size) in enumerate(left):
-                for total in sorted(reach, reverse=True):
-                    if total + size <= want and total + size not in reach:
-                        reach[total + size] = (*reach[total], k)
-                if want in reach:
-                    break
-            taken = set(reach[max(reach)])
-            out += [(left[k][0], split) for k in sorted(taken)]
-            left = [g for k, g in enumerate(left) if k not in taken]
-        return pd.DataFrame(out + [(g, "unselected") for g, _ in left], columns=["group_id", "split"])
-
-    return groups.withColumn("_all", F.lit(1)).groupBy("_all").applyInPandas(choose, "group_id string, split string")
+def allocate(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """group_id, split: whole groups (group_id, size, h) for each split in turn, filling its size exactly if any choice of groups does.
+
+    The choice is made on the histogram of sizes, which has at most the square root of twice the questions' number of rows; of
+    a size, groups go to the splits in the order of their hash.
+    """
+    left = {r["size"]: r["n"] for r in groups.groupBy("size").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SIZES + 1).collect()}
+    if len(left) > MAX_SIZES:
+        raise ValueError(f"groups have over {MAX_SIZES} sizes")
+    taken = dict.fromkeys(left, 0)
+    spans = []
+    for split, want in sizes.items():
+        for size, n in choose_sizes(left, want).items():
+            spans += [(size, split, taken[size], taken[size] + n)] if n else []
+            taken[size] += n
+            left[size] -= n
+    known = groups.sparkSession.createDataFrame(spans, "size long, split string, first long, last long")
+    placed = place_by_hash(groups.withColumn("size", F.col("size").cast("long")), "h", "size")
+    within = (placed["size"] == known["size"]) & (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last"))
+    return placed.join(F.broadcast(known), within, "left").select("group_id", F.coalesce("split", F.lit("unselected")).alias("split"))

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import random
-
-import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions import text as T
+from plumbline.functions.lineage import join_hot
 from plumbline.operators import grouping as G
+from plumbline.operators.ranking import place_by_hash
 from plumbline.plans.book import Book
 from plumbline.plans.text import EXAMPLE, NORM, fingerprints
 from plumbline.sources import fixture as V
@@ -163,54 +162,59 @@ def zip_parallel_arrays(spark, sf):
     return z.select("qid", F.col("z.i").alias("position"), F.col("z.t").alias("title"), F.col("z.n").cast("long").alias("n_sentences"))
 
 
-LEAK = """, id AS (SELECT DISTINCT qid, body FROM passages WHERE idx < 4 AND body <> ''), ed AS (SELECT DISTINCT a.qid AS a, b.qid AS b FROM id a JOIN id b USING (body)),
+TIE = "CASE WHEN {0} <> '' THEN sha256('{1}:' || trim(regexp_replace(lower({0}), '[ \\t\\n\\r]+', ' ', 'g'))) END"
+LEAK = f""", id AS (SELECT DISTINCT qid, h FROM (SELECT qid, unnest([{TIE.format("title", "title")}, {TIE.format("body", "body")}]) AS h FROM passages) WHERE h IS NOT NULL),
+st AS (SELECT id.qid AS a, b FROM id JOIN (SELECT h, min(qid) AS b FROM id GROUP BY h) USING (h)), ed AS (SELECT a, b FROM st UNION SELECT b, a FROM st),
 rc AS (SELECT qid, qid AS c FROM questions UNION SELECT rc.qid, ed.b FROM rc JOIN ed ON ed.a = rc.c), lb AS (SELECT qid, min(c) AS label FROM rc GROUP BY qid),
-gr AS (SELECT sha256(string_agg(qid, chr(10) ORDER BY qid)) AS group_id, count(*) AS size, label FROM lb GROUP BY label) """
+gr AS (SELECT sha256(label || ':' || count(*) || ':' || sum(('0x' || substr(sha256(qid), 1, 8))::UBIGINT)::BIGINT) AS group_id, count(*) AS size, label FROM lb GROUP BY label) """
 
 
 def leakage_labels(spark, sf):
-    """Questions meet at a passage's text, so edges join each to the smallest question that has it, not to each other."""
-    own = V.passages(spark, sf).where("idx < 4 AND body <> ''").select("qid", F.sha2("body", 256).alias("h"))
-    star = own.join(own.groupBy("h").agg(F.min("qid").alias("b")), "h").select(F.col("qid").alias("a"), "b")
+    """Questions meet at a normalized title or text of any of their passages. Edges join each to the smallest question that has it."""
+    tie = lambda c: F.when(F.col(c) != "", F.sha2(F.concat(F.lit(f"{c}:"), F.trim(F.regexp_replace(F.lower(c), V.BLANK, " "))), 256))
+    own = V.passages(spark, sf).select("qid", F.explode(F.array(tie("title"), tie("body"))).alias("h")).where("h IS NOT NULL").distinct()
+    least = own.groupBy("h").agg(F.min("qid").alias("b"), F.count(F.lit(1)).alias("c"))
+    star = join_hot(own, least, "h", "c").select(F.col("qid").alias("a"), "b")
     lone = V.questions(spark, sf).select(F.col("qid").alias("a"), F.col("qid").alias("b"))
     return G.components(star.union(lone)).select(F.col("node").alias("qid"), "label")
 
 
-def leakage_groups(spark, sf):
-    members = F.array_join(F.array_sort(F.collect_list("qid")), "\n")
-    return leakage_labels(spark, sf).groupBy("label").agg(F.sha2(members, 256).alias("group_id"), F.count(F.lit(1)).alias("size"))
+def leakage_groups(labels):
+    """label, group_id, size. A group's id is a digest of its label, size and the sum of its members' hashes, so none is brought together in a task."""
+    first = F.conv(F.substring(F.sha2("qid", 256), 1, 8), 16, 10).cast("long")
+    groups = labels.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum(first).alias("sum"))
+    return groups.select("label", F.sha2(F.concat_ws(":", "label", "size", "sum"), 256).alias("group_id"), "size")
 
 
 @book.add(LEAK + "SELECT qid, group_id, size FROM lb JOIN gr USING (label)")
 def leakage_components(spark, sf):
     labels = leakage_labels(spark, sf)
-    return labels.join(leakage_groups(spark, sf), "label").select("qid", "group_id", "size")
+    groups = leakage_groups(labels)
+    return join_hot(labels, groups.withColumn("c", F.col("size")), "label", "c").select("qid", "group_id", "size")
 
 
 @book.add()
 def split_allocation(spark, sf):
-    g = leakage_groups(spark, sf).select("group_id", "size", F.sha2(F.concat(F.lit("7:"), "group_id"), 256).alias("h"))
+    g = leakage_groups(leakage_labels(spark, sf)).select("group_id", "size", F.sha2(F.concat(F.lit("7:"), "group_id"), 256).alias("h"))
     n = V.questions(spark, sf).count()
     return G.allocate(g, {"eval": n * 6 // 10, "dev": n * 2 // 10, "smoke": n // 10})
 
 
 @book.add(LEAK + "SELECT count(*) AS n_groups, sum(size)::BIGINT AS n_questions, max(size) AS largest, count(*) FILTER (size > 1) AS shared FROM gr")
 def manifest_v2_summary(spark, sf):
-    return leakage_groups(spark, sf).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_questions"), F.max("size").alias("largest"), F.count_if(F.col("size") > 1).alias("shared"))
+    return leakage_groups(leakage_labels(spark, sf)).agg(F.count(F.lit(1)).alias("n_groups"), F.sum("size").alias("n_questions"), F.max("size").alias("largest"), F.count_if(F.col("size") > 1).alias("shared"))
 
 
-@book.add()
-def split_seeded_disjoint(spark, sf):
-    """The standard generator's shuffle of the sorted ids, a bounded list of questions, dealt to splits."""
+DEAL = "SELECT qid, CASE WHEN k <= n * 6 // 10 THEN 'eval' WHEN k <= n * 6 // 10 + n * 2 // 10 THEN 'dev' ELSE 'smoke' END AS split FROM (SELECT qid, row_number() OVER (ORDER BY sha256('deal:7:' || qid)) AS k, count(*) OVER () AS n FROM questions)"
 
-    def deal(x: pd.DataFrame) -> pd.DataFrame:
-        ids = sorted(x["qid"])
-        random.Random(7).shuffle(ids)
-        n = len(ids)
-        names = ["eval"] * (n * 6 // 10) + ["dev"] * (n * 2 // 10)
-        return pd.DataFrame({"qid": ids, "split": (names + ["smoke"] * n)[:n]})
 
-    return V.questions(spark, sf).select("qid", F.lit(1).alias("one")).groupBy("one").applyInPandas(deal, "qid string, split string")
+@book.add(DEAL)
+def split_seeded_disjoint(spark, sf):
+    """The questions in the order of a seeded hash, dealt to splits by their shares."""
+    q = V.questions(spark, sf).select("qid", F.sha2(F.concat(F.lit("deal:7:"), "qid"), 256).alias("h"))
+    n = q.count()
+    placed = place_by_hash(q, "h", out="k")
+    return placed.select("qid", F.when(F.col("k") <= n * 6 // 10, "eval").when(F.col("k") <= n * 6 // 10 + n * 2 // 10, "dev").otherwise("smoke").alias("split"))
 
 
 CONFIG = "(VALUES ('a.k', '10'), ('a.model', 'x'), ('b.seed', '7')) l(path, v) FULL JOIN (VALUES ('a.k', '5'), ('a.model', 'x'), ('c.new', '1')) r(path, v) USING (path)"

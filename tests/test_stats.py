@@ -1,8 +1,15 @@
+import collections
+import hashlib
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from plumbline.functions import lineage
 from plumbline.operators import annotation as N
 from plumbline.operators import grouping as G
+from plumbline.operators import ranking as R
 from plumbline.operators import stats as S
 
 
@@ -95,6 +102,43 @@ def test_allocation(spark):
     assert total == {"eval": 7, "dev": 5, "smoke": 2, "unselected": 4}
 
 
+@given(st.lists(st.integers(1, 9), max_size=12), st.integers(0, 40))
+@settings(max_examples=80, deadline=None)
+def test_choice_is_the_best(sizes, want):
+    got = G.choose_sizes(dict(collections.Counter(sizes)), want)
+    sums = {0}
+    for s in sizes:
+        sums |= {x + s for x in sums}
+    assert all(n <= sizes.count(s) for s, n in got.items())
+    assert sum(s * n for s, n in got.items()) == max(x for x in sums if x <= want)
+
+
+def test_allocation_of_empty_and_tied(spark):
+    schema = "group_id string, size long, h string"
+    assert G.allocate(spark.createDataFrame([], schema), {"eval": 3}).count() == 0
+    tied = spark.createDataFrame([(f"g{i}", 1, "same") for i in range(6)], schema)
+    got = [r["split"] for r in G.allocate(tied, {"eval": 2, "dev": 3}).collect()]
+    assert sorted(got) == ["dev"] * 3 + ["eval"] * 2 + ["unselected"]
+
+
+def test_places_by_hash(spark):
+    rows = spark.range(500).select("id", F.sha2(F.col("id").cast("string"), 256).alias("h"))
+    got = [r["id"] for r in R.place_by_hash(rows, "h", digits=1).orderBy("place").collect()]
+    assert got == sorted(range(500), key=lambda i: hashlib.sha256(str(i).encode()).hexdigest())
+
+
+def test_pair_scorers(spark):
+    pairs = spark.createDataFrame([("p1", "ab", "xyz"), ("p2", "a", "")], "pid string, question string, body string")
+    assert {tuple(r) for r in R.score_pairs(pairs, "stub", "pid").collect()} == {("p1", 8.0), ("p2", 1.0)}
+
+
+def test_hot_components(spark, monkeypatch):
+    monkeypatch.setattr(lineage, "HOT", 2)
+    edges = [("hub", f"n{i}") for i in range(30)] + [(f"n{i}", f"m{i}") for i in range(5)] + [("x", "y"), ("z", "z")]
+    got = {r["node"]: r["label"] for r in G.components(spark.createDataFrame(edges, "a string, b string")).collect()}
+    assert got.pop("x") == got.pop("y") == "x" and got.pop("z") == "z" and set(got.values()) == {"hub"} and len(got) == 36
+
+
 def test_chains(spark):
     rows = [("o", "a1", None), ("o", "a2", "a1"), ("f", "b1", None), ("f", "b2", "b1"), ("f", "b3", "b1"), ("c", "d1", "d2"), ("c", "d2", "d1"), ("s", "e1", None), ("s", "e2", "a1")]
     df = spark.createDataFrame(rows, "original string, amendment string, previous string")
