@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -53,3 +53,37 @@ def adjacent(scheduled: DataFrame) -> DataFrame:
     """Rows whose group is that of the row before. In: annotator, position, group."""
     before = F.lag("group").over(W.partitionBy("annotator").orderBy("position"))
     return scheduled.withColumn("before", before).where("before = group").drop("before")
+
+
+def normal_text(c: Column) -> Column:
+    """Trimmed, single spaces, lower case; null is the empty text."""
+    return F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+
+
+def normal_family(c: Column) -> Column:
+    """A family of sets of ids in one order: ids within sets, then the sets."""
+    return F.array_sort(F.transform(c, lambda ids: F.array_sort(ids)))
+
+
+def disagreement_reasons(left: Column, right: Column) -> Column:
+    """In order, what two records (label, answer, families, ambiguous, defect) differ in; empty where they agree."""
+    differ = {
+        "answerability": left["label"] != right["label"],
+        "answer_text": normal_text(left["answer"]) != normal_text(right["answer"]),
+        "evidence_sets": normal_family(left["families"]) != normal_family(right["families"]),
+        "ambiguity": left["ambiguous"] != right["ambiguous"],
+        "dataset_defect": left["defect"] != right["defect"],
+    }
+    return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in differ.items()]))
+
+
+def agreement_exclusion(left: Column, right: Column) -> Column:
+    """Why a task whose records agree is left out of the analysis, by the first rule that holds; null if it stays."""
+    either = lambda field: left[field] | right[field]
+    partial = (left["exhaustive"] == F.lit(False)) | (right["exhaustive"] == F.lit(False))
+    return (
+        F.when(left["label"] == "unclear", "unclear human decision")
+        .when(either("defect"), "dataset defect")
+        .when(either("ambiguous"), "annotator-marked ambiguity")
+        .when((left["label"] == "answerable") & partial, "non-exhaustive evidence")
+    )

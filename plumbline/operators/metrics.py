@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +48,24 @@ def per_question(marked: DataFrame, ks=(2, 5, 10)) -> DataFrame:
         *[recall_at(k).alias(f"recall_at_{k}") for k in ks], reciprocal_rank().alias("mrr"), ndcg_at(10).alias("ndcg_at_10"),
         covered_at(5).alias("covered_at_5"),
     )
+
+
+PARTS = ("mean", "p50", "p95")
+
+
+def percentile_struct(c: str) -> Column:
+    """mean, p50 and p95 of a group; null in a group without values."""
+    return F.when(F.count(c) > 0, F.struct(F.avg(c).alias("mean"), nearest_rank(c, 0.5).alias("p50"), nearest_rank(c, 0.95).alias("p95")))
+
+
+def combine_percentiles(left: Column, right: Column, by: Callable[[Column, Column], Column]) -> Column:
+    """``by`` part for part; null if either side, or any part of it, is missing."""
+    whole = F.lit(True)
+    for part in PARTS:
+        whole = whole & left[part].isNotNull() & right[part].isNotNull()
+    return F.when(whole, F.struct(*[by(left[p], right[p]).alias(p) for p in PARTS]))
+
+
+def constant_percentiles(value) -> Column:
+    v = value if isinstance(value, Column) else F.lit(value)
+    return F.struct(*[v.cast("double").alias(p) for p in PARTS])

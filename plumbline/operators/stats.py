@@ -57,9 +57,12 @@ def replicate_means(units: DataFrame, group: str, key: str, total: str, count: s
 
 
 def interval(means: DataFrame, group: str, tolerance: float = 0.0) -> DataFrame:
-    """group, low, high and p_above, the share of replicates over the tolerance."""
+    """group, low, high, p_above and p_below: the shares of replicates over the tolerance and under its negative."""
     end = lambda p: F.percentile("m", F.lit(p))
-    return means.groupBy(group).agg(end(0.025).alias("low"), end(0.975).alias("high"), F.avg((F.col("m") > tolerance).cast("int")).alias("p_above"))
+    share = lambda c: F.avg(c.cast("int"))
+    return means.groupBy(group).agg(
+        end(0.025).alias("low"), end(0.975).alias("high"), share(F.col("m") > tolerance).alias("p_above"), share(F.col("m") < -tolerance).alias("p_below")
+    )
 
 
 def hashed_bootstrap(deltas: DataFrame, group: str, replicates: int = 200, key: str = "qid", tolerance: float = 0.0) -> DataFrame:
@@ -70,6 +73,19 @@ def hashed_bootstrap(deltas: DataFrame, group: str, replicates: int = 200, key:
     return sizes.join(ends, group, "left").select(group, "n", "n_excluded", "mean", "low", "high", "p_above")
 
 
+def paired_analysis(deltas: DataFrame, group: str, lower_is_better: Column, replicates: int = 200, key: str = "qid", tolerance: float = 1e-9) -> DataFrame:
+    """group, n, n_excluded, mean, low, high, p_above, p_below, excludes_zero, favorable of the differences (group, key, delta) of each group.
+
+    ``lower_is_better`` is a condition on the group. All groups are drawn in one pass; those without any difference have nulls.
+    """
+    sizes = deltas.groupBy(group).agg(F.count("delta").alias("n"), F.count_if(F.col("delta").isNull()).alias("n_excluded"), F.avg("delta").alias("mean"))
+    units = deltas.where("delta IS NOT NULL").withColumn("_one", F.lit(1))
+    ends = interval(replicate_means(units, group, key, "delta", "_one", replicates), group, tolerance)
+    above, below = F.col("low") > tolerance, F.col("high") < -tolerance
+    judged = sizes.join(ends, group, "left").withColumn("excludes_zero", above | below).withColumn("favorable", F.when(lower_is_better, below).otherwise(above))
+    return judged.select(group, "n", "n_excluded", "mean", "low", "high", "p_above", "p_below", "excludes_zero", "favorable")
+
+
 def cluster_bootstrap(observations: DataFrame, replicates: int = 200, tolerance: float = 0.0) -> DataFrame:
     """One row: n_clusters, n_parents, n_excluded, n_duplicates, n_split_parents, estimate, low, high, p_above.
 

@@ -208,8 +208,8 @@ def rerank_error_analysis(spark, sf):
 
 @book.add(ARMS + "SELECT qtype, level, count(*) AS n, round(avg(cand - base), 6) AS delta FROM ar GROUP BY GROUPING SETS ((qtype), (level))")
 def rerank_group_analysis(spark, sf):
-    arms(spark, sf).createOrReplaceTempView("arms_by_question")
-    return spark.sql("SELECT qtype, level, count(*) AS n, round(avg(cand - base), 6) AS delta FROM arms_by_question GROUP BY GROUPING SETS ((qtype), (level))")
+    sets = arms(spark, sf).groupingSets([["qtype"], ["level"]], "qtype", "level")
+    return sets.agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(F.col("cand") - F.col("base")), 6).alias("delta"))
 
 
 @book.add(ARMS + ", g AS (SELECT qid, (('0x' || substr(sha256('gen:' || qid), 1, 8))::UBIGINT % 3)::BIGINT - 1 AS answer_delta, cand - base AS d FROM ar) SELECT CASE WHEN d > 1e-9 AND answer_delta > 0 THEN 'both_gain' WHEN d > 1e-9 THEN 'retrieval_only' WHEN d < -1e-9 AND answer_delta < 0 THEN 'both_loss' WHEN d < -1e-9 THEN 'retrieval_loss_only' WHEN answer_delta <> 0 THEN 'answer_only' ELSE 'unchanged' END AS class, count(*) AS n FROM g GROUP BY 1")
