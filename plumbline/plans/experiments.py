@@ -51,14 +51,14 @@ def present_runs(spark, sf):
     return r.where(T.bucket(F.concat(F.lit("gone:"), "method", "qid")) >= 5)
 
 
-@book.add(SHARED + " SELECT qid, max(failed) AS any_failed, CASE WHEN NOT max(failed) THEN greatest(max(latency_ms) FILTER (method = 'bm25'), max(latency_ms) FILTER (method = 'dense')) + max(latency_ms) FILTER (method = 'hybrid_rrf') END AS estimate_ms FROM ok GROUP BY qid HAVING count(DISTINCT method) = 3")
+@book.add(SHARED + " SELECT qid, max(failed) AS any_failed, CASE WHEN NOT max(failed) THEN greatest(max(latency_ms) FILTER (method = 'bm25'), max(latency_ms) FILTER (method = 'dense')) + max(latency_ms) FILTER (method = 'hybrid_rrf') END::DOUBLE AS estimate_ms FROM ok GROUP BY qid HAVING count(DISTINCT method) = 3")
 def run_key_intersection(spark, sf):
     """Questions that all three runs hold, with the time of both sources side by side and their fusion where none failed."""
     own = lambda m: F.max(F.when(F.col("method") == m, F.col("latency_ms")))
     rows = present_runs(spark, sf).groupBy("qid").agg(
         F.collect_set("method").alias("held"), F.bool_or("failed").alias("any_failed"), (F.greatest(own("bm25"), own("dense")) + own("hybrid_rrf")).alias("ms")
     )
-    return rows.where(F.size("held") == len(THREE)).select("qid", "any_failed", F.when(~F.col("any_failed"), F.col("ms")).alias("estimate_ms"))
+    return rows.where(F.size("held") == len(THREE)).select("qid", "any_failed", F.when(~F.col("any_failed"), F.col("ms").cast("double")).alias("estimate_ms"))
 
 
 PERC = ", pc AS (SELECT split, method, avg(latency_ms) AS mean, quantile_disc(latency_ms::DOUBLE, 0.5) AS p50, quantile_disc(latency_ms::DOUBLE, 0.95) AS p95 FROM ok WHERE NOT failed AND NOT (split = 'smoke' AND method = 'dense') GROUP BY ALL), s AS (SELECT DISTINCT split FROM questions)"

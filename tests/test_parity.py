@@ -7,7 +7,7 @@ from plumbline import catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-NAMES = ["recall_at_k", "hybrid_rrf_rerank", "answer_em_f1", "parse_citations", "attr_prf_at_k", "leakage_components", "challenge_missing_hop", "amendment_chain_violations", "wilson_interval"]
+NAMES = ["recall_at_k", "hybrid_rrf_rerank", "answer_em_f1", "parse_citations", "attr_prf_at_k", "leakage_components", "challenge_missing_hop", "amendment_chain_violations", "wilson_interval", "ablation_arc_jsd", "disagreement_reasons", "challenge_evidence_edit", "percentile_arithmetic", "run_key_intersection"]
 
 
 @pytest.fixture(scope="module")
