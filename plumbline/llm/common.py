@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -40,6 +42,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+@contextmanager
+def written(df: DataFrame) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, for as long as the block lasts; what is to outlive it must be materialized in it."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/plumbline-{uuid.uuid4().hex}"
+    try:
+        df.write.parquet(path)
+        yield spark.read.parquet(path)
+    finally:
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def slices(batches: Iterator[pd.DataFrame], column: str, rows: int = 512, size: int = 2 << 20) -> Iterator[pd.DataFrame]:
     """The batches in parts of at most ``rows`` rows and about ``size`` characters or bytes of ``column``; a longer row is alone."""
     for batch in batches:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("neardup", "quality", "licenses", "pii", "lines", "mixing", "bpe", "langid", "media", "extract", "pieces", "audit")
+MODULES = ("neardup", "quality", "licenses", "pii", "lines", "mixing", "bpe", "langid", "media", "extract", "pieces", "audit", "phrases")
 
 
 def _merged(name: str) -> dict:
