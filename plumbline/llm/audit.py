@@ -29,10 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import materialize, table
 
 #: A fixed value: the characters of terms.
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
@@ -40,7 +41,7 @@ MIN_DOCS, TOP = 10, 10
 #: Groups in all; groups that a light term stands in at most (or a quarter of the language's, if that is less).
 MAX_GROUPS, LIGHT = 20_000, 32
 #: Terms that a task counts before it passes them on; groups in a tile; numbers in a matrix.
-HELD, TILE, CELLS = 200_000, 128, 1 << 21
+HELD, TILE, CELLS = 500_000, 128, 1 << 21
 _UNIT = 1_000_000_000
 
 
@@ -63,14 +64,16 @@ def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, n, docs of the rows of a task (lang, source, text): a term comes again if the task passed it on before."""
     find = re.compile(TERM).findall
 
-    def passed_on(held: dict) -> Iterator[pd.DataFrame]:
+    def passed_on(held: dict) -> Iterator[pa.RecordBatch]:
         for (lang, source), (n, rows) in held.items():
-            yield pd.DataFrame({"lang": lang, "source": source, "term": list(n), "n": list(n.values()), "docs": [rows[t] for t in n]})
+            names = (pa.array([x], pa.string()).take(pa.array(np.zeros(len(n), np.int64))) for x in (lang, source))
+            counts = (pa.array(x, pa.int64(), size=len(n)) for x in (n.values(), map(rows.__getitem__, n)))
+            yield pa.record_batch([*names, pa.array(n, pa.string(), size=len(n)), *counts], names=["lang", "source", "term", "n", "docs"])
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
-        for part in slices(batches, "text"):
-            for lang, source, text in zip(part["lang"], part["source"], part["text"], strict=True):
+        for part in (batch.slice(i, 256) for batch in batches for i in range(0, batch.num_rows, 256)):
+            for lang, source, text in zip(*(part[c].to_pylist() for c in ("lang", "source", "text")), strict=True):
                 terms = find(text.encode().lower().decode())  # of bytes, lower() changes A-Z alone
                 if terms:
                     n, rows = held.setdefault((lang, source), (Counter(), Counter()))
@@ -81,12 +84,13 @@ def term_counts(docs: DataFrame) -> DataFrame:
                 held = {}
         yield from passed_on(held)
 
-    return docs.mapInPandas(run, "lang string, source string, term string, n long, docs long")
+    return docs.mapInArrow(run, "lang string, source string, term string, n long, docs long")
 
 
 def kept_terms(docs: DataFrame, groups: DataFrame, min_docs: int) -> DataFrame:
     """lang, term, total, at (numbers of the groups that have it, ascending), n (its counts there), light of kept terms."""
-    counts = term_counts(docs).groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
+    counts = term_counts(docs).repartition("lang", "source", "term")  # the tasks have summed what they have
+    counts = counts.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
     found = counts.join(F.broadcast(groups), ["lang", "source"])  # at most MAX_GROUPS rows
     places = F.array_sort(F.collect_list(F.struct("number", "n"))).alias("places")
     terms = found.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("total"), F.max("most").alias("most"), places)
