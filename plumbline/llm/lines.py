@@ -43,7 +43,8 @@ def line_places(docs: DataFrame, id_column: str, text_column: str, site_column:
         F.xxhash64(text_column).alias("own"),
         F.posexplode(F.split(F.col(text_column), "\n", -1)).alias("pos", "line"),
     )
-    long_enough = F.col("line").rlike(_space.join([_word] * min_words))
+    # anchored and possessive: one pass over a line, whatever it is made of
+    long_enough = F.col("line").rlike(rf"\A(?:{_space})?+(?:{_word}+{_space}+){{{min_words - 1}}}[^\x20\x09-\x0D]") if min_words > 0 else F.lit(True)
     h1, h2 = _hashes("line")
     return rows.where(long_enough).select(h1.alias("h1"), h2.alias("h2"), "doc_id", "own", "pos", "site")
 
