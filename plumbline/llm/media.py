@@ -7,16 +7,18 @@ are only sliced, never decoded. A track's boxes are those inside its own; a dura
 ``write_media`` packs bytes losslessly into such a file: one track of unsigned 8-bit samples ('raw ').
 
 A null text counts as empty and is stored as 64 zero bytes. Files that are cut short or lack one of
-the needed boxes give nulls and the reason in ``error``; of tables that contradict each other too. Long texts stay one row's bytes; repeated
+the needed boxes give nulls and the reason in ``error``; so do tables that contradict each other or count more than the file holds, boxes nested
+deeper than DEPTH and fragmented files, which have no tables of samples. Long texts stay one row's bytes; repeated
 rows and ties give equal files, and an empty table gives an empty one. Of the input only the named columns are read.
 """
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterator
-from itertools import accumulate, groupby
+from collections.abc import Iterator, Sequence
+from itertools import groupby
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,6 +29,8 @@ from .common import slices, table
 SAMPLE, CHUNK, KEY, RATE = 64, 16, 8, 8000
 #: Boxes that hold boxes.
 CONTAINERS = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"edts", b"dinf"}
+#: Boxes in one another at most; the tables of samples are at the fifth place.
+DEPTH = 64
 
 MEDIA_SCHEMA = (
     "codec string, timescale long, duration long, n_samples long, key_ranges array<struct<start:long,end:long,time:long>>, "
@@ -81,10 +85,13 @@ def write_media(payload: bytes) -> bytes:
     return b"".join((head, moov(base), lead, payload))
 
 
-def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes, ...] = ()) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
-    """(path, start, end) of every box's body, parents first."""
-    end = len(data) if end is None else end
-    while start + 8 <= end:
+def walk(data: bytes) -> Iterator[tuple[tuple[bytes, ...], int, int]]:
+    """(path, start, end) of every box's body, parents first; boxes nested deeper than DEPTH are an error."""
+    within = [(0, len(data), ())]
+    while within:
+        start, end, path = within.pop()
+        if start + 8 > end:
+            continue
         size, kind = struct.unpack_from(">I4s", data, start)
         body = start + 8
         if size == 1:
@@ -96,21 +103,48 @@ def walk(data: bytes, start: int = 0, end: int | None = None, path: tuple[bytes,
         if size < body - start or start + size > end:
             raise ValueError(f"box {kind!r} at {start} doesn't fit")
         yield (*path, kind), body, start + size
+        within.append((start + size, end, path))
         if kind in CONTAINERS:
-            yield from walk(data, body, start + size, (*path, kind))
-        start += size
+            if len(path) == DEPTH:
+                raise ValueError(f"boxes are nested deeper than {DEPTH}")
+            within.append((body, start + size, (*path, kind)))
+
+
+class Ranges(Sequence):
+    """Byte ranges of samples, kept as arrays: 16 bytes a sample."""
+
+    def __init__(self, starts: np.ndarray, ends: np.ndarray):
+        self.starts, self.ends = starts, ends
+
+    def __len__(self) -> int:
+        return len(self.starts)
+
+    def __getitem__(self, at):
+        if isinstance(at, slice):
+            return list(zip(self.starts[at].tolist(), self.ends[at].tolist(), strict=True))
+        return int(self.starts[at]), int(self.ends[at])
+
+
+def times_at(runs: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """When the samples (from 0) begin, by runs of (count, delta)."""
+    first = np.cumsum(runs[:, 0]) - runs[:, 0]
+    began = np.cumsum(runs[:, 0] * runs[:, 1]) - runs[:, 0] * runs[:, 1]
+    run = np.searchsorted(first + runs[:, 0], samples, side="right")
+    return began[run] + (samples - first[run]) * runs[run, 1]
 
 
 def parse_track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
-    """Handler, codec, time scale, duration, samples' and key frames' byte ranges, and key frames' times, by a track's boxes."""
+    """Handler, codec, time scale, duration, samples' and key frames' byte ranges, and key frames' times, by a track's boxes.
 
-    def table_of(kind: bytes, form: str, skip: int = 4) -> list[tuple]:
+    Tables are read as arrays no longer than the file, and counts are held against its length before anything is made of them.
+    """
+
+    def table_of(kind: bytes, columns: int = 1, form: str = ">u4", skip: int = 4) -> np.ndarray:
         start, end = found[kind]
         n, at = struct.unpack_from(">I", data, start + skip)[0], start + skip + 4
-        width = struct.calcsize(form)
-        if at + n * width > end:
+        if at + n * columns * np.dtype(form).itemsize > end:
             raise ValueError(f"table {kind!r} is cut off")
-        return list(struct.iter_unpack(form, data[at : at + n * width]))
+        return np.frombuffer(data, form, n * columns, at).astype(np.int64).reshape(n, columns)
 
     try:
         handler = data[found[b"hdlr"][0] + 8 : found[b"hdlr"][0] + 12].decode("latin-1")
@@ -118,30 +152,39 @@ def parse_track(data: bytes, found: dict[bytes, tuple[int, int]]) -> dict:
         at = found[b"mdhd"][0]
         timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] else struct.unpack_from(">II", data, at + 12)
         fixed, count = struct.unpack_from(">II", data, found[b"stsz"][0] + 4)
-        sizes = [fixed] * count if fixed else [x for (x,) in table_of(b"stsz", ">I", 8)]
-        chunks = [x for (x,) in (table_of(b"co64", ">Q") if b"co64" in found else table_of(b"stco", ">I"))]
-        runs = table_of(b"stsc", ">III")
-        times = table_of(b"stts", ">II")
-        sync = [x for (x,) in table_of(b"stss", ">I")] if b"stss" in found else range(1, count + 1)
+        if fixed and fixed * count > len(data):
+            raise ValueError("samples take more bytes than the file has")
+        sizes = np.full(count, fixed, np.int64) if fixed else table_of(b"stsz", skip=8)[:, 0]
+        chunks = (table_of(b"co64", form=">u8") if b"co64" in found else table_of(b"stco"))[:, 0]
+        runs = table_of(b"stsc", 3)
+        times = table_of(b"stts", 2)
+        sync = table_of(b"stss")[:, 0] if b"stss" in found else None
     except KeyError as e:
         raise ValueError(f"box {e.args[0]!r} is missing") from None
-    starts = [0, *accumulate(delta for n, delta in times for _ in range(n))]
-    if len(starts) != count + 1:
+    if int(times[:, 0].sum()) != count:
         raise ValueError("times and samples differ in number")
-    ranges: list[tuple[int, int]] = []
-    for k, (first, each, _) in enumerate(runs):
-        until = runs[k + 1][0] if k + 1 < len(runs) else len(chunks) + 1
-        for offset in chunks[first - 1 : until - 1]:
-            for _ in range(each):
-                if len(ranges) == len(sizes):
-                    break
-                ranges.append((offset, offset + sizes[len(ranges)]))
-                offset = ranges[-1][1]
-    if len(ranges) != len(sizes) or any(e > len(data) for _, e in ranges) or any(not 1 <= i <= count for i in sync):
+    # samples of each chunk: a run holds from its first chunk to the next run's
+    until = np.append(runs[1:, 0], len(chunks) + 1)
+    if len(runs) and (runs[0, 0] < 1 or (until < runs[:, 0]).any() or until.max() > len(chunks) + 1):
+        raise ValueError("runs of chunks are out of order")
+    each = np.repeat(runs[:, 1], until - runs[:, 0])
+    chunks = chunks[runs[0, 0] - 1 :] if len(runs) else chunks[:0]
+    last = np.minimum(np.cumsum(each), count)
+    if (int(last[-1]) if len(last) else 0) != count:
+        raise ValueError("samples lie outside of the file")
+    each = np.diff(last, prepend=0)
+    before = np.cumsum(sizes) - sizes  # bytes of the samples before each
+    starts = np.repeat(chunks, each) + before - np.repeat(before[(last - each)[each > 0]], each[each > 0])
+    if ((starts < 0) | (starts > len(data)) | (starts + sizes > len(data))).any() or (sync is not None and ((sync < 1) | (sync > count)).any()):
         raise ValueError("samples lie outside of the file")
+    keys = np.arange(count) if sync is None else sync - 1
+    ranges = Ranges(starts, starts + sizes)
+    full = each > 0
+    first = (last - each)[full]
     return {
-        "handler": handler, "codec": codec, "timescale": timescale, "duration": duration or starts[-1], "n_samples": len(sizes), "ranges": ranges,
-        "key_ranges": [(*ranges[i - 1], starts[i - 1]) for i in sync],
+        "handler": handler, "codec": codec, "timescale": timescale, "duration": duration or int((times[:, 0] * times[:, 1]).sum()), "n_samples": count, "ranges": ranges,
+        "chunks": list(zip(starts[first].tolist(), (starts + sizes)[last[full] - 1].tolist(), strict=True)),
+        "key_ranges": list(zip(starts[keys].tolist(), (starts + sizes)[keys].tolist(), times_at(times, keys).tolist(), strict=True)),
     }
 
 
@@ -149,6 +192,8 @@ def parse_media(data: bytes) -> tuple[dict, list[dict]]:
     """The main track (the first of video, else the first) and all tracks."""
     found: list[dict[bytes, tuple[int, int]]] = []
     for path, start, end in walk(data):
+        if path[-1] in (b"moof", b"mvex"):
+            raise ValueError("the file is fragmented: its samples aren't in tables")
         if path == (b"moov", b"trak"):
             found.append({})
         elif path[:2] == (b"moov", b"trak"):
@@ -176,7 +221,7 @@ def read_media(files: DataFrame, media_column: str = "media", *keep: str) -> Dat
         except (ValueError, struct.error, IndexError) as e:
             return (None,) * 7 + (str(e),)
         each = [{k: t[k] for k in ("handler", "codec", "timescale", "duration", "n_samples")} | {"key_ranges": keys(t)} for t in tracks]
-        return (x["codec"], x["timescale"], x["duration"], x["n_samples"], keys(x), each, b"".join(data[a:b] for a, b in x["ranges"]), None)
+        return (x["codec"], x["timescale"], x["duration"], x["n_samples"], keys(x), each, b"".join(data[a:b] for a, b in x["chunks"]), None)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in slices(batches, "_media", 256):
