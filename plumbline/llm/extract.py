@@ -24,9 +24,11 @@ the named columns are read, and a kept column may be named like any other but ``
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
 from itertools import groupby
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -78,15 +80,31 @@ LAYOUT = ("has-", "has_", "with-", "with_", "no-", "without-")
 _words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+").findall
 
 
+class Open(NamedTuple):
+    """An open element: whether it or one around it is apart, and the innermost room and marked element there; so a line needs only the last one."""
+
+    tag: str
+    apart: bool
+    room: int
+    mark: int
+
+
 class Lines(HTMLParser):
-    """Feeds on a page; lines holds [text, tags, apart, room, marks, linked, heading] of its blocks, outer the room around each."""
+    """Feeds on a page; lines holds [text, tags, apart, room, mark, linked, heading] of its blocks, outer the room around each.
+
+    Work for a tag doesn't grow with the number of open elements: what is asked of those around is kept with the last one, and places of
+    open elements are kept by tag.
+    """
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.lines: list[list] = []
-        self.open: list[tuple[str, bool, int, int]] = []
+        self.open = [Open("", False, 0, 0)]
+        self.places: dict[str, list[int]] = defaultdict(list)
         self.outer = [0]
         self.holds = [0]  # of each marked element: 2 around a main, 1 around an article
+        self.above = [0]  # of each marked element: the next around it
+        self.articles: list[int] = []  # marked elements that are outermost articles
         self.parts: list[str] = []
         self.tags = 0
         self.silent = 0
@@ -97,13 +115,17 @@ class Lines(HTMLParser):
     def _end_line(self) -> None:
         text = " ".join("".join(self.parts).split())
         if text:
-            apart = any(x[1] for x in self.open)
-            room = next((x[2] for x in reversed(self.open) if x[2]), 0)
-            self.lines.append([text, self.tags, apart, room, [x[3] for x in self.open if x[3]], min(self.linked, len(text)), self.heading])
+            at = self.open[-1]
+            self.lines.append([text, self.tags, at.apart, at.room, at.mark, min(self.linked, len(text)), self.heading])
             self.tags = 0
         self.parts.clear()
         self.anchor, self.linked = False, 0
 
+    def _push(self, tag: str, apart: bool = False, room: int = 0, mark: int = 0) -> None:
+        at = self.open[-1]
+        self.places[tag].append(len(self.open))
+        self.open.append(Open(tag, apart or at.apart, room or at.room, mark or at.mark))
+
     def handle_starttag(self, tag, attrs):
         self.tags += 1
         if tag == "br":
@@ -117,7 +139,7 @@ class Lines(HTMLParser):
         if tag in SILENT:
             self._end_line()
             self.silent += 1
-            self.open.append((tag, False, 0, 0))
+            self._push(tag)
             return
         if tag in INLINE:
             return
@@ -130,9 +152,9 @@ class Lines(HTMLParser):
             if tag == "body":  # the head may lack its end
                 self._close("head")
             if tag == "p" and self._marked(attrs):
-                self.open.append((tag, True, 0, 0))
+                self._push(tag, True)
             return
-        within = next((x[2] for x in reversed(self.open) if x[2]), 0)
+        within = self.open[-1].room
         apart = tag in APART or (tag == "header" and not within)
         marked = not apart and tag != "main" and self._marked(attrs)
         if tag == "article" and not within:
@@ -141,12 +163,15 @@ class Lines(HTMLParser):
         if tag in ROOMS:
             room = len(self.outer)
             self.outer.append(within)
-            for x in self.open if not marked else ():
-                self.holds[x[3]] = max(self.holds[x[3]], 1 + (tag == "main"))
+            if not marked:  # kept() hands it on to those around
+                self.holds[self.open[-1].mark] = max(self.holds[self.open[-1].mark], 1 + (tag == "main"))
         if marked:
             mark = len(self.holds)
-            self.holds.append(int(tag == "article" and not within))
-        self.open.append((tag, apart, room, mark))
+            self.above.append(self.open[-1].mark)
+            self.holds.append(0)
+            if tag == "article" and not within:
+                self.articles.append(mark)
+        self._push(tag, apart, room, mark)
 
     def handle_startendtag(self, tag, attrs):
         if tag == "br":
@@ -168,34 +193,49 @@ class Lines(HTMLParser):
 
     def kept(self) -> list[list]:
         """The lines that aren't apart."""
+        holds = self.holds[:]
+        for mark in range(len(holds) - 1, 0, -1):
+            holds[self.above[mark]] = max(holds[self.above[mark]], holds[mark])
+        for mark in self.articles:
+            holds[mark] = max(holds[mark], 1)
         for least in (2, 1):
-            lines = [x for x in self.lines if not x[2] and all(self.holds[m] >= least for m in x[4])]
+            fine = [True]
+            for mark in range(1, len(holds)):
+                fine.append(holds[mark] >= least and fine[self.above[mark]])
+            lines = [x for x in self.lines if not x[2] and fine[x[4]]]
             if any(x[3] for x in lines):
                 return lines
         return lines
 
-    def around(self, room: int) -> set[int]:
-        """The room and those around it."""
-        out = set()
-        while room:
-            out.add(room)
-            room = self.outer[room]
+    def around(self, rooms: set[int]) -> set[int]:
+        """The rooms and those around them."""
+        out: set[int] = set()
+        for room in rooms:
+            while room and room not in out:
+                out.add(room)
+                room = self.outer[room]
+        return out
+
+    def inside(self, rooms: set[int]) -> set[int]:
+        """The rooms and those in them."""
+        out = set(rooms)
+        for room in range(1, len(self.outer)):
+            if self.outer[room] in out:
+                out.add(room)
         return out
 
     def _close(self, tag: str) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            if self.open[i][0] == tag:
-                self.silent -= sum(x[0] in SILENT for x in self.open[i:])
-                del self.open[i:]
-                return
+        if self.places[tag]:
+            at = self.places[tag][-1]
+            for x in reversed(self.open[at:]):
+                self.places[x.tag].pop()
+                self.silent -= x.tag in SILENT
+            del self.open[at:]
 
     def _imply(self, ended: set[str], within: set[str]) -> None:
-        for i in range(len(self.open) - 1, -1, -1):
-            tag = self.open[i][0]
-            if tag in within:
-                return
-            if tag in ended:
-                self._close(tag)
+        last = lambda tags: max((self.places[t][-1] for t in tags if self.places[t]), default=0)
+        while (at := last(ended)) > last(within):
+            self._close(self.open[at].tag)
 
     def handle_endtag(self, tag):
         self.tags += 1
@@ -237,9 +277,8 @@ def region(lines: list[list], chosen: np.ndarray, page: Lines) -> list[int]:
     """Places of the lines in the region that the clusters choose."""
     held = {x[3] for x, take in zip(lines, chosen, strict=True) if x[3] and take}
     if held:
-        outer = set().union(*map(page.around, held))
-        inside = {r: r in outer or not held.isdisjoint(page.around(r)) for r in {x[3] for x in lines}}
-        return [i for i, x in enumerate(lines) if inside[x[3]]]
+        rooms = page.around(held) | page.inside(held)
+        return [i for i, x in enumerate(lines) if x[3] in rooms]
     at = np.flatnonzero(chosen)
     if not len(at):
         return []
