@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from plumbline.operators.ranking import place_by_hash
 
 #: Total up to which a split is filled by an exact search; sizes of groups at most.
 EXACT, MAX_SIZES = 1_000_000, 10_000
+#: Questions of a split that are chosen by an exact search over sizes and kinds together; bitsets of its square are held.
+REST = 1000
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -82,3 +86,108 @@ def allocate(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
     placed = place_by_hash(groups.withColumn("size", F.col("size").cast("long")), "h", "size")
     within = (placed["size"] == known["size"]) & (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last"))
     return placed.join(F.broadcast(known), within, "left").select("group_id", F.coalesce("split", F.lit("unselected")).alias("split"))
+
+
+def reachable(items: list[tuple[int, int, int]], cap: int) -> list[int]:
+    """Bitsets of the (size, bridge) sums that the items so far reach, up to size ``cap``: bit size * (cap + 1) + bridge."""
+    width = cap + 1
+    mask, states = (1 << width * width) - 1, [1]
+    for size, bridge, k in items:
+        states.append((states[-1] | states[-1] << k * (size * width + bridge)) & mask)
+    return states
+
+
+def chunks(histogram: dict[tuple[int, int], int], cap: int) -> list[tuple[int, int, int]]:
+    """(size, bridge, k): stacks of 1, 2, 4, ... groups of a class, whose sums are all counts that fit under ``cap``."""
+    items = []
+    for size, bridge in sorted(histogram, reverse=True):
+        left, k = min(histogram[size, bridge], cap // size), 1
+        while left:
+            items.append((size, bridge, min(k, left)))
+            left, k = left - min(k, left), 2 * k
+    return items
+
+
+def choose_groups(histogram: dict[tuple[int, int], int], want: int, bridge: int, rest: int = REST) -> dict[tuple[int, int], int]:
+    """How many groups of each class (size, bridge questions) to take: the size nearest to ``want``, then the number of bridge
+    questions nearest to ``bridge``, then under rather than over; at least one group if there is any.
+
+    The last ``rest`` questions, or all if they aren't more, are chosen exactly among all reachable sums; where none is of the size
+    itself, sums as far above it as the nearest one lies below are searched too. Before that each class gives its share, and what
+    rounding leaves is taken from the largest groups downward.
+    """
+    pool = {c: n for c, n in histogram.items() if n and c[0] > 0}
+    out: dict[tuple[int, int], int] = {}
+    total = sum(c[0] * n for c, n in pool.items())
+    share = min(1, Fraction(max(0, want - rest), total)) if total else 0
+    for c, n in pool.items():
+        if k := int(n * share):
+            out[c], want, bridge = k, want - k * c[0], bridge - k * c[1]
+    pool = {c: n - out.get(c, 0) for c, n in pool.items()}
+    for c in sorted(pool, key=lambda c: (-c[0], abs(c[1] * want - bridge * c[0]), c[1])):
+        n = min(pool[c], max(0, want - rest) // c[0])
+        if n:
+            out[c] = out.get(c, 0) + n
+            pool[c] -= n
+            want, bridge = want - n * c[0], bridge - n * c[1]
+    pool = {c: n for c, n in pool.items() if n}
+    if not pool or (out and want <= 0):
+        return out
+    cap = want
+    states = reachable(items := chunks(pool, cap), cap)
+    if not states[-1] >> want * (cap + 1):
+        under = max((states[-1].bit_length() - 1) // (cap + 1), 0)
+        cap = 2 * want - under if under or out else min(size for size, _ in pool)
+        states = reachable(items := chunks(pool, cap), cap)
+    size, got = nearest(states[-1], cap, want, bridge, nonempty=not out)
+    for (s, b, k), before in zip(reversed(items), reversed(states[:-1]), strict=True):
+        if not before >> (size * (cap + 1) + got) & 1:
+            out[s, b] = out.get((s, b), 0) + k
+            size, got = size - k * s, got - k * b
+    return out
+
+
+def nearest(states: int, cap: int, want: int, bridge: int, nonempty: bool) -> tuple[int, int]:
+    """The reachable (size, bridge) that comes nearest."""
+    width = cap + 1
+    for off in range(max(want, cap - want) + 1):
+        found = []
+        for size in {want - off, want + off}:
+            row = states >> size * width & (1 << width) - 1 if nonempty <= size <= cap else 0
+            if row:
+                at = min(max(bridge, 0), cap)
+                low, high = (row & (2 << at) - 1).bit_length() - 1, row >> at
+                below = [low] if low >= 0 else []
+                above = [at + (high & -high).bit_length() - 1] if high else []
+                found += [(abs(b - bridge), size > want, b, size) for b in below + above]
+        if found:
+            return min(found)[3], min(found)[2]
+    return 0, 0
+
+
+def allocate_balanced(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """group_id, split: whole groups (group_id, size, bridge, h) for each split in turn, nearest to its size and then to the pool's share of bridge questions.
+
+    The choice is made on the histogram of (size, bridge), of at most MAX_SIZES rows; of a class, groups go to the splits in the
+    order of their hash. An empty table gives an empty one, and what no split takes is ``unselected``.
+    """
+    counted = groups.groupBy("size", "bridge").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SIZES + 1).collect()
+    if len(counted) > MAX_SIZES:
+        raise ValueError(f"groups have over {MAX_SIZES} sizes")
+    if any(want <= 0 for want in sizes.values()):
+        raise ValueError("sizes of splits must be positive")
+    if any(not 0 <= r["bridge"] <= r["size"] for r in counted):
+        raise ValueError("a group has more bridge questions than questions")
+    left = {(r["size"], r["bridge"]): r["n"] for r in counted}
+    questions, bridges = (sum(c[k] * n for c, n in left.items()) for k in (0, 1))
+    taken = dict.fromkeys(left, 0)
+    spans = []
+    for split, want in sizes.items():
+        for c, n in choose_groups(left, want, round(Fraction(want * bridges, questions)) if questions else 0).items():
+            spans.append((f"{c[0]}:{c[1]}", split, taken[c], taken[c] + n))
+            taken[c] += n
+            left[c] -= n
+    known = groups.sparkSession.createDataFrame(spans, "class string, split string, first long, last long")
+    placed = place_by_hash(groups.withColumn("class", F.concat_ws(":", "size", "bridge")), "h", "class")
+    within = (placed["class"] == known["class"]) & (F.col("place") > F.col("first")) & (F.col("place") <= F.col("last"))
+    return placed.join(F.broadcast(known), within, "left").select("group_id", F.coalesce("split", F.lit("unselected")).alias("split"))

@@ -195,9 +195,30 @@ def leakage_components(spark, sf):
 
 @book.add()
 def split_allocation(spark, sf):
-    g = leakage_groups(leakage_labels(spark, sf)).select("group_id", "size", F.sha2(F.concat(F.lit("7:"), "group_id"), 256).alias("h"))
-    n = V.questions(spark, sf).count()
-    return G.allocate(g, {"eval": n * 6 // 10, "dev": n * 2 // 10, "smoke": n // 10})
+    """Whole leakage groups for each split, nearest to its size and then to the pool's share of bridge questions."""
+    labels = leakage_labels(spark, sf)
+    kinds = labels.join(V.questions(spark, sf).select("qid", "qtype"), "qid").groupBy("label").agg(F.count_if(F.col("qtype") == "bridge").alias("bridge"))
+    g = leakage_groups(labels).join(kinds, "label").select("group_id", "size", "bridge", F.sha2(F.concat(F.lit("7:"), "group_id"), 256).alias("h"))
+    n = g.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    return G.allocate_balanced(g, {"eval": max(1, n * 6 // 10), "dev": max(1, n * 2 // 10), "smoke": max(1, n // 10)})
+
+
+SHARES = (("eval", 5), ("dev", 3), ("smoke", 1))
+
+
+@book.add("""WITH g AS (SELECT o_custkey AS k, count(*) AS size, count(*) FILTER (o_orderstatus = 'F') AS bridge FROM orders GROUP BY 1), t AS (SELECT sum(size)::BIGINT AS n, sum(bridge)::BIGINT AS b FROM g)
+SELECT split, n * tenths // 10 AS requested, n * tenths // 10 AS realized, round_even((n * tenths // 10) * b / n, 0)::BIGINT AS bridge, 0::BIGINT AS shared FROM t, (VALUES ('eval', 5), ('dev', 3), ('smoke', 1)) s(split, tenths)""", view=False)
+def split_balance(spark, sf):
+    """Customers are groups and their orders the questions, finished ones bridge questions: what the splits come to, and customers that two of them share."""
+    g = V.read(spark, sf, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("o_orderstatus") == "F").alias("bridge"))
+    g = g.select(F.col("o_custkey").cast("string").alias("group_id"), "size", "bridge", F.sha2(F.concat(F.lit("7:"), F.col("o_custkey").cast("string")), 256).alias("h"))
+    n = g.agg(F.sum("size")).first()[0]
+    wanted = {split: n * tenths // 10 for split, tenths in SHARES}
+    found = G.allocate_balanced(g, wanted)
+    shared = found.groupBy("group_id").agg(F.count_distinct("split").alias("n")).where("n > 1")
+    sums = found.where("split <> 'unselected'").join(g, "group_id").groupBy("split").agg(F.sum("size").alias("realized"), F.sum("bridge").alias("bridge"))
+    requested = F.element_at(F.create_map(*[F.lit(x) for pair in wanted.items() for x in pair]), F.col("split")).cast("long").alias("requested")
+    return sums.select("split", requested, "realized", "bridge").join(shared.agg(F.count(F.lit(1)).alias("shared")), how="cross")
 
 
 @book.add(LEAK + "SELECT count(*) AS n_groups, sum(size)::BIGINT AS n_questions, max(size) AS largest, count(*) FILTER (size > 1) AS shared FROM gr")
