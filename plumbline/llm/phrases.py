@@ -86,13 +86,13 @@ def pair_places(lang: np.ndarray, one: np.ndarray, two: np.ndarray, bits: int) -
 
 
 def summed(rows: Iterator[pa.RecordBatch], least: int = 0, memory: str = MEMORY) -> Iterator[pa.RecordBatch]:
-    """The sum of n of each (lang, phrase), by duckdb and out of core; those of at least ``least``, and the empty phrase."""
+    """The sum of n of each (lang, phrase), by duckdb and out of core; those of at least ``least``, and the empty phrase. In order, so that they pack well."""
     import duckdb
 
     with tempfile.TemporaryDirectory() as folder, duckdb.connect() as db:  # the task's own, gone when it ends
         db.execute(f"SET threads = 1; SET memory_limit = '{memory}'; SET temp_directory = '{folder}'; SET preserve_insertion_order = false")
         db.register("given", pa.RecordBatchReader.from_batches(_SCHEMA, rows))
-        db.execute(f"CREATE TABLE found AS SELECT lang, phrase, sum(n)::BIGINT AS n FROM given GROUP BY lang, phrase HAVING sum(n) >= {least} OR phrase = ''")
+        db.execute(f"CREATE TABLE found AS SELECT lang, phrase, sum(n)::BIGINT AS n FROM given GROUP BY lang, phrase HAVING sum(n) >= {least} OR phrase = '' ORDER BY lang, phrase")
         for batch in db.sql("FROM found").to_arrow_reader(50_000):
             yield batch.cast(_SCHEMA)
 
