@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 
 from plumbline.functions import text as T
 from plumbline.functions.lineage import join_hot
+from plumbline.operators import challenges as C
 from plumbline.operators import grouping as G
 from plumbline.operators.ranking import place_by_hash
 from plumbline.plans.book import Book
@@ -268,7 +269,6 @@ def source_slots(spark, sf):
 
 
 SLOT = ", sl AS (SELECT qid, arg_min(pid, sha256('slot:' || pid)) AS slot_pid FROM gold GROUP BY qid) "
-CAND = 25
 
 
 @book.add(SLOT + f""", dn AS (SELECT p.*, split, row_number() OVER (PARTITION BY split ORDER BY sha256('donor:' || pid)) AS k FROM passages p JOIN questions USING (qid) WHERE pid NOT IN (SELECT pid FROM gold) AND body <> ''),
@@ -276,33 +276,20 @@ cd AS (SELECT q.qid, d.pid, d.k FROM questions q JOIN dn d ON d.split = q.split
   AND ({NORM.format('q.answer')} = '' OR NOT contains(' ' || {NORM.format('d.body')} || ' ', ' ' || {NORM.format('q.answer')} || ' ')))
 SELECT qid, slot_pid, arg_min(pid, k) AS donor_pid FROM sl JOIN cd USING (qid) GROUP BY ALL""")
 def challenge_missing_hop(spark, sf):
-    """Each question's gold slot gets the first donor, in hash order within the split, that is foreign to it and free of its answer.
-
-    Donors are tried in ranges of the order: only questions that found none go on to the next, longer range, so texts are
-    compared for a few donors a question and not for all.
-    """
+    """Each question's gold slot gets the first donor, in hash order within the split, that is foreign to it and free of its answer."""
     slots = V.gold(spark, sf).groupBy("qid").agg(F.min_by("pid", F.sha2(F.concat(F.lit("slot:"), "pid"), 256)).alias("slot_pid"))
-    q = V.questions(spark, sf).select("qid", "split", T.normalize_answer("answer").alias("needle"))
-    p = V.passages(spark, sf)
-    own = p.groupBy("qid").agg(F.collect_set("title").alias("titles"), F.collect_set(F.sha2("body", 256)).alias("bodies"))
-    gold = V.gold(spark, sf).select("pid")
-    order = W.partitionBy("split").orderBy(F.sha2(F.concat(F.lit("donor:"), "pid"), 256))
-    donors = p.where("body <> ''").join(gold, "pid", "left_anti").join(q.select("qid", "split"), "qid")
-    donors = donors.select("split", F.col("qid").alias("dq"), F.col("pid").alias("donor_pid"), "title", F.sha2("body", 256).alias("bh"), T.normalize_answer("body").alias("hay"), F.row_number().over(order).alias("k")).persist()
-    longest = donors.agg(F.max("k")).first()[0] or 0
-    left, found, low, width = q.join(own, "qid").persist(), None, 0, CAND
-    while low < longest:
-        free = (F.col("needle") == "") | ~F.concat(F.lit(" "), "hay", F.lit(" ")).contains(F.concat(F.lit(" "), "needle", F.lit(" ")))
-        ok = (F.col("dq") != F.col("qid")) & ~F.array_contains("titles", F.col("title")) & ~F.array_contains("bodies", F.col("bh")) & free
-        hit = left.join(donors.where((F.col("k") > low) & (F.col("k") <= low + width)), "split").where(ok).groupBy("qid").agg(F.min_by("donor_pid", "k").alias("donor_pid")).persist()
-        found = hit if found is None else found.union(hit)
-        left = left.join(hit.select("qid"), "qid", "left_anti").persist()
-        if left.isEmpty():
-            break
-        low, width = low + width, width * 4
-    if found is None:
-        return slots.withColumn("donor_pid", F.lit(None).cast("string")).where("false")
-    return slots.join(found, "qid")
+    return slots.join(foreign_donors(spark, sf), "qid")
+
+
+def foreign_donors(spark, sf):
+    """qid, donor_pid."""
+    p, q = V.passages(spark, sf), V.questions(spark, sf)
+    hashed = p.select("qid", "pid", F.sha2("title", 256).alias("title"), F.sha2("body", 256).alias("body"))
+    own = hashed.groupBy("qid").agg(F.collect_set("title").alias("titles"), F.collect_set("body").alias("bodies"))
+    asked = q.select("qid", "split", T.normalize_answer("answer").alias("needle")).join(own, "qid")
+    donors = p.where("body <> ''").join(V.gold_heads(spark, sf).select("pid"), "pid", "left_anti").join(q.select("qid", "split"), "qid")
+    donors = donors.select("split", F.col("qid").alias("dq"), "pid", F.sha2("title", 256).alias("title"), F.sha2("body", 256).alias("body"), T.normalize_answer("body").alias("hay"), F.sha2(F.concat(F.lit("donor:"), "pid"), 256).alias("h"))
+    return C.first_donors(asked, donors)
 
 
 DIS = f""", ng AS (SELECT p.*, q.answer, ({NORM.format('q.answer')} <> '' AND contains(' ' || {NORM.format('p.body')} || ' ', ' ' || {NORM.format('q.answer')} || ' ')) AS has FROM passages p JOIN questions q USING (qid) WHERE pid NOT IN (SELECT pid FROM gold)) """

@@ -11,6 +11,7 @@ from plumbline.operators import attribution as A
 from plumbline.operators import metrics as M
 from plumbline.operators import ranking as R
 from plumbline.operators import stats as S
+from plumbline.operators.challenges import AUXILIARY, edit_sentence
 from plumbline.plans import annotation, retrieval
 from plumbline.plans import attribution as P
 from plumbline.plans.book import Book
@@ -216,7 +217,6 @@ def agreement_exclusions(spark, sf):
     return agreed.select("task", N.agreement_exclusion(F.col("x"), F.col("y")).alias("exclusion"))
 
 
-AUXILIARY = r"(^|[^\p{L}\p{N}_])(is|are|was|were|has|have|had|can|could|will|would|do|does|did)(\s+not)?($|[^\p{L}\p{N}_])"
 EDIT = f""", rp AS (SELECT qid, arg_min(title, sha256('swap:' || pid)) AS entity FROM passages JOIN questions USING (qid) WHERE pid NOT IN (SELECT pid FROM gold) AND {NORM.format('title')} <> '' AND {NORM.format('title')} <> {NORM.format('answer')} GROUP BY qid),
 ed AS (SELECT pid, sentences[1] AS s, trim(answer) AS a, entity, strpos(lower(sentences[1]), lower(trim(answer))) AS loc, {NORM.format('answer')} = '' AS void,
   regexp_matches(sentences[1], '(?is){AUXILIARY}') AS aux, regexp_extract(sentences[1], '(?is){AUXILIARY}', 3) <> '' AS neg FROM gold JOIN questions USING (qid) JOIN rp USING (qid) WHERE len(sentences) > 0)
@@ -234,12 +234,6 @@ def challenge_evidence_edit(spark, sf):
     nt = T.normalize_answer("title")
     other = p.select("qid", "pid", "title").join(V.gold_heads(spark, sf).select("pid"), "pid", "left_anti").join(q, "qid").where((nt != "") & (nt != F.col("na")))
     entity = other.groupBy("qid").agg(F.min_by("title", F.sha2(F.concat(F.lit("swap:"), "pid"), 256)).alias("entity"))
-    rows = gold.join(q, "qid").join(entity, "qid").withColumn("at", F.instr(F.lower("s"), F.lower("answer")))
-    s, first = F.col("s"), rf"(?is)^(.*?){AUXILIARY}"
-    negated = F.regexp_extract("s", rf"(?is){AUXILIARY}", 3) != ""
-    toggled = F.when(negated, F.regexp_replace(s, first, "$1$2$3$5")).otherwise(F.regexp_replace(s, first, "$1$2$3 not$5"))
-    swapped = F.concat(F.substring(s, F.lit(1), F.col("at") - 1), "entity", F.substr(s, F.col("at") + F.length("answer")))
-    void, has = F.col("na") == "", s.rlike(rf"(?is){AUXILIARY}")
-    edited = F.when(void, None).when(F.col("at") > 0, swapped).when(has, toggled).otherwise(F.concat(F.lit("It is not true that "), s))
-    operation = F.when(void, "invalid").when(F.col("at") > 0, "answer_substitution").when(has, "negation_toggle").otherwise("negation_prefix")
+    rows = gold.join(q, "qid").join(entity, "qid")
+    edited, operation = edit_sentence(F.col("s"), F.col("answer"), F.col("na"), F.col("entity"))
     return rows.select("pid", operation.alias("operation"), F.sha2(edited, 256).alias("text_hash"))
