@@ -100,14 +100,14 @@ def mix(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", seed: str = SEED
 ) -> DataFrame:
     """doc_id, size, source_size, target, taken and own (the text's hash) of each row."""
-    text = F.col(text_column)
+    text, own = F.col(text_column), F.xxhash64(text_column)
     sized = docs.select(
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
         F.coalesce(F.concat(F.lit("="), source_column), F.lit("null")).alias("skey"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col(id_column).cast("string"))), 1, 15).alias("key"),
-        F.xxhash64(text_column).alias("own"),
+        F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(id_column).cast("string"), F.concat(F.lit("text:"), own.cast("string"))))), 1, 15).alias("key"),
+        own.alias("own"),
     )
     sized = materialize(sized.withColumn("rid", F.monotonically_increasing_id()))
     n_rows, words = sized.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -120,7 +120,7 @@ def mix(
     stray = 2 * math.ceil(3 + 3.6 * math.log(max(2, n_slots)))
     n_buckets = max(1, n_rows // max(BUCKET_ROWS, math.isqrt(n_rows)))
     bucket = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * n_buckets / F.lit(2.0**32))
-    rows = running(sized.withColumn("part", bucket), "skey", "part", ["key", "doc_id", "size"], F.col("size"), "start")
+    rows = running(sized.withColumn("part", bucket), "skey", "part", ["key", "doc_id", "size", "own"], F.col("size"), "start")
     rows = rows.drop("part").join(by.select("skey", "source_size", "target", "unit"), "skey")
     # where the document stands in the source's words, read EPOCHS times
     stretch = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
