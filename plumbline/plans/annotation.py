@@ -130,7 +130,8 @@ EMAIL = "[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{2,}"
 
 @book.add(f"SELECT pid, 'email' AS rule FROM passages WHERE regexp_matches(body, '{EMAIL}') UNION ALL SELECT pid, 'credential' FROM passages WHERE regexp_matches(body, 'token = \"') UNION ALL SELECT pid, 'address' FROM passages WHERE regexp_matches(body, '\\d{{1,3}}([.]\\d{{1,3}}){{3}}')")
 def privacy_scan(spark, sf):
-    rules = {"email": EMAIL, "credential": 'token = "', "address": r"\d{1,3}([.]\d{1,3}){3}"}
+    # from the start of a run of its characters alone, so one pass over a text
+    rules = {"email": f"(?<![A-Za-z0-9._%+-]){EMAIL}", "credential": 'token = "', "address": r"\d{1,3}([.]\d{1,3}){3}"}
     hits = F.array_compact(F.array(*[F.when(F.col("body").rlike(p), F.lit(n)) for n, p in rules.items()]))
     return V.passages(spark, sf).select("pid", F.explode(hits).alias("rule"))
 
