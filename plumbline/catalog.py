@@ -5,7 +5,7 @@ from __future__ import annotations
 import importlib
 
 #: Modules of plumbline.plans that hold QUERIES and ORACLES.
-MODULES: tuple[str, ...] = ("text", "retrieval", "attribution", "models", "stats", "data", "annotation", "experiments", "challenges", "stores", "comparisons")
+MODULES: tuple[str, ...] = ("text", "retrieval", "attribution", "models", "stats", "data", "annotation", "experiments", "challenges", "stores", "comparisons", "pilots")
 
 
 def _merged(name: str) -> dict:
