@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -106,3 +106,14 @@ def compose_query(question, answer, convention: str) -> Column:
 
 def dot(a, b) -> Column:
     return F.aggregate(F.zip_with(as_column(a), as_column(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda x, y: x + y)
+
+
+def tree_digest(lines: DataFrame, group: str, digits: int = 4) -> DataFrame:
+    """group, buckets, digest of its lines (group, h, line), whatever their order; h is a hexadecimal hash.
+
+    Lines are put in order within the ranges of the first ``digits`` of their hash, 65,536 at most, so what is brought together is a range of lines and
+    then a group's digests of ranges. Equal lines count as often as they stand.
+    """
+    ranges = lines.groupBy(group, F.substring("h", 1, digits).alias("bucket")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("line")), "\n"), 256).alias("digest"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("bucket", "digest"))), lambda x: F.concat_ws(":", x["bucket"], x["digest"])), "\n")
+    return ranges.groupBy(group).agg(F.count(F.lit(1)).alias("buckets"), F.sha2(joined, 256).alias("digest"))

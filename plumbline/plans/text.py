@@ -93,6 +93,17 @@ def split_hashes(spark, sf):
     )
 
 
+TREE = """, lf AS (SELECT split, substr(sha256(qid), 1, 4) AS bucket, sha256(string_agg(qid || ':' || fingerprint, chr(10) ORDER BY qid || ':' || fingerprint)) AS digest FROM fp GROUP BY ALL)
+SELECT split, count(*) AS buckets, sha256(string_agg(bucket || ':' || digest, chr(10) ORDER BY bucket)) AS split_hash FROM lf GROUP BY split"""
+
+
+@book.add(EXAMPLE + TREE)
+def split_tree_hashes(spark, sf):
+    """The form of split_hashes for any number of examples: a digest of each range of ids' hashes, and one of those digests. No task holds a split."""
+    f = fingerprints(spark, sf)
+    return T.tree_digest(f.select("split", F.sha2("qid", 256).alias("h"), F.concat_ws(":", "qid", "fingerprint").alias("line")), "split").withColumnRenamed("digest", "split_hash")
+
+
 @book.add("SELECT pid, regexp_extract(pid, '^(.*)-p(\\d+)$', 1) AS parent, regexp_extract(pid, '^(.*)-p(\\d+)$', 2)::BIGINT AS number, regexp_matches(pid, '^.*-p\\d{2,}$') AS valid FROM passages")
 def passage_ids_roundtrip(spark, sf):
     form = r"^(.*)-p(\d+)$"

@@ -44,3 +44,35 @@ def test_padding_keeps_long_numbers(spark):
 
 def test_unit_hash(spark):
     assert one(spark, "t:x", T.hash_unit(F.col("t"))) == pytest.approx(0.9038907970590085)
+
+
+def test_normalize_title_equals_python(spark):
+    import unicodedata
+
+    from plumbline.plans import text as P
+    from plumbline.sources import fixture as V
+
+    sf = "/root/testdata/sf0.001"
+    titles = {r["pid"]: r["title"] for r in V.passages(spark, sf).select("pid", "title").collect()}
+    want = {pid: " ".join(unicodedata.normalize("NFKC", t).split()).casefold() for pid, t in titles.items() if t is not None}
+    assert {r["pid"]: r["norm"] for r in P.normalize_title(spark, sf).collect()} == want and len(want) > 100
+    assert P.canonical(__import__("pandas").Series(["ﬁ　 ①\tStraße ", None])).tolist() == ["fi 1 Straße", None]
+
+
+def test_tree_digest(spark):
+    import hashlib
+    from collections import defaultdict
+
+    rows = [("ab"[i % 2], f"line {i // 3}") for i in range(600)]
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    want = {}
+    for group in "ab":
+        ranges = defaultdict(list)
+        for g, line in rows:
+            if g == group:
+                ranges[sha(line)[:2]].append(line)
+        want[group] = (len(ranges), sha("\n".join(f"{k}:{sha(chr(10).join(sorted(v)))}" for k, v in sorted(ranges.items()))))
+    df = spark.createDataFrame(rows, "g string, line string").withColumn("h", F.sha2("line", 256))
+    for same in (df, df.orderBy(F.rand(3)).repartition(7)):
+        assert {r["g"]: (r["buckets"], r["digest"]) for r in T.tree_digest(same, "g", 2).collect()} == want
+    assert T.tree_digest(df.limit(0), "g").collect() == []
