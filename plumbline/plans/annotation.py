@@ -148,3 +148,12 @@ def annotation_validation(spark, sf):
     rules = {"confidence_range": ~F.col("confidence").between(1, 5), "answer_missing": (F.col("label") == "answerable") & (F.col("answer") == "")}
     hits = F.array_compact(F.array(*[F.when(bad, F.lit(n)) for n, bad in rules.items()]))
     return v.select("task", "annotator", F.explode(hits).alias("rule"))
+
+
+@book.add(SUB.rstrip() + """, pv AS (SELECT 'first' AS side, a AS label FROM lab UNION ALL SELECT 'second', b FROM lab UNION ALL SELECT 'pooled', a FROM lab UNION ALL SELECT 'pooled', b FROM lab)
+SELECT side, label, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY side), 6)::DOUBLE AS share FROM pv WHERE label IS NOT NULL GROUP BY side, label""")
+def label_prevalences(spark, sf):
+    """How often each side gives each label, and both together."""
+    sides = F.array(F.struct(F.lit("first").alias("side"), F.col("a").alias("label")), F.struct(F.lit("second").alias("side"), F.col("b").alias("label")), F.struct(F.lit("pooled").alias("side"), F.col("a").alias("label")), F.struct(F.lit("pooled").alias("side"), F.col("b").alias("label")))
+    n = tasks(spark, sf).select(F.explode(sides).alias("x")).where("x.label IS NOT NULL").groupBy("x.side", "x.label").agg(F.count(F.lit(1)).alias("n"))
+    return n.withColumn("share", F.round(F.col("n") / F.sum("n").over(W.partitionBy("side")), 6))
