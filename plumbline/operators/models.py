@@ -16,6 +16,7 @@ The offline stubs below are functions of the texts alone, so SQL can express the
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -75,7 +76,15 @@ def embed(name: str, text: Column, role: str, batch: int = 64) -> Column:
 
 
 def rerank_score(name: str, question: Column, passage: Column, batch: int = 64) -> Column:
-    return column(get("reranker", name), lambda m, q, p: m(q, p), [question, passage], "double", batch).alias("score")
+    """A score that isn't a finite number fails the job."""
+
+    def scores(model, questions, passages):
+        got = [float(x) for x in model(questions, passages)]
+        if not all(map(math.isfinite, got)):
+            raise ValueError(f"the reranker {name} gave scores that aren't finite")
+        return got
+
+    return column(get("reranker", name), scores, [question, passage], "double", batch).alias("score")
 
 
 def generate(name: str, prompt: Column, batch: int = 16) -> Column:

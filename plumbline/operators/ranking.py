@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from plumbline.functions.text import dot, tokenize
+from plumbline.operators.models import rerank_score
 
 
 def rank_by_score(scored: DataFrame, keys=("qid",), score: str = "score", position: str = "idx", out: str = "rank") -> DataFrame:
@@ -119,32 +118,9 @@ def stub_rerank_score(question: Column, passage_chars: Column) -> Column:
     return (F.length(question) + 2 * passage_chars).cast("double")
 
 
-#: Scorers of pairs by name, each from a list of questions and one of passages to a list of as many numbers.
-SCORERS: dict[str, Callable[[list[str], list[str]], list[float]]] = {
-    "stub": lambda questions, passages: [float(len(q) + 2 * len(p)) for q, p in zip(questions, passages, strict=True)],
-}
-
-
 def score_pairs(pairs: DataFrame, scorer: str, *keep: str, batch: int = 64) -> DataFrame:
-    """The columns ``keep`` and rerank_score of pairs (question, body): a model's boundary, called in batches inside tasks.
-
-    A scorer that returns another count than it got, or what isn't a finite number, fails the job.
-    """
-    kinds = [f"`{k}` {pairs.schema[k].dataType.simpleString()}" for k in keep]
-
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        score = SCORERS[scorer]
-        for part in parts:
-            out: list[float] = []
-            for k in range(0, len(part), batch):
-                x = part.iloc[k : k + batch]
-                got = [float(y) for y in score(x["question"].tolist(), x["body"].tolist())]
-                if len(got) != len(x) or not all(map(math.isfinite, got)):
-                    raise ValueError(f"{scorer} gave {len(got)} scores for {len(x)} pairs, or not finite ones")
-                out += got
-            yield part[list(keep)].assign(rerank_score=out)
-
-    return pairs.select(*keep, *[c for c in ("question", "body") if c not in keep]).mapInPandas(run, ", ".join([*kinds, "rerank_score double"]))
+    """The columns ``keep`` and rerank_score of pairs (question, body), by a reranker of the registry of models."""
+    return pairs.select(*keep, rerank_score(scorer, F.col("question"), F.col("body"), batch).alias("rerank_score"))
 
 
 def rerank(ranked: DataFrame, candidate_k: int, rerank_score: str = "rerank_score") -> DataFrame:

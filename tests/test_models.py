@@ -51,3 +51,15 @@ def test_divergence_is_zero_for_equal_and_log_two_for_disjoint():
 def test_the_stub_embedder_gives_unit_vectors_and_zeros():
     (some, none) = M.stub_embedder()(["one two two", "!"], "query")
     assert sum(x * x for x in some) == pytest.approx(1) and not any(none)
+
+
+def test_rerankers_must_give_finite_scores(spark):
+    from plumbline.operators import ranking as R
+
+    M.register("reranker", "broken", lambda: lambda questions, passages: [float("nan") if p == "bad" else 1.0 for p in passages])
+    pairs = spark.createDataFrame([("a", "q", "fine"), ("b", "q", "good")], "pid string, question string, body string")
+    assert {tuple(r) for r in R.score_pairs(pairs, "broken", "pid").collect()} == {("a", 1.0), ("b", 1.0)}
+    with pytest.raises(Exception, match="aren't finite"):
+        R.score_pairs(spark.createDataFrame([("c", "q", "bad")], pairs.schema), "broken", "pid").collect()
+    with pytest.raises(KeyError, match="no reranker"):
+        R.score_pairs(pairs, "unknown", "pid")
