@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.operators.ranking import place_by_hash
 from plumbline.operators.stats import seed_of
 
 
@@ -49,6 +50,26 @@ def schedule(assignments: DataFrame) -> DataFrame:
     return assignments.groupBy("annotator").applyInPandas(plan, "annotator string, task string, position long")
 
 
+def schedule_apart(assignments: DataFrame, seed: str = "0") -> DataFrame:
+    """annotator, task, position (from 0): no two tasks of one group are neighbours wherever that is possible. In: annotator, task, group.
+
+    Tasks are numbered with groups one after the other, the largest first; the first half of the numbers goes to the even positions and the rest
+    to the odd ones. Neighbours then are half of the list apart in number, which a group that isn't more than half never spans. Numbers within a group are counted
+    in buckets of a hash, those of groups over a row for each group, so no task gets an annotator's whole list. Repeated rows are tasks of their own.
+    """
+    sizes = assignments.groupBy("annotator", "group").agg(F.count(F.lit(1)).alias("n"))
+    own = W.partitionBy("annotator")
+    by = F.sha2(F.concat_ws(":", F.lit(seed), "group"), 256)
+    largest = F.row_number().over(own.orderBy(F.desc("n"), by, "group"))
+    order = own.orderBy(F.when(F.col("_place") == 1, 0).otherwise(1), by, "group")
+    starts = sizes.withColumn("_place", largest).withColumn("start", F.coalesce(F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).withColumn("all", F.sum("n").over(own)).drop("_place", "n")
+    key = F.to_json(F.array("annotator", "group"))
+    placed = place_by_hash(assignments.withColumn("_key", key).withColumn("_h", F.sha2(F.concat_ws(":", F.lit(seed), "task"), 256)), "_h", "_key")
+    rows = placed.join(starts.select(F.to_json(F.array("annotator", "group")).alias("_key"), "start", "all"), "_key")
+    number, half = F.col("start") + F.col("place") - 1, F.ceil(F.col("all") / 2)
+    return rows.select("annotator", "task", F.when(number < half, 2 * number).otherwise(2 * (number - half) + 1).cast("long").alias("position"))
+
+
 def adjacent(scheduled: DataFrame) -> DataFrame:
     """Rows whose group is that of the row before. In: annotator, position, group."""
     before = F.lag("group").over(W.partitionBy("annotator").orderBy("position"))

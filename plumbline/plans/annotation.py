@@ -51,6 +51,29 @@ def assignment_schedule(spark, sf):
     return A.schedule(s)
 
 
+APART = SUB.rstrip() + """, sg AS (SELECT task, unnest([left_, right_]) AS annotator, substr(task, 1, 6) AS g FROM tk), sz AS (SELECT annotator, g, count(*) AS n FROM sg GROUP BY ALL),
+bg AS (SELECT *, row_number() OVER (PARTITION BY annotator ORDER BY n DESC, sha256('0:' || g), g) = 1 AS big, sum(n) OVER (PARTITION BY annotator) AS total FROM sz),
+so AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY annotator ORDER BY NOT big, sha256('0:' || g), g ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM bg),
+sn AS (SELECT annotator, task, g, start + row_number() OVER (PARTITION BY annotator, g ORDER BY sha256('0:' || task)) - 1 AS number, ceil(total / 2) AS half FROM sg JOIN so USING (annotator, g)),
+sp AS (SELECT annotator, task, g, (CASE WHEN number < half THEN 2 * number ELSE 2 * (number - half) + 1 END)::BIGINT AS position FROM sn) """
+
+
+def scheduled(spark, sf):
+    s = tasks(spark, sf).select("task", F.explode(F.array("left", "right")).alias("annotator"), F.substring("task", 1, 6).alias("group"))
+    return A.schedule_apart(s)
+
+
+@book.add(APART + "SELECT annotator, task, position FROM sp")
+def assignment_schedule_apart(spark, sf):
+    return scheduled(spark, sf)
+
+
+@book.add(APART + "SELECT annotator, task FROM (SELECT annotator, task, g, lag(g) OVER (PARTITION BY annotator ORDER BY position) AS before FROM sp) WHERE g = before")
+def schedule_neighbours(spark, sf):
+    """Tasks that follow one of their own group in the schedule: none, unless a group is more than half of an annotator's tasks."""
+    return A.adjacent(scheduled(spark, sf).withColumn("group", F.substring("task", 1, 6))).select("annotator", "task")
+
+
 @book.add(SUB + "SELECT annotator, task FROM (SELECT annotator, task, substr(task, 1, 6) AS g, lag(substr(task, 1, 6)) OVER (PARTITION BY annotator ORDER BY task) AS before FROM su) WHERE g = before")
 def schedule_adjacency_violations(spark, sf):
     s = submissions(spark, sf).select("annotator", "task", F.col("task").alias("position"), F.substring("task", 1, 6).alias("group"))
