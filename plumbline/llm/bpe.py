@@ -23,12 +23,12 @@ from struct import pack
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import arrow_slices, table
 
 #: Bytes that remembered pieces may take in a worker, what one takes beside its own bytes, and pairs of tokens; only speed depends on them.
 MEMO_BYTES, ENTRY, PAIRS = 40 << 20, 200, 1 << 16
@@ -224,17 +224,17 @@ def encode_documents(
     """doc_id, ids (little-endian unsigned 32-bit integers), decoded (bytes) of each row's text."""
     kind = docs.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(ranks_path, pattern)
         try:
-            for part in slices(batches, "text"):
-                ids = [e.encode(t) if isinstance(t, str) else b"" for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"], "ids": ids, "decoded": [e.decode(x) for x in ids]})
+            for part, texts in arrow_slices(batches, "text"):
+                ids = [b"" if t is None else e.encode(t) for t in texts]
+                yield pa.record_batch([part["doc_id"], pa.array(ids, pa.binary()), pa.array(map(e.decode, ids), pa.binary(), size=len(ids))], names=["doc_id", "ids", "decoded"])
         finally:
             e.forget()
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, ids binary, decoded binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, ids binary, decoded binary")
 
 
 def digests(

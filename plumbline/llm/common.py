@@ -9,6 +9,8 @@ from collections.abc import Iterator
 from contextlib import contextmanager
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +71,22 @@ def slices(batches: Iterator[pd.DataFrame], column: str, rows: int = 512, size:
             yield batch.iloc[start:]
 
 
+def arrow_slices(batches: Iterator[pa.RecordBatch], column: str, rows: int = 256, size: int = 2 << 20) -> Iterator[tuple[pa.RecordBatch, list]]:
+    """Parts of Arrow batches with the values of ``column``, as ``slices`` makes them: of a batch only one part is Python's at a time."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch[column]), 0).to_numpy(zero_copy_only=False)
+        start = held = 0
+        for at, n in enumerate(lengths.tolist()):
+            if at > start and (at - start >= rows or held + n > size):
+                part = batch.slice(start, at - start)
+                yield part, part[column].to_pylist()
+                start, held = at, 0
+            held += n
+        if start < batch.num_rows:
+            part = batch.slice(start)
+            yield part, part[column].to_pylist()
+
+
 def lower_ascii(column):
     """A-Z alone in lower case, whatever the locale; texts of ASCII alone take the shorter way."""
     text = F.col(column) if isinstance(column, str) else column

@@ -32,10 +32,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize, slices, table
+from .common import arrow_slices, materialize, table
 
 WIDTH = 5
 #: Link where 100 * intersection >= PERCENT * union.
@@ -149,17 +150,19 @@ def sketch(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     """doc_id, n_shingles, key (a digest of the set, null if empty), regs of each row."""
     kind = docs.schema[id_column].dataType.simpleString()
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in slices(batches, "text"):
-            out = []
-            for t in batch["text"]:
-                h = shingles(t if isinstance(t, str) else None)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, texts in arrow_slices(batches, "text"):
+            sizes, keys, regs = [], [], []
+            for t in texts:
+                h = shingles(t)
                 full = len(h) > 0
-                out.append((len(h), hashlib.blake2b(h.tobytes(), digest_size=16).digest() if full else None, registers(h).tobytes() if full else None))
-            yield pd.DataFrame(out, columns=["n", "key", "regs"]).assign(doc_id=batch["doc_id"].to_numpy())[["doc_id", "n", "key", "regs"]]
+                sizes.append(len(h))
+                keys.append(hashlib.blake2b(h.tobytes(), digest_size=16).digest() if full else None)
+                regs.append(registers(h).tobytes() if full else None)
+            yield pa.record_batch([part["doc_id"], pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], names=["doc_id", "n", "key", "regs"])
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInPandas(run, f"doc_id {kind}, n long, key binary, regs binary")
+    return rows.mapInArrow(run, f"doc_id {kind}, n long, key binary, regs binary")
 
 
 def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str = "inner") -> DataFrame:
@@ -190,11 +193,13 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
     few = nodes.count() <= BROADCAST_IDS  # else both sides are shuffled
     texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in slices(batches, "text"):
-            yield pd.DataFrame({"node": part["doc_id"], "hashes": [shingles(t).view(np.int64) for t in part["text"]]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, own in arrow_slices(batches, "text"):
+            sets = [shingles(t).view(np.int64) for t in own]
+            ends = np.cumsum([0, *map(len, sets)])
+            yield pa.record_batch([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "hashes"])
 
-    sets = materialize(texts.mapInPandas(run, f"node {kind}, hashes array<bigint>"))
+    sets = materialize(texts.select("doc_id", "text").mapInArrow(run, f"node {kind}, hashes array<bigint>"))
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
     both = join_sets(join_sets(pairs.select("a", "b"), left, "a", "b"), right, "b", "a")
