@@ -114,7 +114,8 @@ def choose_groups(histogram: dict[tuple[int, int], int], want: int, bridge: int,
 
     The last ``rest`` questions, or all if they aren't more, are chosen exactly among all reachable sums; where none is of the size
     itself, sums as far above it as the nearest one lies below are searched too. Before that each class gives its share, and what
-    rounding leaves is taken from the largest groups downward.
+    rounding leaves is taken from the largest groups downward. If more than three times ``rest`` is still missing then, each group that is left
+    is larger than what is missing less ``rest``, so two of them are never nearer than one or none, and these alone are compared.
     """
     pool = {c: n for c, n in histogram.items() if n and c[0] > 0}
     out: dict[tuple[int, int], int] = {}
@@ -133,6 +134,11 @@ def choose_groups(histogram: dict[tuple[int, int], int], want: int, bridge: int,
     pool = {c: n for c, n in pool.items() if n}
     if not pool or (out and want <= 0):
         return out
+    if want > 3 * rest:
+        size, got = min([*pool, *([(0, 0)] if out else [])], key=lambda c: (abs(c[0] - want), abs(c[1] - bridge), c[0] > want, c[1], c[0]))
+        if size:
+            out[size, got] = out.get((size, got), 0) + 1
+        return out
     cap = want
     states = reachable(items := chunks(pool, cap), cap)
     if not states[-1] >> want * (cap + 1):

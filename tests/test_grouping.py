@@ -54,6 +54,25 @@ def test_giant_group_stays_out():
     assert got == {(1, 1): 20, (1, 0): 10}
 
 
+def test_giant_groups_are_chosen_without_a_search_over_their_square():
+    began = time.time()
+    assert G.choose_groups({(50_000, 40_000): 1, (1, 1): 20}, 30_000, 24_000) == {(50_000, 40_000): 1, (1, 1): 20}
+    assert G.choose_groups({(70_000, 40_000): 1, (1, 1): 20}, 30_000, 24_000) == {(1, 1): 20}
+    assert G.choose_groups({(70_000, 40_000): 1, (90_000, 1): 1}, 30_000, 24_000) == {(70_000, 40_000): 1}
+    assert time.time() - began < 5
+
+
+@given(groups_of, st.integers(1, 40), st.integers(0, 40), st.integers(0, 3))
+@settings(max_examples=300, deadline=None)
+def test_what_is_left_over_is_chosen_as_by_the_search(groups, want, bridge, rest):
+    """One group more or none is as near as any choice among what is left, where that is all larger than the gap less ``rest``."""
+    left = [c for c in groups if c[0] > want - rest]
+    if want > 3 * rest and left:
+        got = G.choose_groups(dict(Counter(left)), want, bridge, rest)
+        size, b = (sum(c[k] * n for c, n in got.items()) for k in (0, 1))
+        assert (abs(size - want), abs(b - bridge), size > want) == best(left, want, bridge)
+
+
 def test_allocation_takes_each_group_once(spark):
     rows = [(f"g{i}", 1 + i % 4, i % (2 + i % 4) if i % (2 + i % 4) <= 1 + i % 4 else 0, f"{i:03d}") for i in range(60)]
     df = spark.createDataFrame(rows, SCHEMA)
