@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from plumbline.functions.lineage import cut, join_hot
 from plumbline.operators.ranking import place_by_hash
-from plumbline.operators.stats import seed_of
 
 
 def amendment_tips(amendments: DataFrame) -> DataFrame:
@@ -29,25 +28,37 @@ def chain_violations(amendments: DataFrame) -> DataFrame:
 
 
 def schedule(assignments: DataFrame) -> DataFrame:
-    """annotator, task, position: each annotator's tasks so that two of one group stand apart where that is possible.
+    """annotator, task, position (from 0): each annotator's tasks so that two of one group stand apart where that is possible.
 
-    In: annotator, task, group. The fullest group that isn't the last one's goes next; one annotator's list is a bounded group.
+    In: annotator, task, group. The fullest group that isn't the last one's goes next, ties by hashes. That needs no walk through a list: a group of n tasks
+    stands at the levels n to 1, and without a neighbour of its own group each goes in the order of (level downward, hash). Only the largest group
+    can meet itself there. While it is ahead, it takes turns with the others in their order; after that the order holds. Numbers are counted in buckets
+    of hashes, and over a row for each level of an annotator, so no task gets an annotator's whole list. A null group is a group.
     """
-
-    def plan(x: pd.DataFrame) -> pd.DataFrame:
-        waiting: dict[str, list[str]] = {}
-        for task, group in sorted(zip(x["task"], x["group"], strict=True), key=lambda t: seed_of("schedule", *t)):
-            waiting.setdefault(group, []).append(task)
-        out, last = [], None
-        while waiting:
-            free = [g for g in waiting if g != last] or list(waiting)
-            last = min(free, key=lambda g: (-len(waiting[g]), seed_of("group", g)))
-            out.append(waiting[last].pop())
-            if not waiting[last]:
-                del waiting[last]
-        return pd.DataFrame({"annotator": x["annotator"].iloc[0], "task": out, "position": range(len(out))})
-
-    return assignments.groupBy("annotator").applyInPandas(plan, "annotator string, task string, position long")
+    seed = lambda *parts: F.sha2(F.concat_ws(":", *parts), 256)
+    rows = cut(assignments.select(
+        "annotator", "task", F.to_json(F.array("annotator")).alias("_a"), F.to_json(F.array("annotator", "group")).alias("_key"),
+        seed(F.lit("schedule"), "task", "group").alias("_h"), seed(F.lit("group"), "group").alias("_g"),
+    ))
+    rows = place_by_hash(rows, "_h", "_key", out="level").withColumn("_key", F.to_json(F.array("_a", F.col("level").cast("string"))))
+    rows = cut(place_by_hash(rows, "_g", "_key", out="_order").drop("_h"))
+    levels = rows.groupBy("_a", "_key", "level").agg(F.count(F.lit(1)).alias("_n"))
+    before = F.sum("_n").over(W.partitionBy("_a").orderBy(F.desc("level")).rowsBetween(W.unboundedPreceding, -1))
+    levels = levels.select("_key", F.coalesce(before, F.lit(0)).alias("_before"), "_n")
+    rows = join_hot(rows, levels, "_key", "_n").withColumn("_order", F.col("_order") + F.col("_before"))
+    top = rows.groupBy("_a").agg(F.min(F.struct((-F.col("level")).alias("m"), "_g")).alias("t"), F.count(F.lit(1)).alias("_all"))
+    rows = join_hot(rows, top.select("_a", (-F.col("t.m")).alias("m"), F.col("t._g").alias("_big"), "_all", F.col("_all").alias("_c")), "_a", "_c")
+    # number: among the largest group's tasks, or among those of the others
+    big, earlier = F.col("_g") == F.col("_big"), F.col("_big") < F.col("_g")
+    rows = rows.withColumn("_big_one", big).withColumn("number", F.when(big, F.col("m") - F.col("level") + 1).otherwise(F.col("_order") - F.col("m") + F.col("level") - earlier.cast("long")))
+    left = F.col("m") - F.col("number") + 1  # tasks of the largest group when the turn is this other one's
+    ahead = (left > F.col("level")) | ((left == F.col("level")) & earlier)
+    rows = cut(rows.select("annotator", "task", "_a", "_order", "_big_one", "number", (big | ahead).alias("_ahead"), "_all", "m"))
+    turns = rows.groupBy("_a").agg(F.coalesce(F.min(F.when(~F.col("_ahead"), F.col("number") - 1)), F.max(F.col("_all") - F.col("m"))).alias("turns"), F.max("_all").alias("_c"))
+    rows = join_hot(rows, turns, "_a", "_c")
+    n, t = F.col("number"), F.col("turns")
+    turn = F.when(F.col("_big_one"), 2 * n - 2).otherwise(2 * n - 1)
+    return rows.select("annotator", "task", F.when(n <= t, turn).otherwise(t + n - 1 + F.greatest(F.lit(0), F.col("_order") - n - t)).cast("long").alias("position"))
 
 
 def schedule_apart(assignments: DataFrame, seed: str = "0") -> DataFrame:
