@@ -64,6 +64,22 @@ def test_bm25_negative_idf(spark):
         assert got[f"p{i}"] == pytest.approx(want)
 
 
+def test_bm25_of_many_questions_is_that_of_each_alone(spark):
+    rows = [(None if i % 50 == 49 else f"q{i // 10:04}", f"p{i}", i % 10, "t", None if i % 7 == 0 else f"w{i % 3} W{i % 4} x" * (i % 5)) for i in range(9000)]
+    p = spark.createDataFrame(rows, "qid string, pid string, idx int, title string, body string").where("qid IS NOT NULL")
+    q = spark.createDataFrame([(f"q{i:04}", "W1 w2 w1 gone" if i % 9 else None) for i in range(0, 900, 2)], "qid string, question string")
+    got = {r["pid"]: r["score"] for r in R.bm25(p, q).collect()}
+    own = {}
+    for qid, pid, _, title, body in rows:
+        own.setdefault(qid, []).append((pid, f"{title} {body or ''}".lower()))
+    own.pop(None)
+    want = {}
+    for qid, ps in own.items():
+        asked = "w1 w2 w1 gone" if int(qid[1:]) % 2 == 0 and int(qid[1:]) % 9 else ""
+        want |= dict(zip((pid for pid, _ in ps), R.question_scores(asked, [x for _, x in ps], 1.5, 0.75), strict=True))
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want) and any(want.values())
+
+
 def test_normalized(spark):
     s = spark.createDataFrame([("q", 1.0), ("q", 3.0), ("r", 2.0), ("r", 2.0)], "qid string, score double")
     got = sorted((r["qid"], r["norm"], r["degenerate"]) for r in A.normalized(s).collect())
