@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.functions.lineage import cut
 from plumbline.operators import attribution as A
 from plumbline.operators import comparisons as C
 from plumbline.operators import ranking as R
@@ -60,7 +61,7 @@ p3 AS (SELECT cell, max(st) OVER (PARTITION BY family ORDER BY p, cell ROWS UNBO
 SELECT split_part(cell, '|', 1) AS split, split_part(cell, '|', 2) AS tier, split_part(cell, '|', 3) AS candidate, split_part(cell, '|', 4) AS comparator, split_part(cell, '|', 5) AS metric, n, n_excluded, round(mean, 6) + 0 AS mean, round(low, 6) + 0 AS low, round(high, 6) + 0 AS high,
   favorable, round(p, 6)::DOUBLE AS p, round(adjusted, 6)::DOUBLE AS adjusted FROM p1 LEFT JOIN p3 USING (cell)""")
 def comparison_tiers(spark, sf):
-    rows = values(spark, sf)
+    rows = cut(values(spark, sf))  # read for the runs and for the values
     compared = C.pairs(method_runs(rows), CONFIRMATORY, EXPLORATORY)
     got = C.compare(rows, compared)
     return got.select("split", "tier", "candidate", "comparator", "metric", "n", "n_excluded", *[(F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("mean", "low", "high")], "favorable", F.round("p", 6).alias("p"), F.round("adjusted", 6).alias("adjusted"))

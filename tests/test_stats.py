@@ -151,3 +151,18 @@ def test_schedule_keeps_groups_apart(spark):
     s = N.schedule(spark.createDataFrame(rows, "annotator string, task string, group string"))
     with_group = s.withColumn("group", F.concat(F.lit("g"), (F.substring("task", 2, 1).cast("int") % 3).cast("string")))
     assert s.count() == 9 and N.adjacent(with_group).count() == 0
+
+
+def test_replicates_weigh_units_by_their_hashes(spark):
+    rows = [(f"g{i % 1500}", f"q{i // 2}", float(i % 7), i % 3) for i in range(3000)] + [(None, None, 2.0, 1)]
+    df = spark.createDataFrame(rows, "g string, q string, s double, c long").coalesce(1)
+    got = {(r["g"], r["r"]): r["m"] for r in S.replicate_means(df, "g", "q", "s", "c", 11).collect()}
+    want = {}
+    for g, q, s, c in rows:
+        for r in range(11):
+            h = hashlib.sha256(":".join(x for x in ("boot", str(r // 8), q) if x is not None).encode()).hexdigest()
+            w = sum(int(h[8 * (r % 8) : 8 * (r % 8) + 8], 16) / 2**32 >= t for t in S.POISSON)
+            a, b = want.get((g, r), (0.0, 0))
+            want[g, r] = (a + w * s, b + w * c)
+    want = {k: a / b for k, (a, b) in want.items() if b}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
