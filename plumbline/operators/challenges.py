@@ -50,7 +50,14 @@ def rank(kind: str, subject: Column, seed: int = SEED) -> Column:
 def first_of(found: Column, key) -> Column:
     """The element of an array whose key is least; null where there is none."""
     keyed = F.transform(found, lambda x: F.struct(key(x).alias("key"), x.alias("x")))
-    return F.when(F.size(found) > 0, F.array_min(keyed)["x"])
+    return F.array_min(keyed)["x"]
+
+
+def chosen(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with the columns, without those where one is null; each is made once (a filter would make it a second time)."""
+    for name, made in columns.items():
+        rows = rows.select("*", F.explode(F.array_compact(F.array(made))).alias(name))
+    return rows
 
 
 def mentions(text: Column, answer: Column) -> Column:
@@ -120,8 +127,9 @@ def answer_distractors(examples: DataFrame) -> DataFrame:
     """A sentence that names the answer is put to one passage that isn't gold, of those without the answer if there are any."""
     kind = "answer_bearing_distractor"
     rows = with_slots(examples)
-    others = F.filter(F.transform("passages", lambda p, i: F.struct(i.alias("i"), p.alias("p"), mentions(F.array_join(p["sentences"], " "), F.col("answer")).alias("has"))), lambda x: ~x["p"]["is_gold"])
-    rows = rows.withColumn("_pick", first_of(others, lambda x: F.struct(x["has"], rank(kind, x["p"]["passage_id"])))).where("_pick IS NOT NULL")
+    others = F.filter(F.transform("passages", lambda p, i: F.struct(i.alias("i"), p.alias("p"))), lambda x: ~x["p"]["is_gold"])
+    others = F.transform(others, lambda x: F.struct(x["i"].alias("i"), x["p"].alias("p"), mentions(F.array_join(x["p"]["sentences"], " "), F.col("answer")).alias("has")))
+    rows = chosen(rows, _pick=first_of(others, lambda x: F.struct(x["has"], rank(kind, x["p"]["passage_id"]))))
     slot, passage, has = F.col("_pick.i"), F.col("_pick.p"), F.col("_pick.has")
     inserted = F.concat(passage["title"], F.lit(" has also been associated with "), F.col("answer"), F.lit("."))
     changed = passage.withField("sentences", F.concat(passage["sentences"], F.array(inserted)))
@@ -134,9 +142,7 @@ def evidence_swaps(examples: DataFrame) -> DataFrame:
     kind = "evidence_swap"
     rows = with_slots(examples).withColumns({"_answer": F.trim("answer"), "_na": T.normalize_answer("answer")}).where("_na <> ''")
     titled = F.filter("passages", lambda p: ~p["is_gold"] & (T.normalize_answer(p["title"]) != "") & (T.normalize_answer(p["title"]) != F.col("_na")))
-    rows = rows.withColumn("_other", first_of(titled, lambda p: rank(kind, p["passage_id"])))
-    rows = rows.withColumn("_at", first_of(F.col("support"), lambda x: rank(kind, sentence_id(F.get("passages", x["p"])["passage_id"], x["s"]))))
-    rows = rows.where("_other IS NOT NULL AND _at IS NOT NULL")
+    rows = chosen(rows, _other=first_of(titled, lambda p: rank(kind, p["passage_id"])), _at=first_of(F.col("support"), lambda x: rank(kind, sentence_id(F.get("passages", x["p"])["passage_id"], x["s"]))))
     p, s, other = F.col("_at.p"), F.col("_at.s"), F.col("_other")
     rows = rows.withColumn("_passage", F.get("passages", p)).withColumn("_sentence", F.get("_passage.sentences", s))
     edited, operation = edit_sentence(F.col("_sentence"), F.col("_answer"), F.col("_na"), other["title"])
@@ -158,7 +164,7 @@ def missing_hops(examples: DataFrame, donors: DataFrame) -> DataFrame:
     """One gold passage gives way to a foreign one; donors has qid, donor (a passage) and donor_qid. Questions without a donor have no row."""
     kind = "missing_hop"
     rows = with_slots(examples).join(donors, "qid")
-    rows = rows.withColumn("_slot", first_of(F.col("gold"), lambda i: rank(kind, F.get("passages", i)["passage_id"]))).where("_slot IS NOT NULL")
+    rows = chosen(rows, _slot=first_of(F.col("gold"), lambda i: rank(kind, F.get("passages", i)["passage_id"])))
     slot, gone = F.col("_slot"), F.get("passages", F.col("_slot"))
     removed = F.array_sort(F.filter("support", lambda x: x["p"] == slot))
     told = {
@@ -215,27 +221,39 @@ def violations(records: DataFrame) -> DataFrame:
     return records.withColumn("rules", broken).where(F.size("rules") > 0).withColumn("rule", F.get("rules", F.lit(0)))
 
 
-#: Donors of a split that are tried first, as few as that; bytes of their texts up to which they are broadcast; parts that donors are dealt out to beyond that.
-NEAR, SMALL, SALTS = 25, 8 << 20, 64
+#: Donors of a split that are tried first, as few as that; bytes of their texts up to which they are broadcast; questions up to which these are broadcast instead; parts that donors are dealt out to beyond that.
+NEAR, SMALL, FEW, SALTS = 25, 8 << 20, 1000, 64
+#: How many times more donors each range of hashes has than those before it.
+WIDER = 16
 
 
-def first_donors(questions: DataFrame, donors: DataFrame, near: int = NEAR, small: int = SMALL, salts: int = SALTS) -> DataFrame:
+def first_donors(questions: DataFrame, donors: DataFrame, near: int = NEAR, small: int = SMALL, salts: int = SALTS, few: int = FEW) -> DataFrame:
     """qid and the first donor, by its hash h within the split, that is foreign to the question and free of its answer.
 
     questions: qid, split, needle (normalized answer), titles and bodies (hashes of its own passages). donors: split, dq (its question), pid, title and
     body (hashes), hay (normalized text), h. Nearly all questions are served by the donors of least hash, so those meet the questions first, where these lie;
-    only questions that found none meet the next range and then the rest. Beyond ``small`` bytes donors are dealt out by salts, so no task
+    only questions that found none meet the next range, and ranges end with the questions, so texts of further donors are never normalized. Beyond
+    ``small`` bytes of texts donors stay where they lie and meet the ``few`` questions that are left; more questions meet donors dealt out by salts, so no task
     has a whole split. A range is one of hashes: no order over a split is needed.
     """
-    questions = cut(questions)
+    left = cut(questions)
     n, splits = donors.agg(F.count(F.lit(1)), F.count_distinct("split")).first()
     share = min(1.0, near * max(1, splits) / max(1, n))
-    bounds = ["", *(format(int(x * (1 << 52)), "013x") for x in (share, 16 * share) if x < 1), "g"]
-    found, left = None, questions
-    for low, high in zip(bounds, bounds[1:], strict=False):
+    shares = [share]
+    while shares[-1] < 1:
+        shares.append(shares[-1] * WIDER)
+    bounds = ["", *(format(int(x * (1 << 52)), "013x") for x in shares if x < 1), "g"]
+    found, asked = None, left.count()
+    for low, high, part in zip(bounds[:-1], bounds[1:], shares, strict=True):
+        if found is not None and not asked:
+            break
         some = donors.where((F.col("h") >= low) & (F.col("h") < high)).withColumnRenamed("pid", "donor_pid")
-        if (some.agg(F.sum(F.length("hay"))).first()[0] or 0) <= small:
+        first = part * n <= WIDER * near * max(1, splits)  # few enough to be kept
+        some = cut(some) if first else some
+        if first and (some.agg(F.sum(F.length("hay"))).first()[0] or 0) <= small:
             pairs = left.join(F.broadcast(some), "split")
+        elif asked <= few:
+            pairs = some.join(F.broadcast(left), "split")
         else:
             dealt = some.withColumn("_salt", F.pmod(F.xxhash64("donor_pid"), F.lit(salts)))
             pairs = left.withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long")))).join(dealt, ["split", "_salt"])
@@ -243,5 +261,6 @@ def first_donors(questions: DataFrame, donors: DataFrame, near: int = NEAR, smal
         ok = (F.col("dq") != F.col("qid")) & ~F.array_contains("titles", F.col("title")) & ~F.array_contains("bodies", F.col("body")) & free
         hit = cut(pairs.where(ok).groupBy("qid").agg(F.min_by("donor_pid", "h").alias("donor_pid")))
         found = hit if found is None else found.unionByName(hit)
-        left = left.join(hit.select("qid"), "qid", "left_anti")
+        left = cut(left.join(hit.select("qid"), "qid", "left_anti"))
+        asked = left.count()
     return found

@@ -35,8 +35,9 @@ def donors(spark, sf):
     return foreign_donors(spark, sf).join(p.select(F.col("pid").alias("donor_pid"), F.col("qid").alias("donor_qid"), donor.alias("donor")), "donor_pid").drop("donor_pid")
 
 
-def records(spark, sf):
-    x = examples(spark, sf)
+def records(spark, sf, x=None):
+    """The records of all kinds; ``x`` are the examples where they are at hand. They are kept once and read for each kind."""
+    x = cut(examples(spark, sf)) if x is None else x
     return C.missing_hops(x, donors(spark, sf)).unionByName(C.answer_distractors(x)).unionByName(C.evidence_swaps(x))
 
 
@@ -91,8 +92,9 @@ SELECT qid, kind, CASE WHEN qid NOT IN (SELECT qid FROM sup) THEN 'no_support' W
 FROM questions, k WHERE NOT EXISTS (SELECT 1 FROM made WHERE made.qid = questions.qid AND made.kind = k.kind)""")
 def challenge_failures(spark, sf):
     """Questions that can't have a record of a kind, with the reason."""
-    x = examples(spark, sf).select("qid", (F.size("support") > 0).alias("supported"), (T.normalize_answer("answer") == "").alias("empty"), F.explode(F.array(*map(F.lit, C.KINDS))).alias("kind"))
-    missing = x.join(records(spark, sf).select("qid", "kind"), ["qid", "kind"], "left_anti")
+    kept = cut(examples(spark, sf))
+    x = kept.select("qid", (F.size("support") > 0).alias("supported"), (T.normalize_answer("answer") == "").alias("empty"), F.explode(F.array(*map(F.lit, C.KINDS))).alias("kind"))
+    missing = x.join(records(spark, sf, kept).select("qid", "kind"), ["qid", "kind"], "left_anti")
     reason = F.when(~F.col("supported"), "no_support").when(F.col("kind") == "missing_hop", "no_donor").when(F.col("kind") == "answer_bearing_distractor", "no_passage").when(F.col("empty"), "empty_answer").otherwise("no_entity")
     return missing.select("qid", "kind", reason.alias("reason"))
 

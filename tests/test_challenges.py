@@ -92,3 +92,29 @@ def test_first_donors(spark, near, small):
     want = {(q[0], min((d for d in donors if ok(q, d)), key=lambda d: d[6])[2]) for q in asked if any(ok(q, d) for d in donors)}
     found = C.first_donors(spark.createDataFrame(asked, "qid string, split string, needle string, titles array<string>, bodies array<string>"), spark.createDataFrame(donors, "split string, dq string, pid string, title string, body string, hay string, h string"), near, small, 4)
     assert {tuple(r) for r in found.select("qid", "donor_pid").collect()} == want and len(want) > 10
+
+
+def test_donors_beyond_need_are_not_read(spark):
+    """Donors whose texts aren't needed are never normalized: one that fails where it is read does no harm; questions left over meet donors where these lie or dealt out, with one result."""
+    h = lambda k: f"{k:064x}"
+    step = (1 << 256) // 2000
+    rows = [("dev", f"q{i}", f"d{i}", f"t{i}", f"b{i}", "rare word" if i < 1500 else "plain", h(i * step)) for i in range(2000)]
+    donors = spark.createDataFrame(rows, "split string, dq string, pid string, title string, body string, hay string, h string")
+    trap = donors.withColumn("hay", F.when(F.col("h") > h(1000 * step), F.raise_error(F.lit("read")).cast("string")).otherwise(F.col("hay")))
+    shape = "qid string, split string, needle string, titles array<string>, bodies array<string>"
+    got = C.first_donors(spark.createDataFrame([("x", "dev", "", ["t0"], ["b1"])], shape), trap)
+    assert [tuple(r) for r in got.select("qid", "donor_pid").collect()] == [("x", "d2")]
+    asked = spark.createDataFrame([("x", "dev", "rare", ["t1500"], []), ("y", "dev", "word", [], ["b9"]), ("z", "dev", "plain", [], [])], shape)
+    for few in (0, 1000):
+        got = C.first_donors(asked, donors, small=0, few=few)
+        assert {tuple(r) for r in got.select("qid", "donor_pid").collect()} == {("x", "d1501"), ("y", "d1500"), ("z", "d0")}
+
+
+def test_normalized_as_defined(spark):
+    from plumbline.functions import text as T
+
+    texts = ["", "a", " the", "A a the an x", "don't the-cat", "a\tan\nthe\r\x0b\fx", "ana the then an. x", "!a!", "\u3000a\u3000", "x  y ", "a " * 20000]
+    got = [r[0] for r in spark.createDataFrame([(x,) for x in texts], "t string").select(T.normalize_answer("t")).collect()]
+    bare = ["".join(c for c in x.lower() if c not in T.PUNCTUATION) for x in texts]
+    words = [[w for w in __import__("re").split("[ \t\n\x0b\f\r]+", x) if w not in ("", "a", "an", "the")] for x in bare]
+    assert got == [" ".join(w) for w in words]
