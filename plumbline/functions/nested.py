@@ -93,10 +93,12 @@ def resume_verdicts(stored: DataFrame, asked: DataFrame, excluded: list[str] | N
     """run, verdict for runs (run, config, kind, records) that are asked for again (run, config, kind, resume).
 
     A run that isn't stored starts; without ``resume`` one that has records is refused; with it a run resumes only with the same settings and kind.
+    All sides have a row for each run, so none is broadcast, however small it is thought to be.
     """
-    old = stored.join(config_hashes(settings(stored, "run", "config", excluded), "run"), "run", "left").select("run", "kind", "records", "config_hash")
-    new = asked.join(config_hashes(settings(asked, "run", "config", excluded), "run"), "run", "left").select("run", "resume", F.col("kind").alias("kind_now"), F.col("config_hash").alias("hash_now"))
-    both = new.join(old.withColumn("known", F.lit(True)), "run", "left")
+    hashes = lambda rows: config_hashes(settings(rows, "run", "config", excluded), "run").hint("merge")
+    old = stored.join(hashes(stored), "run", "left").select("run", "kind", "records", "config_hash")
+    new = asked.join(hashes(asked), "run", "left").select("run", "resume", F.col("kind").alias("kind_now"), F.col("config_hash").alias("hash_now"))
+    both = new.join(old.withColumn("known", F.lit(True)).hint("merge"), "run", "left")
     fresh = F.when(F.col("records") > 0, "has_records").otherwise("start")
     again = F.when(~F.col("config_hash").eqNullSafe(F.col("hash_now")), "config_changed").when(~F.col("kind").eqNullSafe(F.col("kind_now")), "kind_changed").otherwise("resume")
     return both.select("run", F.when(F.col("known").isNull(), "start").when(F.col("resume"), again).otherwise(fresh).alias("verdict"))

@@ -154,3 +154,13 @@ def test_resume_verdicts(spark):
     asked = lambda config, kind, resume: spark.createDataFrame([(r, config, kind, resume) for r in "abcd"], "run string, config string, kind string, resume boolean")
     verdicts = lambda *x: "".join({"start": "s", "has_records": "h", "resume": "r", "config_changed": "c", "kind_changed": "k"}[r["verdict"]] for r in N.resume_verdicts(stored, asked(*x)).orderBy("run").collect())
     assert [verdicts('{"x": 1}', "real", True), verdicts('{"x": 1}', "real", False), verdicts('{"x": 2}', "mock", True), verdicts('{"x": 1}', "mock", True)] == ["rrrs", "hshs", "cccs", "kkks"]
+
+
+def test_resumed_runs_are_not_broadcast(spark):
+    from plumbline.functions import nested as N
+
+    stored = spark.createDataFrame([(1, '{"a":1}', "real", 1), (2, '{"a":1}', "real", 0)], "run long, config string, kind string, records long")
+    asked = spark.createDataFrame([(1, '{"a":1}', "real", True), (2, '{"a":1}', "real", False), (3, "{}", "real", True)], "run long, config string, kind string, resume boolean")
+    got = N.resume_verdicts(stored, asked)
+    assert {tuple(r) for r in got.collect()} == {(1, "resume"), (2, "start"), (3, "start")}
+    assert "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
