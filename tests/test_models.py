@@ -63,3 +63,9 @@ def test_rerankers_must_give_finite_scores(spark):
         R.score_pairs(spark.createDataFrame([("c", "q", "bad")], pairs.schema), "broken", "pid").collect()
     with pytest.raises(KeyError, match="no reranker"):
         R.score_pairs(pairs, "unknown", "pid")
+
+
+def test_rows_come_from_arrow_batch_by_batch(spark):
+    kinds = M.column(lambda: None, lambda m, x, y: [f"{type(a).__name__} {b} {len(x)}" for a, b in zip(x, y, strict=True)], [F.col("x"), F.col("y")], "string", batch=2)
+    rows = spark.createDataFrame([(["a"], 1), (None, None), (["b"], 2)], "x array<string>, y int").coalesce(1)
+    assert [r[0] for r in rows.select(kinds).collect()] == ["list 1 2", "NoneType None 2", "list 2 1"]

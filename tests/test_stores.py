@@ -157,8 +157,6 @@ def test_resume_verdicts(spark):
 
 
 def test_resumed_runs_are_not_broadcast(spark):
-    from plumbline.functions import nested as N
-
     stored = spark.createDataFrame([(1, '{"a":1}', "real", 1), (2, '{"a":1}', "real", 0)], "run long, config string, kind string, records long")
     asked = spark.createDataFrame([(1, '{"a":1}', "real", True), (2, '{"a":1}', "real", False), (3, "{}", "real", True)], "run long, config string, kind string, resume boolean")
     got = N.resume_verdicts(stored, asked)
