@@ -10,7 +10,8 @@ verified on the full sets. Groups that share a band are never written out as pai
 1. In some bands each member meets only two members of its bucket, a central one and a drawn one. Verified
    links join large groups into components at a cost in proportion to their members.
 2. In all bands only members of different components are compared, in bounded blocks inside tasks, and each
-   pair that may pass is reported in its first common band only.
+   pair that may pass counts in its first common band only. A block tells which of its members have such a pair; their
+   full sets come to the block once, and all of its links are found there by products of 0/1 matrices.
 
 A key that holds many rows (a hub, a bucket, a component, a set of copies) never sends them to one task: what belongs to it is
 broadcast, or copied and dealt out with its rows.
@@ -33,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_slices, materialize, table
@@ -46,10 +47,12 @@ M, BASE, RATE = 256, 1.001, 20.0
 ROWS, BANDS, FIRST_BANDS = 4, 20, 6
 #: Standard deviations of the estimate below the threshold that still pass.
 MARGIN = 4.0
-#: Members of a block of a bucket; pairs compared at once; ids that may be broadcast.
-BLOCK, CHUNK, BROADCAST_IDS = 256, 1 << 16, 2_000_000
+#: Members of a block of a bucket, and their mean of shingles at most; pairs compared at once; hashes in a matrix at once; ids that may be broadcast.
+BLOCK, BLOCK_MEAN, CHUNK, COLUMNS, BROADCAST_IDS = 256, 4096, 1 << 16, 1 << 13, 2_000_000
 #: Rows of a key from which it is hot. So a table has a hot key for each HOT of its rows at most, which bounds what is broadcast of them.
 HOT = 10_000
+#: Tasks for a step over fewer than HOT rows.
+FEW_TASKS = 8
 #: Words hashed at once.
 SEGMENT = 1 << 16
 
@@ -176,22 +179,30 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, count: str, how: str =
     return rows.join(F.broadcast(hot), key).unionByName(rest)
 
 
-def join_sets(pairs: DataFrame, sets: DataFrame, key: str, other: str) -> DataFrame:
-    """pairs with the set of ``key``. A hub's set is copied once for each HOT of its pairs, which are dealt out to the copies."""
-    hubs = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)
-    hubs = F.broadcast(hubs.select(key, F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
-    parts = F.coalesce("parts", F.lit(1))
-    dealt = pairs.join(hubs, key, "left").withColumn("part", F.pmod(F.hash(other), parts)).drop("parts")
-    copies = sets.join(hubs, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
-    return dealt.join(copies, [key, "part"]).drop("part")
+def join_sets(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """pairs (a, b) with the sets of a and of b. A hub's set is copied once for each HOT of its pairs, which are dealt out to the copies."""
+    both = pairs
+    for key, other, sets in (("a", "b", left), ("b", "a", right)):
+        hubs = pairs.groupBy(key).agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > HOT)  # of the pairs alone, before sets are joined to them
+        hubs = F.broadcast(hubs.select(key, F.ceil(F.col("c") / HOT).cast("int").alias("parts")))
+        parts = F.coalesce("parts", F.lit(1))
+        dealt = both.join(hubs, key, "left").withColumn("part", F.pmod(F.hash(other), parts)).drop("parts")
+        copies = sets.join(hubs, key, "left").withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("parts")
+        both = dealt.join(copies, [key, "part"]).drop("part")
+    return both
 
 
-def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets meet the threshold. pairs is materialized; docs has doc_id and text."""
+def of_nodes(rows: DataFrame, key: str, nodes: DataFrame) -> DataFrame:
+    """The rows whose key is in nodes (key, each once); these are broadcast, unless they are too many."""
+    nodes = materialize(nodes)
+    few = nodes.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(nodes) if few else nodes, key, "left_semi")
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, hashes: the sets of the documents whose ids are in nodes (doc_id, each once); docs has doc_id and text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    nodes = materialize(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-    few = nodes.count() <= BROADCAST_IDS  # else both sides are shuffled
-    texts = docs.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
+    texts = of_nodes(docs, "doc_id", nodes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, own in arrow_slices(batches, "text"):
@@ -199,15 +210,44 @@ def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFra
             ends = np.cumsum([0, *map(len, sets)])
             yield pa.record_batch([part["doc_id"], pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["node", "hashes"])
 
-    sets = materialize(texts.select("doc_id", "text").mapInArrow(run, f"node {kind}, hashes array<bigint>"))
+    return materialize(texts.select("doc_id", "text").mapInArrow(run, f"node {kind}, hashes array<bigint>"))
+
+
+def verify(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets meet the threshold. pairs is materialized; docs has doc_id and text."""
+    sets = full_sets(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct(), docs)
     left = sets.select(F.col("node").alias("a"), F.col("hashes").alias("x"))
     right = sets.select(F.col("node").alias("b"), F.col("hashes").alias("y"))
-    both = join_sets(join_sets(pairs.select("a", "b"), left, "a", "b"), right, "b", "a")
+    both = join_sets(pairs.select("a", "b"), left, right)
     shared = F.size(F.array_intersect("x", "y"))
     both = both.select("a", "b", shared.alias("i"), (F.size("x") + F.size("y")).alias("s"))
     return both.where(100 * F.col("i") >= percent * (F.col("s") - F.col("i"))).select("a", "b")
 
 
+def intersections(x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of each set of x with each of y, exactly: products of 0/1 matrices over COLUMNS hashes at a time."""
+    out = np.zeros((len(x), len(y)), dtype=np.int64)
+    common = np.intersect1d(np.concatenate(x), np.concatenate(y))
+    if not len(common):
+        return out
+    sides = []
+    for sets in (x, y):
+        hashes, row = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(v) for v in sets])
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        found = np.flatnonzero(common[at] == hashes)
+        found = found[np.argsort(at[found], kind="stable")]
+        sides.append((at[found], row[found]))
+    for start in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - start)
+        ones = []
+        for (at, row), sets in zip(sides, (x, y), strict=True):
+            own = slice(*np.searchsorted(at, [start, start + width]))
+            ones.append(np.zeros((len(sets), width), dtype=np.float32))
+            ones[-1][row[own], at[own] - start] = 1
+        out += (ones[0] @ ones[1].T).astype(np.int64)
+    return out
+
+
 def components(links: DataFrame) -> DataFrame:
     """node, label: for each node of the links but the smallest of its component, that smallest one.
 
@@ -221,23 +261,23 @@ def components(links: DataFrame) -> DataFrame:
         if mark == seen or not mark[0]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("label"))
         seen = mark
+        few = 2 * mark[0] <= HOT  # so no key can be hot, and a few tasks do
+        gather = lambda rows: rows.coalesce(FEW_TASKS) if few else rows
+        with_least = lambda rows, facts: rows.join(facts.drop("c"), "u") if few else join_hot(rows, facts, "u", "c")
+        edges = gather(edges)
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c")).withColumn("m", F.least("u", "m"))
-        large = join_hot(both, least, "u", "c").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
+        large = with_least(both, least).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = gather(large.distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("c"))
-        moved = join_hot(large, least, "u", "c").select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
-        edges = materialize(moved.where("e.u <> e.m").select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct())
+        moved = with_least(large, least).select(F.explode(F.array(F.struct("u", "m"), F.struct(F.col("v").alias("u"), "m"))).alias("e"))
+        edges = materialize(gather(moved.where("e.u <> e.m").select(F.col("e.u").alias("u"), F.col("e.m").alias("v")).distinct()))
 
 
-def _buckets(classes: DataFrame, bands: int) -> DataFrame:
-    """band, bucket, node of each class."""
+def _hashes(bands: int) -> Column:
+    """The buckets of a sketch, one in each band."""
     width = 2 * ROWS
-    each = F.transform(
-        F.sequence(F.lit(0), F.lit(bands - 1)),
-        lambda b: F.struct(b.alias("band"), F.xxhash64(b, F.substr("regs", b * width + 1, F.lit(width))).alias("bucket")),
-    )
-    return classes.select("node", F.explode(each).alias("x")).select("x.band", "x.bucket", "node")
+    return F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda b: F.xxhash64(b, F.substr("regs", b * width + 1, F.lit(width))))
 
 
 def star_pairs(classes: DataFrame, percent: int = PERCENT, margin: float | None = MARGIN) -> DataFrame:
@@ -246,7 +286,7 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT, margin: float | None
     Copies differ from what they were made of in less than they do from each other, so the member whose buckets are the
     fullest stands for its bucket; one drawn by hash stands beside it.
     """
-    rows = _buckets(classes, FIRST_BANDS)
+    rows = classes.select("node", F.explode(_hashes(FIRST_BANDS)).alias("bucket"))
     sizes = materialize(rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1"))
     rows = materialize(join_hot(rows, sizes.withColumn("c", F.col("size")), "bucket", "c").select("bucket", "node", "size"))
     central = rows.groupBy("node").agg(F.sum("size").alias("weight"))
@@ -257,9 +297,6 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT, margin: float | None
     hubs = materialize(hubs.select("bucket", F.array_distinct(F.array("full", "drawn")).alias("hubs"), "c"))
     pairs = join_hot(rows, hubs, "bucket", "c").withColumn("hub", F.explode("hubs")).where("node <> hub")
     pairs = pairs.select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b")).distinct()
-    left = classes.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
-    right = classes.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
-
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in batches:
             if len(x):
@@ -268,28 +305,37 @@ def star_pairs(classes: DataFrame, percent: int = PERCENT, margin: float | None
 
     kind = classes.schema["node"].dataType.simpleString()
     pairs = materialize(pairs)
-    return join_sets(join_sets(pairs, left, "a", "b"), right, "b", "a").mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    met = of_nodes(classes, "node", pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct())
+    left = met.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("regs").alias("ra"))
+    right = met.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("regs").alias("rb"))
+    return join_sets(pairs, left, right).mapInPandas(run, f"a {kind}, b {kind}").distinct()
+
 
+def rest_members(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, bands: int = BANDS, margin: float | None = MARGIN) -> DataFrame:
+    """block, node, comp, out: members of a bucket's blocks that may be linked with one of another component, in all bands.
 
-def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, bands: int = BANDS, margin: float | None = MARGIN) -> DataFrame:
-    """Pairs of members of a bucket in different components that may be linked, in all bands."""
+    In a block those with ``out`` meet those without.
+    """
     if ROWS * bands > M:
         raise ValueError(f"over {M // ROWS} bands")
-    known = classes.join(labels, "node", "left").withColumn("comp", F.coalesce("label", "node")).drop("label")
-    known = materialize(known.select("node", "comp", "n", "regs"))
-    rows = _buckets(known, bands).join(known.select("node", "comp"), "node")
-    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"))
-    mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp")).alias("most"), F.sum("c").alias("total"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.where("k > 1").select("bucket", F.col("most.comp").alias("main"), F.col("most.c").alias("main_n"), "total")
+    known = classes.select("node", "n", _hashes(bands).alias("buckets")).join(labels, "node", "left")  # without the registers, which few of them need
+    known = materialize(known.select("node", F.coalesce("label", "node").alias("comp"), "n", "buckets"))
+    rows = known.select("node", "comp", "n", F.posexplode("buckets").alias("band", "bucket"))
+    parts = rows.groupBy("bucket", "comp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("w"))
+    mixed = parts.groupBy("bucket").agg(F.max(F.struct("c", "comp", "w")).alias("most"), F.sum("c").alias("total"), F.sum("w").alias("weight"), F.count(F.lit(1)).alias("k"))
+    # blocks' numbers, by members and by their shingles
+    blocks = lambda c, w: F.ceil(F.greatest(c / BLOCK, w / (BLOCK * BLOCK_MEAN)))
+    n_out, n_all = blocks(F.col("total") - F.col("most.c"), F.col("weight") - F.col("most.w")), blocks(F.col("total"), F.col("weight"))
+    mixed = mixed.where("k > 1").select("bucket", F.col("most.comp").alias("main"), n_out.alias("n_out"), n_all.alias("n_all"), "total")
     own = join_hot(rows, materialize(mixed.withColumn("c", F.col("total"))), "bucket", "c")
     # those outside of a bucket's largest component, in blocks, meet all of it, in blocks
-    n_out, n_all = F.ceil((F.col("total") - F.col("main_n")) / BLOCK), F.ceil(F.col("total") / BLOCK)
+    n_out, n_all = F.col("n_out"), F.col("n_all")
     spread = F.pmod(F.xxhash64("node"), F.lit(1 << 40))
     outside = F.transform(F.sequence(F.lit(0).cast("long"), n_all - 1), lambda j: F.struct(F.lit(True).alias("out"), (spread % n_out).alias("i"), j.alias("j")))
     inside = F.transform(F.sequence(F.lit(0).cast("long"), n_out - 1), lambda i: F.struct(F.lit(False).alias("out"), i.alias("i"), (spread % n_all).alias("j")))
     roles = F.when(F.col("comp") != F.col("main"), F.concat(outside, inside)).otherwise(inside)
-    own = own.select("band", "bucket", "node", F.explode(roles).alias("r")).select("band", "bucket", "node", "r.*")
-    full = own.join(known, "node")
+    own = own.select("band", "bucket", "node", "comp", "n", F.explode(roles).alias("r")).select("band", "bucket", "node", "comp", "n", "r.*")
+    full = own.join(classes.select("node", "regs"), "node")
     full = full.withColumn("block", F.xxhash64("bucket", "i", "j"))
     full = full.repartition("block").sortWithinPartitions("block").select("block", "band", "node", "comp", "out", "n", "regs")
 
@@ -309,13 +355,14 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, ba
 
     def compare(x: pd.DataFrame) -> Iterator[pd.DataFrame]:
         keys, out = x["block"].to_numpy(), x["out"].to_numpy(dtype=bool)
-        node, comp, n, band, regs = x["node"].to_numpy(), x["comp"].to_numpy(), x["n"].to_numpy(), x["band"].to_numpy(), _matrix(x["regs"])
+        comp, n, band, regs = x["comp"].to_numpy(), x["n"].to_numpy(), x["band"].to_numpy(), _matrix(x["regs"])
         words = np.ascontiguousarray(regs[:, : ROWS * bands]).view("<u8").reshape(len(x), bands)
         begin = np.searchsorted(keys, keys[out], "left") if (np.diff(keys) >= 0).all() else None
         at = np.flatnonzero(out)
         if begin is None:
             raise ValueError("blocks aren't in order")
         size = np.searchsorted(keys, keys[out], "right") - begin
+        used = np.zeros(len(x), dtype=bool)
         k = 0
         while k < len(at):
             upto = k + max(1, int(np.searchsorted(np.cumsum(size[k:]), CHUNK, "right")))
@@ -328,11 +375,33 @@ def rest_pairs(classes: DataFrame, labels: DataFrame, percent: int = PERCENT, ba
             first = (words[i] == words[j]).argmax(axis=1) == band[i]
             i, j = i[first], j[first]
             take = may_reach(regs[i], regs[j], n[i], n[j], percent, margin)
-            i, j = i[take], j[take]
-            yield pd.DataFrame({"a": np.minimum(node[i], node[j]), "b": np.maximum(node[i], node[j])})
+            used[i[take]] = used[j[take]] = True
+        yield x.loc[used, ["block", "node", "comp", "out"]]
 
     kind = classes.schema["node"].dataType.simpleString()
-    return full.mapInPandas(run, f"a {kind}, b {kind}").distinct()
+    return full.mapInPandas(run, f"block long, node {kind}, comp {kind}, out boolean").distinct()
+
+
+def rest_links(members: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between different components in the blocks of ``members``, which is materialized: one of each member outside with each component it is linked with."""
+    sets = full_sets(members.select(F.col("node").alias("doc_id")).distinct(), docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def run(x: pa.Table) -> pa.Table:
+        out, comp = x["out"].to_numpy(), pd.factorize(x["comp"].to_pandas())[0]
+        hashes = x["hashes"].combine_chunks()
+        values, ends = hashes.values.to_numpy(), hashes.offsets.to_numpy()
+        left, right = np.flatnonzero(out), np.flatnonzero(~out)
+        if not len(left) or not len(right):
+            return x.select(["node", "node"]).slice(0, 0).rename_columns(["a", "b"])
+        own = lambda at: [values[ends[k] : ends[k + 1]] for k in at]
+        shared, size = intersections(own(left), own(right)), np.diff(ends)
+        union = size[left][:, None] + size[right][None, :] - shared
+        i, j = np.nonzero((100 * shared >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
+        _, first = np.unique(i * (comp.max() + 1) + comp[right][j], return_index=True)
+        return pa.table([x["node"].take(left[i[first]]), x["node"].take(right[j[first]])], names=["a", "b"])
+
+    return members.join(sets, "node").groupBy("block").applyInArrow(run, f"a {kind}, b {kind}")
 
 
 def near_duplicates(
@@ -346,8 +415,8 @@ def near_duplicates(
     classes = materialize(classes.select("key", F.col("x.doc_id").alias("node"), F.col("x.n").alias("n"), F.col("x.regs").alias("regs"), "rows"))
     pairs = materialize(star_pairs(classes, percent, margin))
     labels = components(verify(pairs, rows, percent))
-    more = materialize(rest_pairs(classes, labels, percent, bands, margin))
-    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(verify(more, rows, percent))
+    more = materialize(rest_members(classes, labels, percent, bands, margin))
+    links = labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(rest_links(more, rows, percent))
     # an id whose rows have several sets links their classes
     several = known.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
     keys = join_hot(known.select("doc_id", "key"), several, "doc_id", "c").distinct()

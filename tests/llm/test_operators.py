@@ -371,6 +371,34 @@ def test_near_duplicates_of_hot_keys(spark, monkeypatch):
     assert sorted(((r["doc_id"], r["component_id"], r["n_shingles"], r["kept"]) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_near_copies_under_the_threshold_are_no_rows_of_pairs(spark, monkeypatch):
+    """Copies of one text that are too far from each other: all of them are compared, and only the first bands' choices are pairs in a join."""
+    monkeypatch.setattr(neardup, "BLOCK", 16)
+    rng, n = np.random.default_rng(11), 80
+    w = [f"w{x}" for x in rng.integers(0, 10**6, 200)]
+    rows = []
+    for k in range(n):
+        v = list(w)
+        for at in rng.choice(200, 3 if k < n - 4 else 1, replace=False):
+            v[at] = f"k{k}x{at}"
+        rows.append((k, " ".join(v), "en", "z"))
+    joined, join_sets = [], neardup.join_sets
+    monkeypatch.setattr(neardup, "join_sets", lambda pairs, *others: (joined.append(pairs.count()), join_sets(pairs, *others))[1])
+    got = neardup.near_duplicates(docs(spark, rows), margin=None).collect()
+    label, size = true_groups(rows)
+    assert 1 < len(set(label.values())) < n
+    assert {(r["doc_id"], r["component_id"], r["n_shingles"]) for r in got} == {(d, c, size[d]) for d, c in label.items()}
+    assert max(joined) <= 2 * neardup.FIRST_BANDS * n
+
+
+def test_intersections(monkeypatch):
+    monkeypatch.setattr(neardup, "COLUMNS", 7)
+    rng = np.random.default_rng(12)
+    x, y = ([np.unique(rng.integers(-40, 40, k)) for k in sizes] for sizes in ((0, 5, 60, 30), (9, 0, 70)))
+    assert neardup.intersections(x, y).tolist() == [[len(np.intersect1d(a, b)) for b in y] for a in x]
+    assert neardup.intersections(x, [np.array([99])]).tolist() == [[0]] * 4
+
+
 def test_pipeline_near_dedup(spark):
     rng = np.random.default_rng(8)
     rows = [(1, None, "en", "a"), (None, None, "en", "a"), (None, None, "en", "a"), (None, "", "en", "b")]
