@@ -166,3 +166,13 @@ def test_replicates_weigh_units_by_their_hashes(spark):
             want[g, r] = (a + w * s, b + w * c)
     want = {k: a / b for k, (a, b) in want.items() if b}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+
+
+def test_join_in_parts(spark):
+    """The tasks are as many as the rows need, and grouping by the key keeps them."""
+    many, one = spark.range(4000).selectExpr("id div 2 AS k", "id AS v"), spark.range(2000).selectExpr("id AS k", "id * 3 AS w")
+    got = S.join_in_parts(many, one, "k", 500)
+    sizes = [r["n"] for r in got.groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and len(sizes) >= 8 and max(sizes) < 1000
+    assert got.where("w = 3 * k").groupBy("k", "v").count().where("count = 1").count() == 4000
+    assert S.join_in_parts(many.limit(0), one, "k").count() == 0
