@@ -30,3 +30,9 @@ def test_query_equals_sql(spark, sql, name):
 
 def test_every_oracle_has_a_query():
     assert set(catalog.oracle_sql()) <= set(catalog.queries())
+
+
+def test_gates_equal_sql(spark, sql):
+    got = catalog.queries()["rerank_retention_gates"](spark, SF)
+    found = sql.sql(f"SELECT {', '.join(got.columns)} FROM ({catalog.oracle_sql()['rerank_retention_gates']})").fetchall()
+    assert {tuple(r) for r in got.collect()} == set(found) and len(found) == 3
