@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from fractions import Fraction
+from math import gcd, inf
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,8 @@ from plumbline.operators.ranking import place_by_hash
 EXACT, MAX_SIZES = 1_000_000, 10_000
 #: Questions of a split that are chosen by an exact search over sizes and kinds together; bitsets of its square are held.
 REST = 1000
+#: Sums that a search of groups keeps at first; eight times as many as often as it takes to be sure of the best.
+BEAM = 4096
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -171,11 +175,144 @@ def nearest(states: int, cap: int, want: int, bridge: int, nonempty: bool) -> tu
     return 0, 0
 
 
+def nearest_sizes(pool: dict[tuple[int, int], int], want: int) -> list[int]:
+    """The sizes, one or two, nearest to ``want`` that some groups add up to, of all that there are."""
+    least = min(size for size, _ in pool)
+    if least >= want:
+        return [least]
+    cap = min(2 * want, sum(c[0] * n for c, n in pool.items()))
+    counts: dict[int, int] = {}
+    for (size, _), n in pool.items():
+        counts[size] = counts.get(size, 0) + n
+    mask, sums = (1 << (cap + 1)) - 1, 1
+    for size, _, k in chunks({(size, 0): n for size, n in counts.items()}, cap):
+        sums = (sums | sums << size * k) & mask
+    under, above = (sums & (1 << (want + 1)) - 1).bit_length() - 1, sums >> want
+    over = want + (above & -above).bit_length() - 1 if above else inf
+    off = min(want - under, over - want)
+    return sorted({t for t in (under, over) if abs(t - want) == off})
+
+
+def least_off(pool: dict[tuple[int, int], int], size: int, bridge: int) -> int:
+    """A number of bridge questions that no choice of ``size`` comes nearer to ``bridge`` than.
+
+    What classes add up to lies in the lattice that they span, and between what the classes with the lowest and the highest shares give.
+    """
+    p, q, g = 0, 0, 0
+    for s, b in pool:
+        while s:
+            p, q, s, b = s, b, p - p // s * s, q - p // s * b
+        g = gcd(g, abs(b))
+    ends = []
+    for sign in (1, -1):
+        left, total = size, Fraction(0)
+        for (s, b), n in sorted(pool.items(), key=lambda x: sign * Fraction(x[0][1], x[0][0])):
+            part = min(Fraction(left, s), n)
+            left, total = left - part * s, total + part * b
+            if not left:
+                break
+        ends.append(total)
+    low, high = -(-ends[0] // 1), ends[1] // 1
+    at, first = min(max(bridge, low), high), size // p * q
+    if not g:
+        return abs(first - bridge)
+    below = at - (at - first) % g
+    return min((abs(b - bridge) for b in (below, below + g) if low <= b <= high), default=0)
+
+
+def search(pool: dict[tuple[int, int], int], size: int, bridge: int, below: float, beam: int) -> tuple[int | None, dict[tuple[int, int], int], bool]:
+    """off, choice, whole: groups of ``size`` in all with their bridge questions ``off`` from ``bridge``, the nearest and nearer than ``below``, if there are any.
+
+    All sums of the smallest groups are built, four times ``beam`` at most, and sums of the others from the largest downward; then the two are matched.
+    A sum goes on only if those that follow can still fill it and bring it nearer. Where more than ``beam`` would, those go on that leave the
+    most room to both sides, and the search isn't whole.
+    """
+    items = chunks(pool, size)
+    weight, kind = (np.array([x[j] * x[2] for x in items], dtype=np.int64) for j in (0, 1))
+    order, width = np.argsort(kind / weight, kind="stable"), int(kind.sum()) + 1
+    codes = [int(w) * width + int(b) for w, b in zip(weight, kind, strict=True)]
+    start, tails = len(items), {len(items): np.zeros(1, dtype=np.int64)}
+    while start and len(tails[start]) <= 4 * beam:
+        more = np.union1d(tails[start], tails[start] + codes[start - 1])
+        start -= 1
+        tails[start] = more[more // width <= size]
+    left, sums, levels, whole = np.ones(len(items), dtype=bool), np.zeros(1, dtype=np.int64), [], True
+    for i in range(start):
+        left[i] = False
+        levels.append(sums)
+        rest = order[left[order]]
+        rising, falling = ([np.concatenate(([0], np.cumsum(x[r]))) for x in (weight, kind)] for r in (rest, rest[::-1]))
+        sums = np.union1d(sums, sums + codes[i])
+        need, own = size - sums // width, sums % width
+        low, high = own + np.interp(need, *rising), own + np.interp(need, *falling)
+        fits = (need >= 0) & (need <= rising[0][-1]) & (low - bridge <= below - 1 + 1e-6) & (bridge - high <= below - 1 + 1e-6)
+        sums, need, low, high = sums[fits], need[fits], low[fits], high[fits]
+        if len(sums) > beam:
+            whole = False
+            room = abs(need / rising[0][-1] - 0.5) + abs(np.divide(bridge - low, high - low, out=np.full(len(low), 0.5), where=high - low > 1e-6) - 0.5)
+            sums = np.sort(sums[np.argpartition(room, beam)[:beam]])
+    best, tail = None, tails[start]
+    need, own = size - sums // width, sums % width
+    at = np.searchsorted(tail, need * width + np.clip(bridge - own, 0, width - 1))
+    for place in (at - 1, at):
+        place = np.clip(place, 0, len(tail) - 1)
+        off = np.where(tail[place] // width == need, abs(own + tail[place] % width - bridge), width + abs(bridge))
+        if len(off) and (k := int(np.argmin(off))) >= 0 and off[k] < min(below, width + abs(bridge)):
+            below, best = int(off[k]), (int(sums[k]), int(tail[place[k]]))
+    if best is None:
+        return None, {}, whole
+    held = lambda xs, x: (k := np.searchsorted(xs, x)) < len(xs) and xs[k] == x
+    upper, lower = best
+    taken = []
+    for i in range(start - 1, -1, -1):
+        if not held(levels[i], upper):
+            taken.append(i)
+            upper -= codes[i]
+    for i in range(start, len(items)):
+        if not held(tails[i + 1], lower):
+            taken.append(i)
+            lower -= codes[i]
+    chosen: dict[tuple[int, int], int] = {}
+    for s, b, k in (items[i] for i in taken):
+        chosen[s, b] = chosen.get((s, b), 0) + k
+    return below, chosen, whole
+
+
+def best_groups(histogram: dict[tuple[int, int], int], want: int, bridge: int, beam: int = BEAM) -> dict[tuple[int, int], int]:
+    """How many groups of each class (size, bridge questions) to take: the best of all choices at every size of the input, in the order of ``choose_groups``.
+
+    The size comes from all reachable sums. A choice is final once it is as near as sums can be at all, or once the search left nothing out; the shares of
+    ``choose_groups`` are the first to be tried, and then a search that keeps ever more sums.
+    """
+    pool = {c: n for c, n in histogram.items() if n and c[0] > 0}
+    if not pool:
+        return {}
+    least = {size: least_off(pool, size, bridge) for size in nearest_sizes(pool, want)}
+    aim = min((off, size > want) for size, off in least.items())
+    found: dict[int, tuple[float, dict[tuple[int, int], int]]] = dict.fromkeys(least, (inf, {}))
+    first = choose_groups(pool, want, bridge)
+    size, got = (sum(c[k] * n for c, n in first.items()) for k in (0, 1))
+    if size in found:
+        found[size] = (abs(got - bridge), first)
+    while True:
+        off, over, size = min((found[size][0], size > want, size) for size in found)
+        if (off, over) == aim:
+            return found[size][1]
+        searched = True
+        for size in found:
+            nearer, chosen, whole = search(pool, size, bridge, found[size][0], beam)
+            found[size] = found[size] if nearer is None else (nearer, chosen)
+            searched = searched and (whole or nearer == least[size])
+        if searched:
+            return min((off, size > want, size, chosen) for size, (off, chosen) in found.items())[3]
+        beam *= 8
+
+
 def allocate_balanced(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
     """group_id, split: whole groups (group_id, size, bridge, h) for each split in turn, nearest to its size and then to the pool's share of bridge questions.
 
-    The choice is made on the histogram of (size, bridge), of at most MAX_SIZES rows; of a class, groups go to the splits in the
-    order of their hash. An empty table gives an empty one, and what no split takes is ``unselected``.
+    The choice is made on the histogram of (size, bridge), of at most MAX_SIZES rows, and is the best of all; of a class, groups go to the splits
+    in the order of their hash. An empty table gives an empty one, and what no split takes is ``unselected``.
     """
     counted = groups.groupBy("size", "bridge").agg(F.count(F.lit(1)).alias("n")).limit(MAX_SIZES + 1).collect()
     if len(counted) > MAX_SIZES:
@@ -189,7 +326,7 @@ def allocate_balanced(groups: DataFrame, sizes: dict[str, int]) -> DataFrame:
     taken = dict.fromkeys(left, 0)
     spans = []
     for split, want in sizes.items():
-        for c, n in choose_groups(left, want, round(Fraction(want * bridges, questions)) if questions else 0).items():
+        for c, n in best_groups(left, want, round(Fraction(want * bridges, questions)) if questions else 0).items():
             spans.append((f"{c[0]}:{c[1]}", split, taken[c], taken[c] + n))
             taken[c] += n
             left[c] -= n

@@ -95,3 +95,43 @@ def test_bad_groups_are_refused(spark):
         with pytest.raises(ValueError, match=why):
             G.allocate_balanced(spark.createDataFrame([row], SCHEMA), sizes)
     assert G.allocate_balanced(spark.createDataFrame([], SCHEMA), {"eval": 3}).count() == 0
+
+
+@given(groups_of, st.integers(1, 40), st.integers(0, 40), st.sampled_from([1, 4, G.BEAM]))
+@settings(max_examples=300, deadline=None)
+def test_choice_for_a_split_is_the_best_of_all(groups, want, bridge, beam):
+    got = G.best_groups(dict(Counter(groups)), want, bridge, beam)
+    assert all(0 < n <= groups.count(c) for c, n in got.items())
+    size, b = (sum(c[k] * n for c, n in got.items()) for k in (0, 1))
+    assert ((abs(size - want), abs(b - bridge), size > want) if got else None) == best(groups, want, bridge)
+
+
+@given(st.lists(st.integers(1, 6000).flatmap(lambda n: st.tuples(st.just(n), st.integers(0, n))), min_size=1, max_size=8), st.integers(3001, 20_000), st.integers(0, 20_000))
+@settings(max_examples=30, deadline=None)
+def test_choice_is_the_best_of_all_beyond_three_thousand_questions(groups, want, bridge):
+    got = G.best_groups(dict(Counter(groups)), want, bridge)
+    size, b = (sum(c[k] * n for c, n in got.items()) for k in (0, 1))
+    assert (abs(size - want), abs(b - bridge), size > want) == best(groups, want, bridge)
+
+
+def test_the_same_shares_of_a_pool_go_to_a_split_at_every_size():
+    for n in (1, 10, 100, 1000):
+        assert G.best_groups({(50 * n, 40 * n): 1, (1, 1): 2 * n}, 30 * n, 24 * n) == {(50 * n, 40 * n): 1}
+    assert G.best_groups({}, 3, 1) == {}
+
+
+def test_best_choice_in_large_pools_of_large_groups():
+    began = time.time()
+    pool = Counter((500 + 37 * i % 1000, (400 + 29 * i % 800) * (500 + 37 * i % 1000) // 1500) for i in range(300))
+    questions, bridges = (sum(c[k] * n for c, n in pool.items()) for k in (0, 1))
+    want = questions * 6 // 10
+    bridge = round(want * bridges / questions)
+    got = G.best_groups(pool, want, bridge)
+    assert all(n <= pool[c] for c, n in got.items())
+    assert [sum(c[k] * n for c, n in got.items()) for k in (0, 1)] == [want, bridge] and time.time() - began < 60
+
+
+def test_a_giant_group_leaves_small_ones_to_the_next_split(spark):
+    rows = [("giant", 25_581, 20_505, "0")] + [(f"g{i}", 1, int(i < 47), f"{i:03d}") for i in range(60)]
+    got = G.allocate_balanced(spark.createDataFrame(rows, SCHEMA), {"eval": 15_384, "dev": 5_128, "smoke": 2_564}).collect()
+    assert Counter(r["split"] for r in got) == {"eval": 1, "dev": 60} and ("giant", "eval") in {tuple(r) for r in got}
